@@ -32,7 +32,7 @@ from marlstone.llm.common import byte_list
 #: Fixed value: the pattern that cuts text into pre-tokens in byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text cut before the rest is merged, and entries of a task's cache.
-CHUNK_BYTES, CACHE_ENTRIES = 1 << 20, 400_000
+CHUNK_BYTES, CACHE_ENTRIES = 1 << 20, 500_000
 #: Code points whose class is compared one by one; all others go to the library.
 PROVED = ((0x0, 0xD800), (0xE000, 0x33480), (0xE0000, 0xE01F0))
 
@@ -113,30 +113,49 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 1024) -> Dat
         merger.encode_special_tokens = True
         merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         cut = regex.compile(PATTERN).findall
+        run_of_spaces = regex.compile(r" \s").search
         special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        extra: dict[str, int] = {}
+        extra: dict[str, int] = {}  # tokens of a pre-token that is not whole, less one
+        after_space: dict[str, int] = {}  # tokens of what stands between two spaces, with the space before it
+
+        def pieces_count(pieces: list[str]) -> int:
+            return len(pieces) + sum(extra[p] for p in pieces if p not in whole)
 
         def counted(texts: list[bytes]) -> list[int]:
-            totals, rests, unknown = [], [], set()
+            todo, units, loose = [], set(), []
             for raw in texts:
                 text = raw.decode()
                 if not whole or not text.isascii() and odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
-                    totals.append(len(library.encode(text, add_special_tokens=False).ids))
-                    rests.append(())
+                    todo.append(len(library.encode(text, add_special_tokens=False).ids))
                     continue
                 parts = special.split(text) if special and any(s in text for s in specials) else [text]
-                pieces = [p for part in parts for p in cut(part)] if len(parts) > 1 else cut(text)
-                rest = [p for p in pieces if p not in whole]
-                totals.append(len(pieces) + len(parts) - 1)
-                rests.append(rest)
-                unknown.update(rest)
-            new = [p for p in unknown if p not in extra]
-            if len(extra) + len(new) > CACHE_ENTRIES:
+                rows = []
+                for part in parts:
+                    if part.endswith(" ") or run_of_spaces(part):
+                        first, rest = cut(part), []
+                    else:  # each single space goes to the pre-token after it, so the text falls apart there
+                        head, *rest = part.split(" ")
+                        first = cut(head)
+                    rows.append((first, rest))
+                    loose += first
+                    units.update(rest)
+                todo.append((len(parts) - 1, rows))
+            if len(after_space) > CACHE_ENTRIES:
+                after_space.clear()
+            if len(extra) > CACHE_ENTRIES:
                 extra.clear()
-                new = list(unknown)
-            for p, e in zip(new, merger.encode_batch(new, add_special_tokens=False)):
-                extra[p] = len(e.ids) - 1
-            return [n + sum(map(extra.__getitem__, rest)) for n, rest in zip(totals, rests)]
+            new = {u: cut(" " + u) for u in units if u not in after_space}
+            unknown = {p for pieces in (*new.values(), loose) for p in pieces if p not in whole and p not in extra}
+            if unknown:
+                unknown = list(unknown)
+                for p, e in zip(unknown, merger.encode_batch(unknown, add_special_tokens=False)):
+                    extra[p] = len(e.ids) - 1
+            for u, pieces in new.items():
+                after_space[u] = pieces_count(pieces)
+            return [
+                x if isinstance(x, int) else x[0] + sum(pieces_count(first) + sum(map(after_space.__getitem__, rest)) for first, rest in x[1])
+                for x in todo
+            ]
 
         for batch in batches:
             texts = [t or b"" for t in byte_list(batch.column(1))]
