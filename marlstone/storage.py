@@ -58,7 +58,7 @@ def release(df: DataFrame) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate (file sizes for a plain scan), without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 8, most: int = 100_000) -> int:
