@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The optimiser gives sizes of this order to inputs that it knows nothing of.
+UNKNOWN_BYTES = 1 << 50
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
@@ -63,4 +67,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 8, most: int = 100_000) -> int:
     """Number of partitions of about ``target_bytes`` each for a pass over ``df``."""
-    return max(least, min(most, -(-estimated_bytes(df) // target_bytes)))
+    size = estimated_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(most, -(-size // target_bytes)))
