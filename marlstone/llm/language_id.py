@@ -133,29 +133,45 @@ def learn(docs: DataFrame, landmarks: int = 128, train_rows: int = 2048, ridge:
     return languages, index, (root @ np.linalg.solve(system, features.T @ (weight * target))).astype(np.float32)
 
 
+def label(texts: list[str | None], model) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model is not None:
+        languages, index, coefficients = model
+        todo = [k for k, t in enumerate(texts) if has_letter(t)]
+        for at in range(0, len(todo), BATCH):
+            part = todo[at : at + BATCH]
+            margins = index.kernel([texts[k] for k in part]) @ coefficients
+            for k, b, row in zip(part, margins.argmax(1), margins):
+                names[k], scores[k] = languages[b], float(min(1.0, max(0.0, (1 + row[b]) / 2)))
+    return names, scores
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if shared.value is not None:
-                languages, index, coefficients = shared.value
-                todo = [k for k, t in enumerate(texts) if has_letter(t)]
-                for at in range(0, len(todo), BATCH):
-                    part = todo[at : at + BATCH]
-                    margins = index.kernel([texts[k] for k in part]) @ coefficients
-                    best = margins.argmax(1)
-                    for k, b, row in zip(part, best, margins):
-                        names[k], scores[k] = languages[b], float(min(1.0, max(0.0, (1 + row[b]) / 2)))
+            names, scores = label(batch.column(2).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model, min_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, but for those that are ``und`` or that no language claims (score under ``min_score``)."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = label(batch.column(at).to_pylist(), shared.value)
+            yield batch.filter(pa.array([n != UNKNOWN and x >= min_score for n, x in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, learn(docs))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.llm import language_id, quality_classifier, quality_rules, token_counts
+from marlstone.llm import bpe_codec, decontamination, fuzzy_lines, html_text, language_id, quality_classifier, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_simhash": simhash.query,
     "op3_token_counts": token_counts.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_bpe_codec": bpe_codec.query,
+    "op6_fuzzy_lines": fuzzy_lines.query,
+    "op8_decontamination": decontamination.query,
+    "op9_html_text": html_text.query,
     "op10_quality_classifier": quality_classifier.query,
 }
-SQL = {"op4_quality_rules": quality_rules.SQL}
+SQL = {"op4_quality_rules": quality_rules.SQL, "op8_decontamination": decontamination.SQL}
