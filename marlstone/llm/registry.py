@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe_codec, decontamination, fuzzy_lines, html_text, language_id, quality_classifier, quality_rules, simhash, token_counts
+from marlstone.llm import bpe_codec, decontamination, fuzzy_lines, html_text, language_id, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_bpe_codec": bpe_codec.query,
     "op6_fuzzy_lines": fuzzy_lines.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontamination": decontamination.query,
     "op9_html_text": html_text.query,
     "op10_quality_classifier": quality_classifier.query,
