@@ -85,18 +85,6 @@ def _acf_decay(max_lag: int = 10) -> Callable[[int], Column]:
     return build
 
 
-def _taylor_exponent(points: int = 20, low: float = 0.1, high: float = 2.0) -> Callable[[int], Column]:
-    """The exponent d whose |r|**d has the largest first autocorrelation; the first of equals, 1.0 if none is defined."""
-
-    def build(w: int) -> Column:
-        grid = [low + (high - low) * k / (points - 1) for k in range(points)]
-        acf = [rolling_autocorr(F.pow(F.abs(_r()), F.lit(d)), w, 1) for d in grid]
-        tried = F.array(*[F.when(a.isNotNull(), F.struct(a.alias("a"), F.lit(-d).alias("d"))) for a, d in zip(acf, grid)])
-        return F.coalesce(-F.array_max(F.array_compact(tried))["d"], F.lit(1.0))
-
-    return build
-
-
 def _permutation_entropy(w: int) -> Column:
     """Entropy of the order patterns of three consecutive returns, over ln 3!; equal values rank by position."""
     import math
@@ -184,7 +172,7 @@ _BUILT = [
     Feature("wavelet_noise_to_signal", 13, None, tags=("wavelet",)),
     Feature("spectral_power_ratio", 13, None, tags=("spectral",)),
     _build("taylor_ratio", 14, lambda w: safe_div(rolling_autocorr(F.abs(_r()), w), rolling_autocorr(_r() * _r(), w))),
-    _build("optimal_taylor_exponent", 14, _taylor_exponent()),
+    Feature("optimal_taylor_exponent", 14, None),
     Feature("spectral_entropy", 15, None, tags=("spectral",)),
     _build("permutation_entropy", 15, _permutation_entropy),
     _build("ar1_rsquared", 15, lambda w: rolling_autocorr(_r(), w) * rolling_autocorr(_r(), w)),

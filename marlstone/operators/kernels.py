@@ -161,6 +161,21 @@ def spectral_entropy(x: np.ndarray, n: int | None = 256) -> np.ndarray:
         return np.where(total[:, 0] > 0, -np.where(p > 0, p * np.log(p), 0).sum(1), np.nan)
 
 
+def taylor_exponent(x: np.ndarray, points: int = 20, low: float = 0.1, high: float = 2.0) -> np.ndarray:
+    """The exponent d whose |x|**d has the largest first autocorrelation; the first of equals, 1.0 if none is defined."""
+    best, out = np.full(len(x), -np.inf), np.ones(len(x))
+    for d in np.linspace(low, high, points):
+        p = np.abs(x) ** d
+        a, b = p[:, :-1], p[:, 1:]
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        spread = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = np.where(spread > 1e-300, (a * b).sum(1) / spread, -np.inf)
+        better = c > best
+        best[better], out[better] = c[better], d
+    return out
+
+
 def ewm_std(x: np.ndarray, half_life: float, least: int = 10) -> np.ndarray:
     """Exponentially weighted, bias-corrected standard deviation of a whole series; gaps keep their place in time."""
     decay = 2.0 ** (-1.0 / half_life)
@@ -197,6 +212,7 @@ KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "wavelet_noise_to_signal_documented": lambda x: (lambda e: _divide(e[2], e[0]))(wavelet_energies(x)),
     "spectral_power_ratio": spectral_power_ratio,
     "spectral_entropy": spectral_entropy,
+    "optimal_taylor_exponent": taylor_exponent,
     "_window_entropy": lambda x: spectral_entropy(x, None),
 }
 #: Kernels that others are built on.
@@ -250,7 +266,7 @@ def kernel_features(panel: DataFrame, names: list[str], windows: tuple[int, ...]
     schema = T.StructType([*panel.schema.fields, *[T.StructField(c, T.DoubleType()) for c in fresh]])
     kernels = {n: KERNELS[n] for n in single}
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rn")
         x = rows["log_return"].to_numpy(float)
         values = {f"{n}_w{w}": over_windows(x, w, k, _window_least(w, min_periods)) for n, k in kernels.items() for w in windows}

@@ -34,7 +34,8 @@ def rows(w: int, skip: int = 0) -> str:
 
 def corr(a: str, b: str, f: str) -> str:
     x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-    return f"greatest(-1, least(1, covar_samp({x}, {y}) OVER {f} / nullif(stddev_samp({x}) OVER {f} * stddev_samp({y}) OVER {f}, 0)))"
+    c = f"covar_samp({x}, {y}) OVER {f} / nullif(stddev_samp({x}) OVER {f} * stddev_samp({y}) OVER {f}, 0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(-1, least(1, {c})) END"
 
 
 def acf(x: str, w: int, k: int = 1) -> str:
@@ -104,7 +105,7 @@ FEATURES = {
     "relative_volume": (lambda w: f"volume / nullif(avg(volume) OVER {rows(w)}, 0)", 6),
     "volume_surprise": (lambda w: f"volume / nullif(max(volume) OVER {rows(w)}, 0)", 6),
     "volume_weighted_volatility": (lambda w: f"stddev_samp(r * volume) OVER {rows(w)}", 5),
-    "dollar_volume": (lambda w: "volume * coalesce(typical_price, close)", 4),
+    "dollar_volume": (lambda w: "volume * coalesce(typical_price, close)", 2),
     "rolling_autocorr": (lambda w: acf("r", w), 6),
     "variance_ratio": (_variance_ratio, 5),
     "autocorr_decay": (_acf_decay, 4),
@@ -179,7 +180,8 @@ def avg_rank(x: str, by: str) -> str:
 
 
 def agg_corr(a: str, b: str) -> str:
-    return f"greatest(-1, least(1, covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0)))"
+    c = f"covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(-1, least(1, {c})) END"
 
 
 METRIC_PARTS = f"""
