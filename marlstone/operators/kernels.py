@@ -41,14 +41,19 @@ def hill_estimator(x: np.ndarray) -> np.ndarray:
         return np.where((total > 0) & (top[:, -1] > 0) & (min(k, n) >= 2), top.shape[1] / total, np.nan)
 
 
+def _std(x: np.ndarray) -> np.ndarray:
+    """Standard deviation of all values; exactly 0 for a constant window, whatever its rounding."""
+    return np.where(x.max(1) > x.min(1), x.std(axis=1), 0.0)
+
+
 def extreme_ratio(x: np.ndarray) -> np.ndarray:
-    std = x.std(axis=1)
+    std = _std(x)
     return np.where(std > 0, (np.abs(x) > 2 * std[:, None]).sum(1) / (x.shape[1] * TWO_SIGMA_TAIL), np.nan)
 
 
 def hurst_rs(x: np.ndarray) -> np.ndarray:
     z = np.cumsum(x - x.mean(1, keepdims=True), axis=1)
-    spread, std = z.max(1) - z.min(1), x.std(axis=1)
+    spread, std = z.max(1) - z.min(1), _std(x)
     with np.errstate(divide="ignore", invalid="ignore"):
         h = np.log(spread / std) / np.log(x.shape[1]) + 0.5
     return np.where((std > 0) & (spread > 0), np.clip(h, 0, 1), np.nan)
@@ -74,7 +79,7 @@ def hurst_dfa(x: np.ndarray) -> np.ndarray:
     a = a - a.mean()
     with np.errstate(invalid="ignore"):
         slope = ((b - b.mean(1, keepdims=True)) * a).sum(1) / (a * a).sum()
-    return np.where(np.isfinite(slope), np.clip(slope, 0, 1), np.nan)
+    return np.where(np.isfinite(slope) & (_std(x) > 0), np.clip(slope, 0, 1), np.nan)
 
 
 def run_ratio(shifted: bool) -> Callable[[np.ndarray], np.ndarray]:

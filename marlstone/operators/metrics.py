@@ -66,7 +66,7 @@ def pooled_rank(df: DataFrame, column: str, by: str | None = None, name: str = "
 
 def t_p_value(r: float | None, n: int | None) -> float:
     """Two-sided p-value of a correlation of n pairs, by the continued fraction of the incomplete beta function."""
-    if r is None or n is None or n < 3:
+    if r is None or n is None or n < 3 or r == 0:
         return 1.0
     if abs(r) >= 1:
         return 0.0
