@@ -269,6 +269,8 @@ def match_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and row[:3] == held[-1][:3]:  # a repeated row
+                    continue
                 if size >= SHARD_BYTES and row[0] != held[-1][0]:
                     yield index(held)
                     held, size = [], 0
