@@ -316,10 +316,13 @@ def test_pooled_rank_with_ties(spark):
 
 
 def test_p_value():
-    assert metrics.t_p_value(0.0, 100) == pytest.approx(1.0)
-    assert metrics.t_p_value(0.5, 12) == pytest.approx(0.0978546, abs=1e-6)
-    assert metrics.t_p_value(0.2, 100) == pytest.approx(0.0460388, abs=1e-6)
-    assert metrics.t_p_value(1.0, 10) == 0.0 and metrics.t_p_value(0.3, 2) == 1.0
+    assert metrics.t_p_value(0.0, 100) == 1.0 and metrics.t_p_value(1.0, 10) == 0.0 and metrics.t_p_value(0.3, 2) == 1.0
+    for r, n in ((0.5, 12), (0.2, 100), (-0.9, 6), (0.05, 1000)):
+        df = n - 2
+        t = abs(r) * math.sqrt(df / (1 - r * r))
+        x = np.linspace(0, t, 200_001)
+        density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+        assert metrics.t_p_value(r, n) == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-8)
 
 
 def test_small_cross_sections_and_nulls(spark):
