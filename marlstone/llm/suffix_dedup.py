@@ -14,7 +14,10 @@ have equal anchors, so windows need comparing only within the contexts of one an
    document and goes to a shard. A shard of such contexts, near-copies of each
    other, is indexed by a run-compressed Burrows-Wheeler transform with sampled
    run ends; its stream of matching statistics marks the windows that have an earlier match.
-3. Marks go back to their documents, where spans are merged and cut out.
+3. An anchor with very many different contexts (``CROWD`` in one map task, or
+   ``16 * CROWD`` in all) would make a large shard. Its windows are compared one by one instead: each is
+   its own anchor and its own context, so that step 1 settles them all, spread over all tasks.
+4. Marks go back to their documents, where spans are merged and cut out.
 
 Defined results for edge cases: null or empty text, and text of fewer bytes
 than LENGTH, keeps all; rows that share a doc_id are at the same place, so that
@@ -37,7 +40,8 @@ from marlstone.llm.run_length_index import RunLengthIndex
 from marlstone.storage import materialize, partitions_for
 
 LENGTH, GRAM = 100, 40
-WIDTH = LENGTH - GRAM + 1  # grams in a window
+#: Different contexts of one anchor, in one batch of a map task, from which the anchor counts as crowded.
+CROWD = 256
 #: Window starts taken at once, and bits for places within them.
 STEP, PLACE_BITS = 1 << 18, 19
 SHARD_BYTES = 1 << 20
@@ -56,10 +60,11 @@ def _powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    """Finds the contexts of texts."""
+    """Finds the contexts of texts, by anchors of ``gram`` bytes."""
 
-    def __init__(self):
-        self.powers = [_powers(f, STEP + 4 * LENGTH) for f in _FACTORS]
+    def __init__(self, gram: int = GRAM, step: int = STEP):
+        self.powers = [_powers(f, step + 4 * LENGTH) for f in _FACTORS]
+        self.gram, self.step, self.width = gram, step, LENGTH - gram + 1
 
     def contexts(self, data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         """anchor, content, start, count, offset of the contexts of the windows that start at ``valid`` places of ``data``."""
@@ -69,14 +74,14 @@ class Scanner:
             s = np.zeros(n + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=s[1:])
             sums.append(s)
-        gram = mix64((sums[0][GRAM:] - sums[0][:-GRAM]) * self.powers[0][1][: n - GRAM + 1])
+        gram = mix64((sums[0][self.gram :] - sums[0][: -self.gram]) * self.powers[0][1][: n - self.gram + 1])
         place = np.uint64((1 << PLACE_BITS) - 1)
         low = (gram & ~place) | np.arange(len(gram), dtype=np.uint64)
         reach = 1
-        while 2 * reach <= WIDTH:
+        while 2 * reach <= self.width:
             low = np.minimum(low[:-reach], low[reach:])
             reach *= 2
-        low = np.minimum(low[: len(low) - (WIDTH - reach)], low[WIDTH - reach :])
+        low = np.minimum(low[: len(low) - (self.width - reach)], low[self.width - reach :])
         anchor = (low[valid] & place).astype(np.int64)
         first = np.ones(len(valid), bool)
         first[1:] = (np.diff(valid) != 1) | (np.diff(anchor) != 0)
@@ -88,8 +93,8 @@ class Scanner:
         content = mix64((sums[1][end] - sums[1][start]) * self.powers[1][1][start] + (count * 64 + offset).astype(np.uint64))
         return gram[anchor], content, start, count, offset
 
-    def scan(self, ids: list[int], texts: list[bytes]) -> dict[str, np.ndarray]:
-        """The contexts of many documents."""
+    def scan(self, pieces: Iterator[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+        """The contexts of many pieces of documents: (id, place of the piece in its document, bytes)."""
         parts: list[tuple] = []
         group: list[tuple[int, int, bytes]] = []  # id, place in the document, bytes
         size = 0
@@ -106,13 +111,13 @@ class Scanner:
             doc, place = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64)
             parts.append((anchor, content, doc[of], start - begin[of] + place[of], count, offset))
 
-        for i, text in zip(ids, texts):
-            for at in range(0, len(text) - LENGTH + 1, STEP):
-                piece = text[at : at + STEP + LENGTH - 1]
-                if size + len(piece) > STEP + LENGTH and group:
+        for i, place, text in pieces:
+            for at in range(0, len(text) - LENGTH + 1, self.step):
+                piece = text[at : at + self.step + LENGTH - 1]
+                if size + len(piece) > self.step + LENGTH and group:
                     flush()
                     group, size = [], 0
-                group.append((i, at, piece))
+                group.append((i, place + at, piece))
                 size += len(piece)
         if group:
             flush()
@@ -151,73 +156,91 @@ def _later(c: dict[str, np.ndarray], first: np.ndarray) -> np.ndarray:
     return (c["doc"] != c["doc"][first]) | (c["start"] != c["start"][first])
 
 
-_FOUND = "wanted boolean, doc_id long, start long, count int, anchor long"
+#: What becomes of a context: all of it repeats, it goes to an index, or to a comparison window by window.
+REPEAT, WANTED, CROWDED, MARKER = range(4)
+_FOUND = "kind int, doc_id long, start long, count int, anchor long"
 
 
-def _found(wanted: bool, c: dict[str, np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
+def _found(kind: int, c: dict[str, np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
     n = int(pick.sum())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, wanted)), pa.array(c["doc"][pick]), pa.array(c["start"][pick]), pa.array(c["count"][pick].astype(np.int32)), pa.array(c["anchor"][pick].view(np.int64))],
-        names=["wanted", "doc_id", "start", "count", "anchor"],
+        [pa.array(np.full(n, kind, np.int32)), pa.array(c["doc"][pick]), pa.array(c["start"][pick]), pa.array(c["count"][pick].astype(np.int32)), pa.array(c["anchor"][pick].view(np.int64))],
+        names=["kind", "doc_id", "start", "count", "anchor"],
     )
 
 
-def compare_contexts(docs: DataFrame) -> DataFrame:
-    """Contexts that are wholly repeats (``wanted`` false), and different contexts of one anchor (true)."""
-    buckets = partitions_for(docs, 4 << 20)
+def _crowded(anchors: np.ndarray, most: int) -> np.ndarray:
+    """Which of these sorted anchors occur more than ``most`` times."""
+    _, inverse, counts = np.unique(anchors, return_inverse=True, return_counts=True)
+    return counts[inverse] > most
+
+
+def compare_contexts(pieces: DataFrame, buckets: int, gram: int = GRAM, step: int = STEP, crowd: int = CROWD) -> DataFrame:
+    """Contexts of ``pieces`` (doc_id, place, text), but for those that surely repeat nothing, by kind.
+
+    With ``gram`` equal to LENGTH each window is its own context, and all are settled.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(gram, step)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), byte_list(batch.column(1))
-            good = [(i, t) for i, t in zip(ids, texts) if i is not None and t is not None]
-            c, first = _equal_contexts(scanner.scan([g[0] for g in good], [g[1] for g in good]))
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2)))
+            c, first = _equal_contexts(scanner.scan((i, p, t) for i, p, t in rows if i is not None and t is not None))
             own = first == np.arange(len(first))
             later = ~own & _later(c, first)
-            bucket = (c["anchor"] % np.uint64(buckets)).astype(np.int64)
-            rows = []
-            if later.any():  # packed, to go through the same shuffle
-                rows.append((int(c["doc"][later][0] % buckets), True, _pack({n: v[later] for n, v in c.items()})))
-            keep = {n: v[own] for n, v in c.items()}
-            order = np.argsort(bucket[own], kind="stable")
-            sorted_bucket = bucket[own][order]
-            cuts = np.flatnonzero(np.diff(sorted_bucket)) + 1
-            for part in np.split(order, cuts) if len(order) else ():
-                rows.append((int(bucket[own][part[0]]), False, _pack({n: v[part] for n, v in keep.items()})))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "done", "contexts"]
-            )
-
-    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            busy = np.zeros(len(own), bool)
+            busy[own] = _crowded(c["anchor"][own], crowd)
+            out = []
+            # what is settled here goes, packed, through the same shuffle; so does a marker for each crowded anchor
+            for kind, pick in ((REPEAT, later), (CROWDED, busy)):
+                if pick.any():
+                    out.append((int(c["doc"][pick][0] % buckets), kind, _pack({n: v[pick] for n, v in c.items()})))
+            marker = np.zeros(len(own), bool)
+            marker[np.flatnonzero(busy)[np.unique(c["anchor"][busy], return_index=True)[1]]] = True
+            for kind, pick in ((MARKER, marker), (WANTED, own & ~busy)):
+                keep = {n: v[pick] for n, v in c.items()}
+                bucket = (keep["anchor"] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                for part in np.split(order, cuts) if len(order) else ():
+                    out.append((int(bucket[part[0]]), kind, _pack({n: v[part] for n, v in keep.items()})))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "kind", "contexts"])
+
+    def settle(blobs: list[bytes], markers: list[bytes]) -> Iterator[pa.RecordBatch]:
         c, first = _equal_contexts(_unpack(blobs))
         own = first == np.arange(len(first))
-        yield _found(False, c, ~own & _later(c, first))
-        # anchors with two different contexts or more
+        yield _found(REPEAT, c, ~own & _later(c, first))
+        # anchors with two different contexts or more, or with one here and a crowd elsewhere
         at = np.flatnonzero(own)
         a = c["anchor"][at]
         same = a[1:] == a[:-1]
         several = np.append(same, False) | np.append(False, same)
-        pick = np.zeros(len(own), bool)
-        pick[at[several]] = True
-        yield _found(True, c, pick)
+        busy = _crowded(a, 16 * crowd)
+        if markers:
+            busy |= np.isin(a, _unpack(markers)["anchor"])
+        for kind, these in ((CROWDED, busy), (WANTED, several & ~busy)):
+            pick = np.zeros(len(own), bool)
+            pick[at[these]] = True
+            yield _found(kind, c, pick)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, markers = None, [], []
         for batch in batches:
-            for bucket, done, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if done:
+            for bucket, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if kind in (REPEAT, CROWDED):
                     c = _unpack([blob])
-                    yield _found(False, c, np.ones(len(c["doc"]), bool))
+                    yield _found(kind, c, np.ones(len(c["doc"]), bool))
                     continue
-                if bucket != current and held:
-                    yield from settle(held)
-                    held = []
+                if bucket != current:
+                    if held:
+                        yield from settle(held, markers)
+                    held, markers = [], []
                 current = bucket
-                held.append(blob)
+                (markers if kind == MARKER else held).append(blob)
         if held:
-            yield from settle(held)
+            yield from settle(held, markers)
 
-    dealt = docs.mapInArrow(scan, "bucket int, done boolean, contexts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = pieces.mapInArrow(scan, "bucket int, kind int, contexts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, _FOUND)
 
 
@@ -237,10 +260,10 @@ def _only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.mapInArrow(part(True), docs.schema), docs.mapInArrow(part(False), docs.schema)
 
 
-def match_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, start, count): runs of windows, of the ``wanted`` contexts, that have an earlier match."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
-    near, _ = _only(docs, wanted.select("doc_id"))
+def fetch_contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(anchor, doc_id, start, bytes) of contexts, from the documents that hold any."""
+    by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "anchor")).alias("asked"))
+    near, _ = _only(docs, asked.select("doc_id"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +276,11 @@ def match_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "doc_id", "start", "bytes"])
 
-    fetched = near.join(asked, "doc_id").mapInArrow(fetch, "anchor long, doc_id long, start long, bytes binary")
+    return near.join(by_doc, "doc_id").mapInArrow(fetch, "anchor long, doc_id long, start long, bytes binary")
+
+
+def match_contexts(fetched: DataFrame, partitions: int) -> DataFrame:
+    """(doc_id, start, count): runs of windows of the fetched contexts that have an earlier match."""
 
     def index(rows: list[tuple]) -> pa.RecordBatch:
         """Rows (anchor, doc, start, bytes) in that order: a place in the shard stands for the place in the corpus."""
@@ -279,17 +306,23 @@ def match_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if held:
             yield index(held)
 
-    n = partitions_for(docs, 4 << 20)
-    dealt = fetched.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    dealt = fetched.repartition(partitions, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return dealt.mapInArrow(shards, "doc_id long, start long, count int")
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
+def find_repeats(docs: DataFrame, step: int = STEP, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256) for every document; spans are the removed (start, end), in bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(compare_contexts(rows), "contexts")
-    wanted = found.where("wanted").select("doc_id", "start", "count", "anchor")
-    marks = found.where("NOT wanted").select("doc_id", "start", "count").union(match_contexts(rows, wanted))
+    buckets = partitions_for(rows, 4 << 20)
+    pieces = rows.select("doc_id", F.lit(0).cast("long").alias("place"), F.col("text").cast("binary").alias("text"))
+    found = materialize(compare_contexts(pieces, buckets, GRAM, step, crowd), "contexts")
+    of_kind = lambda kind: found.where(F.col("kind") == kind).select("doc_id", "start", "count", "anchor")
+    marks = of_kind(REPEAT).drop("anchor").union(match_contexts(fetch_contexts(rows, of_kind(WANTED)), buckets))
+    crowded = of_kind(CROWDED)
+    if crowded.limit(1).count():
+        alone = fetch_contexts(rows, crowded).select("doc_id", F.col("start").alias("place"), F.col("bytes").alias("text"))
+        windows = compare_contexts(alone, buckets, LENGTH, step, 1 << 60)
+        marks = marks.union(windows.where(F.col("kind") == REPEAT).select("doc_id", "start", "count"))
     spans = materialize(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("marks")), "marks")
     touched, untouched = _only(rows, spans.select("doc_id"))
 

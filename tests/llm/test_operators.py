@@ -382,15 +382,18 @@ def test_suffix_dedup(table, spark, tmp_path):
     assert suffix_dedup.find_repeats(spark.createDataFrame([], EMPTY)).count() == 0
 
 
-def test_suffix_dedup_of_long_texts(spark, monkeypatch):
-    """Texts longer than a step are scanned in pieces."""
-    monkeypatch.setattr(suffix_dedup, "STEP", 512)
+@pytest.mark.parametrize("step, crowd", [(512, 256), (1 << 18, 1), (512, 2)])
+def test_suffix_dedup_of_long_texts_and_crowds(spark, step, crowd):
+    """Long texts are scanned in pieces; an anchor with many different contexts is settled window by window."""
     rng = random.Random(12)
-    long = prose(rng, 900)
+    long, fixed = prose(rng, 900), "a fixed piece of exactly one anchor length or a little more than that, so it says"
     rows = [(0, long), (1, long[700:3000]), (2, "x" * 3000), (3, long + "!" + long)]
-    out = suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows += [(10 + k, prose(rng, 6) + fixed + prose(rng, 6)) for k in range(40)] + [(60 + k, "start " + fixed + " of a text like others " + str(k % 4)) for k in range(12)]
+    out = suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), step=step, crowd=crowd).collect()
     want = brute_repeats(rows)
-    assert all((r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) == want[r["doc_id"]] for r in out)
+    assert len(out) == len(rows)
+    for r in out:
+        assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
 # ---- decontamination ----
