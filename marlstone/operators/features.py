@@ -181,6 +181,30 @@ _BUILT = [
 ]
 REGISTRY: dict[str, Feature] = {f.name: f for f in _BUILT}
 
+
+def _variance_ratio_documented(k: int = 2) -> Callable[[int], Column]:
+    """Variance of k-row sums to k times the variance of single returns."""
+
+    def build(w: int) -> Column:
+        sums = sum(F.lag(R, j).over(ordered()) for j in range(1, k)) + _r()
+        return safe_div(F.var_samp(sums).over(frame(w, k - 1)), k * rolling_var(_r(), frame(w)))
+
+    return build
+
+
+#: Features by their documented definition, where what is computed by default differs from it.
+VARIANTS: dict[str, Feature] = {
+    f.name: f
+    for f in (
+        Feature("variance_ratio_documented", 5, _variance_ratio_documented(), full=True),
+        Feature("up_down_run_ratio_documented", 9, None),
+        Feature("hilbert_amplitude_documented", 10, None, tags=("hilbert",)),
+        Feature("hilbert_phase_documented", 10, None, tags=("hilbert",)),
+        *[Feature(f"wavelet_energy_{k}_documented", 13, None, tags=("wavelet",)) for k in (1, 2, 3)],
+        Feature("wavelet_noise_to_signal_documented", 13, None, tags=("wavelet",)),
+    )
+}
+
 #: The facts that the features measure.
 FACTS = {
     1: "heavy tails", 2: "volatility clustering", 3: "leverage effect", 4: "volume and volatility", 5: "linear autocorrelation", 6: "long memory", 7: "skewness", 8: "aggregational gaussianity",
@@ -195,10 +219,11 @@ def register(feature: Feature) -> None:
 
 def select_features(names: list[str] | None = None, fact: int | None = None, exclude_tags: tuple[str, ...] = ()) -> list[Feature]:
     """Features by name or by fact, without those that carry an excluded tag; unknown names raise."""
-    unknown = [n for n in names or () if n not in REGISTRY]
+    known = REGISTRY | VARIANTS
+    unknown = [n for n in names or () if n not in known]
     if unknown:
         raise KeyError(", ".join(unknown))
-    picked = [REGISTRY[n] for n in names] if names else list(REGISTRY.values())
+    picked = [known[n] for n in names] if names else list(REGISTRY.values())
     return [f for f in picked if (fact is None or f.fact == fact) and not set(f.tags) & set(exclude_tags)]
 
 
@@ -253,3 +278,16 @@ def compute_features(panel: DataFrame, names: list[str] | None = None, windows:
     out = builtin_features(panel, [f for f in picked if f.build], windows, min_periods)
     kernels = [f.name for f in picked if not f.build]
     return kernel_features(out, kernels, windows, min_periods) if kernels else out
+
+
+def wavelet_decomposition(panel: DataFrame, w: int = 20, levels: int = 3) -> DataFrame:
+    """The panel with ``wavelet_decomposition``, an array of the first ``levels`` detail energies."""
+    wide = compute_features(panel, [f"wavelet_energy_{k}" for k in range(1, levels + 1)], (w,))
+    return wide.select(*panel.columns, F.array(*[f"wavelet_energy_{k}_w{w}" for k in range(1, levels + 1)]).alias("wavelet_decomposition"))
+
+
+def hilbert_transform(panel: DataFrame, w: int = 20) -> DataFrame:
+    """The panel with ``hilbert_transform``, a struct of amplitude and phase."""
+    wide = compute_features(panel, ["hilbert_amplitude", "hilbert_phase"], (w,))
+    pair = F.struct(F.col(f"hilbert_amplitude_w{w}").alias("amplitude"), F.col(f"hilbert_phase_w{w}").alias("phase"))
+    return wide.select(*panel.columns, pair.alias("hilbert_transform"))

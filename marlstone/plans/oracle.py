@@ -91,6 +91,10 @@ def _permutation(w: int) -> str:
     return f"CASE WHEN count({code}) OVER {f} > 0 THEN -(" + " + ".join(f"coalesce({x} * ln({x}), 0)" for x in p) + ") / ln(6) END"
 
 
+def _taylor(w: int) -> str:
+    return "[" + ", ".join(corr(f"power(a, {k / 10})", f"power(a_1, {k / 10})", rows(w, 1)) for k in range(1, 21)) + "]"
+
+
 #: Feature: (expression by window, digits).
 FEATURES = {
     "rolling_kurtosis": (lambda w: f"CASE WHEN count(r) OVER {rows(w)} >= 4 THEN kurtosis(r) OVER {rows(w)} END", 4),
@@ -130,25 +134,89 @@ FEATURES = {
     "ar1_rsquared": (lambda w: f"power({acf('r', w)}, 2)", 6),
     # array kernels that SQL can state
     "extreme_ratio": (lambda w: f"CASE WHEN stddev_pop(r) OVER {rows(w)} > 0 THEN len(list_filter(list(r) OVER {rows(w)}, lambda x: abs(x) > 2 * (stddev_pop(r) OVER {rows(w)}))) / (count(r) OVER {rows(w)} * 0.04550026389635842) END", 5),
+    "optimal_taylor_exponent": (lambda w: "coalesce(0.1 * list_position(" + _taylor(w) + ", list_max(" + _taylor(w) + ")), 1.0)", 6),
     "hill_estimator": (None, 4),
     "zero_crossing_rate": (None, 6),
+    "mean_reversion_signal": (None, 5),
+    "hurst_rs": (None, 5),
+    "hurst_exponent": (None, 5),
+    "hilbert_amplitude": (None, 6),
+    "hilbert_phase": (None, 4),
+    "spectral_entropy": (None, 5),
+    "spectral_power_ratio": (None, 4),
+    "ewm_volatility": (None, 6),
+    "market_efficiency": (None, 4),
+    "adaptive_market_hypothesis": (None, 4),
 }
 UNGATED = ("dollar_volume", "volatility_of_volatility", "kurtosis_ratio", "volatility_ratio", "cumulative_return_20", "cumulative_return_60", "cumulative_return_120", "cumulative_return_252", "jegadeesh_titman_momentum")
 #: Features that need what a window function gives inside a list function: stated in two steps.
+_ZERO_CROSSINGS = "len(list_filter(range(2, n + 1), lambda i: sign(l[i] - mean) <> sign(l[i - 1] - mean))) / (n - 1)::DOUBLE"
+_CUMULATED = "list_transform(range(1, n + 1), lambda i: list_sum(d[1:i]))"
+_RS = f"CASE WHEN stddev > 0 THEN greatest(0, least(1, ln((list_max({_CUMULATED}) - list_min({_CUMULATED})) / stddev) / ln(n) + 0.5)) END"
+_LAST_Y = """2 * d[n] - (list_sum(d) + coalesce(list_sum(d[2 * n - size:n - 1]), 0)) / size
+  - power(-1, n - 1) * (list_sum(list_transform(range(1, n + 1), lambda i: power(-1, i - 1) * d[i])) + coalesce(list_sum(list_transform(range(1, size - n + 1), lambda i: power(-1, n - 1 + i) * d[n - i])), 0)) / size"""
+
+
+def _power(bins: str) -> str:
+    return f"list_transform(range(0, {bins}), lambda k: power(list_sum(list_transform(range(1, n + 1), lambda j: l[j] * cos(2 * pi() * (j - 1) * k / {bins}))), 2) + power(list_sum(list_transform(range(1, n + 1), lambda j: l[j] * sin(2 * pi() * (j - 1) * k / {bins}))), 2))"
+
+
 LISTS = {
-    "extreme_ratio": "CASE WHEN stddev > 0 THEN len(list_filter(l, lambda x: abs(x) > 2 * stddev)) / (len(l) * 0.04550026389635842) END",
-    "hill_estimator": "CASE WHEN len(l) >= 2 AND t[k] > 0 AND list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) > 0 THEN k / list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) END",
-    "zero_crossing_rate": "len(list_filter(range(2, len(l) + 1), lambda i: sign(l[i] - mean) <> sign(l[i - 1] - mean))) / (len(l) - 1)::DOUBLE",
+    "extreme_ratio": "CASE WHEN stddev > 0 THEN len(list_filter(l, lambda x: abs(x) > 2 * stddev)) / (n * 0.04550026389635842) END",
+    "hill_estimator": "CASE WHEN n >= 2 AND t[k] > 0 AND list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) > 0 THEN k / list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) END",
+    "zero_crossing_rate": _ZERO_CROSSINGS,
+    "mean_reversion_signal": f"(d[n] / nullif(sd, 0) + {_ZERO_CROSSINGS}) / 2",
+    "hurst_rs": _RS,
+    "hurst_exponent": _RS,
+    "hilbert_amplitude": f"sqrt(power(d[n], 2) + power({_LAST_Y}, 2))",
+    "hilbert_phase": f"atan2({_LAST_Y}, d[n])",
+    "spectral_entropy": "-list_sum(list_transform(pw, lambda x: CASE WHEN x > 0 THEN x / list_sum(pw) * ln(x / list_sum(pw)) ELSE 0 END))",
+    "spectral_power_ratio": "list_sum(pw[1:64]) / list_sum(pw[65:256])",
+    "_window_entropy": "-list_sum(list_transform(pw, lambda x: CASE WHEN x > 0 THEN x / list_sum(pw) * ln(x / list_sum(pw)) ELSE 0 END))",
 }
+_BINS = {"spectral_entropy": "256", "spectral_power_ratio": "256", "_window_entropy": "n"}
+
+
+def list_feature(name: str, w: int, value: str = "v") -> str:
+    """(symbol, date, value) of a feature over the list of a frame's returns."""
+    power = f", {_power(_BINS[name])} AS pw" if name in _BINS else ""
+    return f"""SELECT symbol, date, {LISTS[name]} AS {value} FROM (SELECT *{power} FROM (
+  SELECT *, len(l) AS n, least({max(10, int(w * 0.05))}, len(l)) AS k, list_transform(l, lambda x: x - mean) AS d, power(2, ceil(log2(len(l))))::INT AS size
+  FROM (SELECT symbol, date, list(r) OVER f AS l, list_reverse_sort(list(a) OVER f) AS t, stddev_pop(r) OVER f AS stddev, stddev_samp(r) OVER f AS sd, avg(r) OVER f AS mean FROM base WINDOW f AS {rows(w)})
+) WHERE n >= {min(10, w)})"""
+
+
+def ewm(half_lives: tuple[int, ...]) -> str:
+    """Each row against all rows before it, weighted by age."""
+    sums = ", ".join(f"sum(power({2 ** (-1 / h)!r}, b.rn - j.rn)) AS w{h}, sum(power({2 ** (-1 / h)!r}, 2 * (b.rn - j.rn))) AS ww{h}, sum(power({2 ** (-1 / h)!r}, b.rn - j.rn) * j.r) AS x{h}, sum(power({2 ** (-1 / h)!r}, b.rn - j.rn) * j.r * j.r) AS xx{h}" for h in half_lives)
+    values = ", ".join(f"{out(f'CASE WHEN c >= 10 THEN sqrt(greatest(0, xx{h} / w{h} - power(x{h} / w{h}, 2)) * w{h} * w{h} / (w{h} * w{h} - ww{h})) END')} AS ewm_volatility_h{h}" for h in half_lives)
+    return f"WITH {returns()}, {BASE}, s AS (SELECT b.symbol, b.date, count(*) AS c, {sums} FROM base b JOIN base j ON b.symbol = j.symbol AND j.rn <= b.rn GROUP BY ALL) SELECT symbol, date::VARCHAR AS date, {values} FROM s"
+
+
+def efficiency(name: str, windows: tuple[int, ...]) -> str:
+    """Features that scale entropies by their range over the whole history."""
+    scale = lambda x: f"(({x}) - min({x}) OVER (PARTITION BY symbol)) / nullif(max({x}) OVER (PARTITION BY symbol) - min({x}) OVER (PARTITION BY symbol), 0)"
+    steps, columns = [], []
+    for w in windows:
+        steps.append(f"e{w} AS ({list_feature('_window_entropy', w, 'se')})")
+        steps.append(f"f{w} AS (SELECT base.symbol, base.date, se, {gate(_permutation(w), w)} AS pe, {gate(f'power({acf(chr(114), w)}, 2)', w)} AS ar, {gate(f'stddev_samp(r) OVER {rows(w)}', w)} AS sd FROM base LEFT JOIN e{w} ON base.symbol = e{w}.symbol AND base.date = e{w}.date)".replace("PARTITION BY symbol ORDER BY date", "PARTITION BY base.symbol ORDER BY base.date"))
+        formula = f"(1 - {scale('se')} + 1 - {scale('pe')} + ar) / 3" if name == "market_efficiency" else f"(1 - {scale('se')} + ar + {scale('sd')}) / 3"
+        steps.append(f"g{w} AS (SELECT symbol, date, {out(formula, FEATURES[name][1])} AS v FROM f{w})")
+        columns.append(f"g{w}.v AS {name}_w{w}")
+    first, rest = windows[0], windows[1:]
+    joins = " ".join(f"JOIN g{w} ON g{first}.symbol = g{w}.symbol AND g{first}.date = g{w}.date" for w in rest)
+    return f"WITH {returns()}, {BASE}, {', '.join(steps)} SELECT g{first}.symbol, g{first}.date::VARCHAR AS date, {', '.join(columns)} FROM g{first} {joins}"
 
 
 def feature(name: str, windows: tuple[int, ...], windowed: bool) -> str:
     head = f"WITH {returns()}, {BASE}"
     _, digits = FEATURES[name]
+    if name == "ewm_volatility":
+        return ewm((10, 30, 90))
+    if name in ("market_efficiency", "adaptive_market_hypothesis"):
+        return efficiency(name, windows)
     if name in LISTS:
-        parts = []
-        for w in windows:
-            parts.append(f"(SELECT symbol, date, {out(LISTS[name], digits)} AS v FROM (SELECT symbol, date, l, t, stddev, mean, least({max(10, int(w * 0.05))}, len(l)) AS k FROM (SELECT symbol, date, list(r) OVER f AS l, list_reverse_sort(list(a) OVER f) AS t, stddev_pop(r) OVER f AS stddev, avg(r) OVER f AS mean FROM base WINDOW f AS {rows(w)})) WHERE len(l) >= {min(10, w)})")
+        parts = [f"(SELECT symbol, date, {out('v', digits)} AS v FROM ({list_feature(name, w)}))" for w in windows]
         joins = " ".join(f"LEFT JOIN {p} x{k} ON b.symbol = x{k}.symbol AND b.date = x{k}.date" for k, p in enumerate(parts))
         return f"{head} SELECT b.symbol, b.date::VARCHAR AS date, {', '.join(f'x{k}.v AS {name}_w{w}' for k, w in enumerate(windows))} FROM base b {joins}"
     build = FEATURES[name][0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marlstone.functions import expressions
 from marlstone.functions.windows import centred, rolling_mean
 from marlstone.operators import backtest, metrics, normalize, panel, policy, split
-from marlstone.operators.features import REGISTRY, add_market, column_name, compute_features
+from marlstone.operators.features import REGISTRY, add_market, column_name, compute_features, hilbert_transform, wavelet_decomposition
 from marlstone.plans import oracle
 from marlstone.sources import bars
+from marlstone.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 WINDOWS = (5, 20)
@@ -63,6 +65,39 @@ for _source in ("daily_brand", "weekly_nation"):
         return day(getattr(bars, source)(spark, sf_dir)).select("symbol", "date", *[rounded(c).alias(c) for c in bars.MEASURES])
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+
+
+_BAR_COLUMNS = ", ".join(f"{oracle.out(c)} AS {c}" for c in bars.MEASURES)
+
+
+@_query("source_csv", f"WITH {oracle.bars()} SELECT symbol, date::VARCHAR AS date, {_BAR_COLUMNS} FROM bars")
+def source_csv(spark, sf_dir):
+    """Bars written as CSV files and read back with lower-cased names."""
+    path = _scratch(spark, "csv")
+    raw = bars.weekly_nation(spark, sf_dir)
+    raw.toDF(*[c.upper() for c in raw.columns]).write.option("header", True).csv(path)
+    return day(bars.read_csv(spark, path)).select("symbol", "date", *[rounded(c).alias(c) for c in bars.MEASURES])
+
+
+@_query("source_directory", f"WITH {oracle.bars()} SELECT symbol, date::VARCHAR AS date, {_BAR_COLUMNS} FROM bars")
+def source_directory(spark, sf_dir):
+    """Bars written as Parquet files and read back as a folder."""
+    path = _scratch(spark, "parquet")
+    bars.weekly_nation(spark, sf_dir).write.parquet(path)
+    return day(bars.read_directory(spark, path, "*.parquet", "parquet")).select("symbol", "date", *[rounded(c).alias(c) for c in bars.MEASURES])
+
+
+@_query("sink_results", f"WITH {oracle.bars()} SELECT run_id, symbol, count(*) AS n FROM bars, (VALUES ('r1'), ('r2')) r(run_id) GROUP BY ALL")
+def sink_results(spark, sf_dir):
+    """Results of two runs, kept side by side and loaded together."""
+    path, one = _scratch(spark, "runs"), bars.weekly_nation(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    for run in ("r1", "r2"):
+        bars.save_results(one, path, run)
+    return bars.load_results(spark, path).select("run_id", "symbol", "n")
+
+
 _RETURNS = ("log_return", "forward_return", "simple_return", "forward_simple_return", "typical_price", "dollar_volume")
 
 
@@ -173,6 +208,23 @@ def rolling_centred_mean(spark, sf_dir):
     return day(weekly_panel(spark, sf_dir)).select("symbol", "date", rounded(rolling_mean(F.col("log_return"), centred(6))).alias("mean"))
 
 
+@_query("feature_hilbert_transform", f"WITH {oracle.returns()}, {oracle.BASE} SELECT a.symbol, a.date::VARCHAR AS date, {oracle.out('b.v1')} AS amplitude, {oracle.out('c.v2', 4)} AS phase FROM base a LEFT JOIN ({oracle.list_feature('hilbert_amplitude', 20, 'v1')}) b ON a.symbol = b.symbol AND a.date = b.date LEFT JOIN ({oracle.list_feature('hilbert_phase', 20, 'v2')}) c ON a.symbol = c.symbol AND a.date = c.date")
+def feature_hilbert_transform(spark, sf_dir):
+    out = day(hilbert_transform(weekly_panel(spark, sf_dir)))
+    return out.select("symbol", "date", rounded("hilbert_transform.amplitude").alias("amplitude"), rounded("hilbert_transform.phase", 4).alias("phase"))
+
+
+@_query("feature_wavelet_decomposition")
+def feature_wavelet_decomposition(spark, sf_dir):
+    return day(wavelet_decomposition(weekly_panel(spark, sf_dir))).select("symbol", "date", "wavelet_decomposition")
+
+
+@_query("feature_variance_ratio_documented", f"WITH {oracle.returns()}, {oracle.BASE}, s AS (SELECT *, r + r_1 AS two FROM base) SELECT symbol, date::VARCHAR AS date, " + ", ".join(f"round(CASE WHEN count(r) OVER {oracle.rows(w)} = {w} THEN var_samp(two) OVER {oracle.rows(w, 1)} / nullif(2 * var_samp(r) OVER {oracle.rows(w)}, 0) END, 5) + 0.0 AS variance_ratio_documented_w{w}" for w in WINDOWS) + " FROM s")
+def feature_variance_ratio_documented(spark, sf_dir):
+    wide = compute_features(weekly_panel(spark, sf_dir), ["variance_ratio_documented"], WINDOWS)
+    return day(wide).select("symbol", "date", *[rounded(f"variance_ratio_documented_w{w}", 5).alias(f"variance_ratio_documented_w{w}") for w in WINDOWS])
+
+
 # ---- normalisation ----
 
 _FEATURES4 = tuple(SIGNALS)
