@@ -43,6 +43,13 @@ def safe_corr(a: Column, b: Column) -> Column:
     return clamp(safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)), -1, 1)
 
 
+def rank_corr(a: Column, b: Column) -> Column:
+    """Correlation of ranks as an aggregate, from sums that are exact for ranks, so that none is 0 but for rounding."""
+    n, sa, sb = F.count(F.lit(1)), F.sum(a), F.sum(b)
+    spread = F.sqrt(n * F.sum(a * a) - sa * sa) * F.sqrt(n * F.sum(b * b) - sb * sb)
+    return clamp(safe_div(n * F.sum(a * b) - sa * sb, spread), -1, 1)
+
+
 def pooled_rank(df: DataFrame, column: str, by: str | None = None, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Exact average rank over all rows (or all rows of ``by``) without sorting them in one task.
 
@@ -107,7 +114,7 @@ def daily_ic(values: DataFrame) -> DataFrame:
     """(candidate_id, date, ic) by Spearman, for dates with two symbols or more and a defined correlation."""
     rows = complete(values)
     ranked = rows.select(ID, "date", average_rank(F.col("alpha"), ID, "date").alias("a"), average_rank(F.col("forward_return"), ID, "date").alias("y"))
-    return ranked.groupBy(ID, "date").agg(safe_corr(F.col("a"), F.col("y")).alias("ic")).where("ic IS NOT NULL")
+    return ranked.groupBy(ID, "date").agg(rank_corr(F.col("a"), F.col("y")).alias("ic")).where("ic IS NOT NULL")
 
 
 def ic_stability(values: DataFrame) -> DataFrame:

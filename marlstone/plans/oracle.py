@@ -252,11 +252,16 @@ def agg_corr(a: str, b: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN greatest(-1, least(1, {c})) END"
 
 
+def rank_corr(a: str, b: str) -> str:
+    c = f"(count(*) * sum({a} * {b}) - sum({a}) * sum({b})) / nullif(sqrt(count(*) * sum({a} * {a}) - sum({a}) * sum({a})) * sqrt(count(*) * sum({b} * {b}) - sum({b}) * sum({b})), 0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest(-1, least(1, {c})) END"
+
+
 METRIC_PARTS = f"""
 pooled AS (SELECT c, {avg_rank('alpha', 'c')} AS ra, {avg_rank('y', 'c')} AS ry, alpha, y FROM v),
 ic AS (SELECT c, coalesce({agg_corr('ra', 'ry')}, 0) AS ic, coalesce({agg_corr('alpha', 'y')}, 0) AS pearson, count(*) AS n FROM pooled GROUP BY c),
 dr AS (SELECT c, date, {avg_rank('alpha', 'c, date')} AS ra, {avg_rank('y', 'c, date')} AS ry FROM v),
-dic AS (SELECT c, date, {agg_corr('ra', 'ry')} AS ic FROM dr GROUP BY c, date),
+dic AS (SELECT c, date, {rank_corr('ra', 'ry')} AS ic FROM dr GROUP BY c, date),
 stab AS (SELECT c, avg((ic > 0)::INT) AS ic_stability FROM dic WHERE ic IS NOT NULL GROUP BY c),
 rk AS (SELECT *, row_number() OVER (PARTITION BY c, date ORDER BY alpha, symbol) AS lo, row_number() OVER (PARTITION BY c, date ORDER BY alpha DESC, symbol) AS hi, count(*) OVER (PARTITION BY c, date) AS n FROM v),
 daily AS (SELECT c, date, avg(CASE WHEN lo > n - n // 5 THEN y END) - avg(CASE WHEN lo <= n // 5 THEN y END) AS p FROM rk WHERE n >= 5 GROUP BY c, date),
