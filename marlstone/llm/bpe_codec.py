@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split at ASCII white space, which the tokenizer drops, so that a text
-encodes as its words do, one after the other. Documents are read in blocks. Of
+encodes as its words do, one after the other. Documents are read in blocks of about 8 MB. Of
 each block the distinct words are dealt by hash to buckets, where each distinct
 word is encoded once (the library is called once a word and bucket, for all blocks); the ids go
 back to the block by position, and the documents are put together there.
@@ -34,7 +34,7 @@ from marlstone.llm.common import byte_list
 from marlstone.llm.token_counts import read_tokenizer
 from marlstone.storage import partitions_for
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of input (as stored) for each bucket of words.
 BUCKET_BYTES = 8 << 20
 
@@ -191,29 +191,29 @@ def transcode(docs: DataFrame, tokenizer_json: str, emit: str = "digest") -> Dat
                     lists[bucket] = raw
                     continue
                 low, high, null, lengths, bucket_of, sequence = _expand(raw, 6)
-                ids: list = [None] * len(bucket_of)
-                order = np.argsort(bucket_of, kind="stable")
-                at = 0
+                n = len(bucket_of)
+                size, ids, as_text, as_piece = np.zeros(n, np.int64), [()] * n if emit == "texts" else None, [""] * n, [""] * n
+                order, at = np.argsort(bucket_of, kind="stable"), 0
                 for b in np.unique(bucket_of):
                     counts, values = _expand(lists[int(b)], 2)
-                    ends = np.cumsum(counts).tolist()
+                    own = order[at : at + len(counts)]
+                    size[own] = counts
                     values, start = values.tolist(), 0
-                    for k, end in zip(order[at : at + len(counts)].tolist(), ends):
-                        ids[k] = values[start:end]
+                    for k, end in zip(own.tolist(), np.cumsum(counts).tolist()):
+                        x = values[start:end]
+                        as_text[k], as_piece[k] = " ".join([text_of[i] for i in x]), " ".join([piece[i] for i in x])
+                        if ids is not None:
+                            ids[k] = x
                         start = end
                     at += len(counts)
-                as_text = [" ".join([text_of[i] for i in x]) for x in ids]
-                as_piece = [" ".join([piece[i] for i in x]) for x in ids]
-                size = np.fromiter(map(len, ids), np.int64, len(ids))
-                blank = bool(len(size)) and bool((size == 0).any())
+                blank = bool((size == 0).any())
                 doc_ids = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
                 out, start = ([], [], []), 0
-                for n in lengths.tolist():
-                    words = sequence[start : start + n].tolist()
-                    start += n
-                    if blank:
-                        words = [w for w in words if ids[w]]
-                    out[0].append(sum([len(ids[w]) for w in words]))
+                for length in lengths.tolist():
+                    part = sequence[start : start + length]
+                    start += length
+                    out[0].append(int(size[part].sum()))
+                    words = (part[size[part] > 0] if blank else part).tolist()
                     decoded = " ".join([as_piece[w] for w in words])
                     if emit == "texts":
                         out[1].append([i for w in words for i in ids[w]])

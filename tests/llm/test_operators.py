@@ -201,6 +201,8 @@ def test_bpe_codec(table, spark):
     joined = {r["doc_id"]: r["decoded"] for r in bpe_codec.decode(whole, source).collect()}
     assert all(joined[r["doc_id"]] == r["decoded"] for r in whole.collect())
     assert bpe_codec.transcode(spark.createDataFrame([], EMPTY), source).count() == 0
+    one = spark.createDataFrame([(1, "the same block")], "doc_id long, text string").coalesce(1)
+    assert bpe_codec.transcode(one.union(one).union(one), source).count() == 3  # equal blocks share their words
     with pytest.raises(ValueError):
         bpe_codec.transcode(table, token_counts.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
