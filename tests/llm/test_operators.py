@@ -331,6 +331,14 @@ def test_fuzzy_lines_edges(spark):
         fuzzy_lines.dedup_lines(docs, radius=4)
 
 
+def test_fuzzy_lines_of_shared_ids(spark):
+    """A line goes only for its own text, never for the number of a line of another row with the same id."""
+    rows = [(None, "alpha beta unique"), (None, "a line seen before"), (1, "a line seen before"), (7, "gamma delta unique\nx y"), (7, "a line seen before\nz"), (9, "first of\ntwice here now"), (9, "twice here now\ntwice here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in fuzzy_lines.dedup_lines(docs).collect())
+    assert out == [(0, ""), (0, "alpha beta unique"), (1, "a line seen before"), (7, "gamma delta unique\nx y"), (7, "z"), (9, "first of"), (9, "twice here now")]
+
+
 # ---- long repeats ----
 
 
