@@ -10,7 +10,9 @@ the coefficients.
 
 Learning uses a bounded sample: about ``landmarks`` landmark texts of at most
 ``max_landmark_bytes`` bytes (any length, if there are none so short) and about ``train_rows`` training rows, drawn by a hash of
-the id, evenly over the languages. The kernel rows of the training texts are
+the id, evenly over the languages. Every label is learned: with many languages
+both samples grow to LEAST_LANDMARKS landmark texts and LEAST_ROWS training rows
+a language, and the presence matrix with them. The kernel rows of the training texts are
 computed on the executors over whole texts.
 
 Defined results for edge cases: null text or a text without a letter gives
@@ -33,6 +35,9 @@ from marlstone.llm.common import crc_mod
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 BATCH = 64
+#: Landmark texts and training rows of a language, at least, however many languages there are.
+LEAST_LANDMARKS = 4
+LEAST_ROWS = 16
 
 
 def grams(text: str) -> list[np.ndarray]:
@@ -87,20 +92,18 @@ def _share(seed: int) -> Column:
 
 def _draw(train: DataFrame, counts: dict[str, int], each: int, seed: int) -> DataFrame:
     """About ``each`` rows of each language, chosen by a hash of the id."""
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * each / n + 10 / n))).otherwise(rate)
-    return train.where(_share(seed) < rate)
+    rates = train.sparkSession.createDataFrame([(lang, min(1.0, 1.3 * each / n + 10 / n)) for lang, n in counts.items()], "lang string, rate double")
+    return train.join(F.broadcast(rates), "lang").where(_share(seed) < F.col("rate"))
 
 
-def learn(docs: DataFrame, landmarks: int = 128, train_rows: int = 2048, ridge: float = 0.1, max_landmark_bytes: int = 8192, max_langs: int = 64):
+def learn(docs: DataFrame, landmarks: int = 128, train_rows: int = 2048, ridge: float = 0.1, max_landmark_bytes: int = 8192):
     """The model as (languages, Landmarks, coefficients), or None without labelled text."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), 5) != 0))
-    found = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    found = train.groupBy("lang").count().collect()
     if not found:
         return None
     counts = {r["lang"]: r["count"] for r in sorted(found, key=lambda r: r["lang"])}
-    each, trained = max(2, landmarks // len(counts)), max(8, train_rows // len(counts))
+    each, trained = max(LEAST_LANDMARKS, landmarks // len(counts)), max(LEAST_ROWS, train_rows // len(counts))
     drawn = _draw(train, counts, 4 * each, 1).select("lang", "text", F.octet_length("text").alias("size"))
     rows = drawn.where(F.col("size") <= max_landmark_bytes).select("lang", "text").collect()
     rows = rows or drawn.orderBy("size").limit(landmarks).select("lang", "text").collect()

@@ -76,6 +76,15 @@ def test_language_id(spark, tmp_path):
     assert language_id.keep_identified(docs, language_id.learn(docs, 16, 64)).columns == docs.columns
 
 
+def test_language_id_learns_every_label(spark):
+    rng = random.Random(8)
+    own = {f"l{n:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for n in range(70)}
+    rows = [(100 * n + k, " ".join(rng.choice(words) for _ in range(40)), lang) for n, (lang, words) in enumerate(own.items()) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language_id.predict(docs, language_id.learn(docs)))
+    assert all(got[k]["lang_pred"] == lang for k, _, lang in rows)
+
+
 def test_language_kernel_is_the_presence_kernel():
     a, b = "abcab", "bcabd"
     grams = lambda t: {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
