@@ -139,7 +139,11 @@ def link_groups(members: DataFrame, linker: Linker, partitions: int, tile_rows:
             id_kind = rest.schema.field("id").type
             codes = keys.dictionary_encode()
             change = np.flatnonzero(np.diff(codes.indices.to_numpy())) + 1
-            for low, high in zip([0, *change], [*change, len(keys)]):
+            lows, highs = np.array([0, *change], np.int64), np.array([*change, len(keys)], np.int64)
+            # a group of one row within a batch has no pairs; the first and last may go on in other batches
+            some = highs - lows > 1
+            some[[0, -1]] = True
+            for low, high in zip(lows[some], highs[some]):
                 this = keys[int(low)].as_py()
                 if key is not None and this != key:
                     yield from close(key, False)

@@ -11,10 +11,15 @@ Defined results for edge cases: null and empty texts, and texts without a word,
 have fingerprint zero and are linked like any other; repeated rows share a
 component; rows with a null id are fingerprinted, and never name a component;
 other columns are ignored; an empty table gives an empty result.
+
+``near_duplicates`` is op2's query (3-word shingles, 2 of 64 bits);
+``similar_sets``, which the pipeline uses, links by the exact similarity of
+5-word shingle sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -24,12 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlstone.llm.common import byte_list, map_rows
 from marlstone.llm.components import connected_components
-from marlstone.llm.linking import near
+from marlstone.llm.linking import link_groups, near
+from marlstone.llm.minhash import band_keys
 from marlstone.storage import materialize, partitions_for
 
 SEED = 42
 PARTS = 4
 TILE = 2048
+#: Of ``similar_sets``: words of a shingle, least Jaccard similarity, MinHash bands and values of a band (a pair at 0.8 meets with probability 0.9998).
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 16
+ROWS = 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -136,5 +147,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct hashes (uint64) of the word shingles of a text, in order; none for a text without a word."""
+    import xxhash
+
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, starts = b" ".join(words), list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    ends = starts[shingle:] if len(words) > shingle else [len(joined) + 1]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends)], np.uint64))
+
+
+def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row; components of the links between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Texts meet if they share one of BANDS MinHash bands, and each pair of a
+    group of such texts is verified with its exact sets. Texts with equal sets
+    count as one; those without a word are one set. component_id is the
+    smallest id reachable, null ids never name one.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, shingle) for t in byte_list(batch.column(1))]
+        some = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+        keys = band_keys((np.concatenate(some) >> np.uint64(32)).astype(np.uint32), np.fromiter(map(len, some), np.int64, len(some)), BANDS, ROWS)
+        names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "text", "set", "bands"]
+        )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = materialize(map_rows(rows, run, "doc_id long, text string, set binary, bands array<long>"), "shingle-sets")
+    classes = materialize(sets.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "set-classes")
+    members = classes.select(F.posexplode("bands").alias("band", "value"), F.col("set").alias("id"))
+
+    def meet(one: pa.Table, two: pa.Table | None):
+        n = len(one) if two is None else 2  # two tiles of one group need one link
+        return np.zeros(n - 1, np.int64), np.arange(1, n) if two is None else np.array([len(one)])
+
+    groups = connected_components(link_groups(members.select(F.concat_ws("-", "band", "value").alias("key"), "id"), meet, partitions_for(classes, 2 << 20)))
+    groups = materialize(groups.select(F.col("node").alias("set"), "root"), "shared-bands")
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = pa.array([shingle_hashes(t, shingle).tobytes() for t in byte_list(batch.column(2))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes], names=["set", "root", "hashes"])
+
+    # the sets themselves, of those texts alone that meet another
+    texts = sets.select("set", "text").join(groups, "set").groupBy("set").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    held = materialize(map_rows(texts, hashed, "set binary, root binary, hashes binary"), "shared-sets")
+
+    def verify(one: pa.Table, two: pa.Table | None):
+        sets = [np.frombuffer(x, np.uint64) for t in (one, two) if t is not None for x in t["hashes"].to_pylist()]
+        parent = list(range(len(sets)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for k in range(len(one)):
+            for j in range(k + 1 if two is None else len(one), len(sets)):
+                few, many = sorted((len(sets[k]), len(sets[j])))
+                if few < similarity * many - 1e-9 or (a := root(k)) == (b := root(j)):
+                    continue
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if both >= similarity * (few + many - both) - 1e-9:
+                    parent[b] = a
+                    found.append((k, j))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    links_of = link_groups(held.select(F.hex("root").alias("key"), F.col("set").alias("id"), "hashes"), verify, partitions_for(held, 1 << 20), tile_rows=256)
+    roots = connected_components(links_of)
+    named = classes.select("set", "id").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return sets.select("doc_id", "set").join(named.join(least, "root").select("set", "component_id"), "set", "left").select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -135,6 +135,33 @@ def test_simhash_without_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_similar_sets(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    texts = []
+    for k in range(40):
+        words = fresh(200)
+        texts.append(words)
+        for edits in rng.choices(range(1, 7), k=2):
+            copy = list(words)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "changed"
+            texts.append(copy)
+    texts += [fresh(3), fresh(3), []]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    want = components_of(range(len(texts)), [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(None, " ".join(texts[0])), (0, " ".join(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = simhash.similar_sets(docs).collect()
+    assert len(out) == len(rows) and all(r["component_id"] == want[r["doc_id"] or 0] for r in out)
+    assert 20 < len(set(want.values())) < len(texts) - 20
+    kept = {r["doc_id"] for r in pipeline.dedup_documents(spark, docs, "").collect()} - {None}
+    assert kept == set(want.values())
+    assert simhash.similar_sets(spark.createDataFrame([], EMPTY)).count() == 0
+
+
 def test_simhash_links_of_random_fingerprints(spark):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(300)}
