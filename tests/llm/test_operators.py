@@ -375,6 +375,26 @@ def test_fuzzy_lines_of_shared_ids(spark):
     assert out == [(0, ""), (0, "alpha beta unique"), (1, "a line seen before"), (7, "gamma delta unique\nx y"), (7, "z"), (9, "first of"), (9, "twice here now")]
 
 
+def test_fuzzy_lines_by_edit_similarity(spark):
+    """Without a radius only edit similarity counts: no line goes for less, and nearly all with some edits do."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(150):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.choice([12, 30, 36, 60, 150, 300])))
+        line = " ".join(line.split())
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 50)):
+            copy[at] = rng.choice("0123456789")
+        rows += [(2 * k, line), (2 * k + 1, "".join(copy))]
+    rows += [(1000, "日本語の一行です、二度あります"), (1001, "日本語の一行です、二度あります"), (1002, "ab"), (1003, "ab")]
+    out = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), radius=None).collect()}
+    text = dict(rows)
+    gone = {k for k, n in out.items() if n}
+    assert all(any(fuzzy_lines.similar(text[k], text[j], 0.8) for j in text if j != k) for k in gone)
+    assert not gone & {1000, 1002, 1003} and 1001 in gone
+    assert len(gone & set(range(1, 300, 2))) >= 135
+
+
 # ---- long repeats ----
 
 
