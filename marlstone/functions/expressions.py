@@ -1,18 +1,18 @@
 """Signal expressions over feature columns: + - * /, abs and neg.
 
-A small recursive parser turns text into a tree; a tree becomes a Column.
-Names are letters, digits and underscores; division by zero gives NULL.
+Text is read by Python's own ``ast`` module and held against a short list of
+what is allowed; the tree becomes a Column. Division by zero gives NULL.
 """
 
 from __future__ import annotations
 
-import re
+import ast
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_]\w*)|(\*\*|[-+*/()^]))")
 FUNCTIONS = ("abs", "neg")
+_OPERATORS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
 #: What an operator costs, and the limits of an expression.
 COSTS = {"/": 2}
 MAX_SIZE, MAX_DEPTH, PARSIMONY = 18, 5, 0.012
@@ -29,83 +29,31 @@ class Node:
     args: tuple[Node, ...] = ()
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ExpressionError(f"unexpected character at {at}: {text[at:at + 10]!r}")
-        out.append(("number", m[1]) if m[1] else ("name", m[2]) if m[2] else ("sign", m[3]))
-        at = m.end()
-    return out
-
-
 def parse(text: str) -> Node:
     if not text or not text.strip():
         raise ExpressionError("empty expression")
-    tokens = [*_tokens(text), ("end", "")]
-    at = 0
-
-    def take(value: str) -> bool:
-        nonlocal at
-        if tokens[at][1] == value and tokens[at][0] == "sign":
-            at += 1
-            return True
-        return False
+    try:
+        return _allowed(ast.parse(text.strip(), mode="eval").body)
+    except (SyntaxError, RecursionError) as e:
+        raise ExpressionError(f"no expression: {text!r}") from e
 
-    def need(value: str) -> None:
-        if not take(value):
-            raise ExpressionError(f"expected {value!r}, found {tokens[at][1]!r}")
-
-    def total() -> Node:
-        left = product()
-        while tokens[at][1] in ("+", "-"):
-            op = tokens[at][1]
-            take(op)
-            left = Node(op, args=(left, product()))
-        return left
-
-    def product() -> Node:
-        left = unary()
-        while tokens[at][1] in ("*", "/"):
-            op = tokens[at][1]
-            take(op)
-            right = unary()
-            if op == "/" and right.op == "number" and right.value == 0:
-                raise ExpressionError("division by zero")
-            left = Node(op, args=(left, right))
-        return left
-
-    def unary() -> Node:
-        if take("-"):
-            return Node("neg", args=(unary(),))
-        return atom()
-
-    def atom() -> Node:
-        nonlocal at
-        kind, value = tokens[at]
-        if take("("):
-            inner = total()
-            need(")")
-            return inner
-        at += 1
-        if kind == "number":
+
+def _allowed(node: ast.AST) -> Node:
+    match node:
+        case ast.Constant(value=int() | float() as value) if not isinstance(value, bool):
             return Node("number", float(value))
-        if kind == "name":
-            if take("("):
-                if value not in FUNCTIONS:
-                    raise ExpressionError(f"function not allowed: {value}")
-                inner = total()
-                need(")")
-                return Node(value, args=(inner,))
-            return Node("name", value)
-        raise ExpressionError(f"unexpected {value or 'end'!r}")
-
-    tree = total()
-    if tokens[at][0] != "end":
-        raise ExpressionError(f"unexpected {tokens[at][1]!r}")
-    return tree
+        case ast.Name(id=name):
+            return Node("name", name)
+        case ast.UnaryOp(op=ast.USub(), operand=inner):
+            return Node("neg", args=(_allowed(inner),))
+        case ast.Call(func=ast.Name(id=name), args=[inner], keywords=[]) if name in FUNCTIONS:
+            return Node(name, args=(_allowed(inner),))
+        case ast.BinOp(left=left, op=op, right=right) if type(op) in _OPERATORS:
+            out = Node(_OPERATORS[type(op)], args=(_allowed(left), _allowed(right)))
+            if out.op == "/" and out.args[1].op == "number" and out.args[1].value == 0:
+                raise ExpressionError("division by zero")
+            return out
+    raise ExpressionError(f"not allowed: {ast.unparse(node)}")
 
 
 def walk(tree: Node):
@@ -169,19 +117,25 @@ def predict(features: DataFrame, expression: str, name: str = "alpha") -> DataFr
 
 
 def candidate_table(spark: SparkSession, expressions: list[str]) -> DataFrame:
-    """(candidate_id, expression, is_valid, complexity, depth, features, n_features, n_operators)."""
+    """(candidate_id, expression, is_valid, within_limits, complexity, depth, features, n_features, n_operators)."""
     rows = []
     for k, text in enumerate(expressions):
         if is_valid(text):
             t = parse(text)
-            rows.append((k, text, True, complexity(t), depth(t), used_features(t), len(used_features(t)), sum(operator_counts(t).values())))
+            rows.append((k, text, True, within_limits(t), complexity(t), depth(t), used_features(t), len(used_features(t)), sum(operator_counts(t).values())))
         else:
-            rows.append((k, text, False, None, None, None, None, None))
-    return spark.createDataFrame(rows, "candidate_id int, expression string, is_valid boolean, complexity int, depth int, features array<string>, n_features int, n_operators int")
+            rows.append((k, text, False, False, None, None, None, None, None))
+    return spark.createDataFrame(rows, "candidate_id int, expression string, is_valid boolean, within_limits boolean, complexity int, depth int, features array<string>, n_features int, n_operators int")
+
+
+#: Most candidates that are compared pair by pair: a short list, such as ``metrics.best`` gives.
+MAX_COMPARED = 100
 
 
 def compare(candidates: DataFrame) -> DataFrame:
-    """Pairs of candidates: same text, same features, differences of complexity (and loss, if there is one)."""
+    """Pairs of candidates: same text, same features, differences of complexity (and loss, if there is one); more than MAX_COMPARED raise."""
+    if candidates.limit(MAX_COMPARED + 1).count() > MAX_COMPARED:
+        raise ValueError(f"more than {MAX_COMPARED} candidates to compare")
     left, right = candidates.alias("l"), candidates.alias("r")
     out = [
         F.col("l.candidate_id").alias("left_id"), F.col("r.candidate_id").alias("right_id"), (F.col("l.expression") == F.col("r.expression")).alias("same_text"),
@@ -192,12 +146,25 @@ def compare(candidates: DataFrame) -> DataFrame:
     return left.join(right, F.col("l.candidate_id") < F.col("r.candidate_id")).select(*out)
 
 
-def enumerate_expressions(features: list[str], operators: tuple[str, ...] = ("+", "-", "*", "/"), unary: tuple[str, ...] = ("neg", "abs")) -> list[str]:
-    """All features, their negatives and absolute values, and all pairs under each operator (once for those that commute)."""
-    out = list(features) + [f"{u}({f})" for u in unary for f in features]
-    for op in operators:
-        for i, a in enumerate(features):
-            for j, b in enumerate(features):
-                if i != j and (op in "-/" or i < j) or i == j and op == "*":
-                    out.append(f"{a} {op} {b}")
-    return out
+def enumerate_expressions(
+    features: list[str], operators: tuple[str, ...] = ("+", "-", "*", "/"), unary: tuple[str, ...] = ("neg", "abs"), levels: int = 1, limit: int = 10_000
+) -> list[str]:
+    """The grammar in order of nesting, within MAX_SIZE and MAX_DEPTH.
+
+    Level 0 holds the features; each further level applies every operator to
+    what the levels before it hold (once for those that commute). More than
+    ``limit`` expressions raise, none is left out.
+    """
+    held: list[tuple[str, int]] = [(f, 0) for f in features]  # text and level
+    for level in range(1, levels + 1):
+        part = lambda x: x if x.isidentifier() else f"({x})"
+        new = [f"{u}({a})" for u in unary for a, at in held if at == level - 1]
+        for op in operators:
+            for i, (a, at) in enumerate(held):
+                for j, (b, bt) in enumerate(held):
+                    if max(at, bt) == level - 1 and (i != j and (op in "-/" or i < j) or i == j and op == "*"):
+                        new.append(f"{part(a)} {op} {part(b)}")
+        held += [(x, level) for x in new if within_limits(parse(x))]
+        if len(held) > limit:
+            raise ValueError(f"more than {limit} expressions; take fewer features or levels")
+    return [x for x, _ in held]

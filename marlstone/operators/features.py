@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marlstone.functions.windows import (
     MIN_PERIODS, clamp, frame, gated, ordered, rolling_autocorr, rolling_corr, rolling_cov, rolling_kurt, rolling_mean, rolling_r2, rolling_skew, rolling_std, rolling_var, safe_div,
@@ -159,7 +159,7 @@ _BUILT = [
     *[_build(f"cumulative_return_{n}", 11, lambda w, n=n: _full(_product(n), n), windowed=False, count=1) for n in (20, 60, 120, 252)],
     _build("trend_strength", 11, lambda w: safe_div(rolling_mean(_r(), frame(w)), rolling_std(_r(), frame(w))) * (252 / w) ** 0.5),
     _build("trend_linearity", 11, lambda w: rolling_r2(F.col("_total"), F.col("_row"), frame(w)), steps=(
-        ("_total", lambda w: F.sum(R).over(ordered().rowsBetween(-(1 << 30), 0))), ("_row", lambda w: F.row_number().over(ordered()).cast("double")),
+        ("_total", lambda w: F.sum(R).over(ordered().rowsBetween(Window.unboundedPreceding, 0))), ("_row", lambda w: F.row_number().over(ordered()).cast("double")),
     )),
     _build("jegadeesh_titman_momentum", 11, lambda w: _full(_product(252), 252) - _full(_product(20), 20), windowed=False, count=1),
     _build("rolling_beta", 12, lambda w: safe_div(rolling_cov(_r(), F.col("market_return"), frame(w)), rolling_var(F.when(_r().isNotNull(), F.col("market_return")), frame(w))), needs=_MARKET),
@@ -235,8 +235,6 @@ def feature_summary(spark) -> DataFrame:
 
 def add_market(panel: DataFrame) -> DataFrame:
     """Equal-weighted market return per date, and the one of the market's previous date (one row a date)."""
-    from pyspark.sql import Window
-
     market = panel.groupBy("date").agg(F.avg(R).alias("market_return"))
     market = market.withColumn("market_lag", F.lag("market_return").over(Window.orderBy("date")))
     # one row a date, and no symbols: its size is bounded by the calendar, but the join is left to the optimiser

@@ -89,16 +89,16 @@ def run_ratio(shifted: bool) -> Callable[[np.ndarray], np.ndarray]:
     """
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        for k, row in enumerate(np.sign(x)):
-            ends = np.append(np.flatnonzero(np.diff(row)), len(row) - 1)
-            lengths, signs = np.diff(np.concatenate(([-1], ends))), row[ends]
-            if shifted:
-                lengths, signs = lengths[:-1], signs[1:]
-            up, down = lengths[signs > 0], lengths[signs < 0]
-            if len(up) and len(down):
-                out[k] = up.mean() / down.mean()
-        return out
+        m, n = x.shape
+        sign = np.sign(x)
+        # a run ends where the sign changes and at the end of a window
+        ends = np.flatnonzero(np.column_stack((sign[:, 1:] != sign[:, :-1], np.ones(m, bool))))
+        lengths, signs, row = np.diff(ends, prepend=-1), sign.ravel()[ends], ends // n
+        if shifted:
+            same = row[1:] == row[:-1]
+            lengths, signs, row = lengths[:-1][same], signs[1:][same], row[1:][same]
+        mean = lambda side: _divide(np.bincount(row[side], lengths[side], m), np.bincount(row[side], minlength=m))
+        return mean(signs > 0) / mean(signs < 0)
 
     return kernel
 
@@ -184,19 +184,41 @@ def taylor_exponent(x: np.ndarray, points: int = 20, low: float = 0.1, high: flo
 def ewm_std(x: np.ndarray, half_life: float, least: int = 10) -> np.ndarray:
     """Exponentially weighted, bias-corrected standard deviation of a whole series; gaps keep their place in time."""
     decay = 2.0 ** (-1.0 / half_life)
-    out, s0, s00, s1, s2, n, shift = np.full(len(x), np.nan), 0.0, 0.0, 0.0, 0.0, 0, None
-    for k, v in enumerate(x):
-        s0, s00, s1, s2 = s0 * decay, s00 * decay * decay, s1 * decay, s2 * decay
-        if v == v:
-            shift = v if shift is None else shift
-            v -= shift  # a series far from zero would lose its variance to rounding
-            s0, s00, s1, s2, n = s0 + 1, s00 + 1, s1 + v, s2 + v * v, n + 1
-        if n >= least and s0 * s0 > s00:
-            variance = max(0.0, s2 / s0 - (s1 / s0) ** 2) * s0 * s0 / (s0 * s0 - s00)
-            out[k] = math.sqrt(variance)
+    have = ~np.isnan(x)
+    # a series far from zero would lose its variance to rounding
+    v = np.where(have, x - x[have.argmax()], 0.0) if have.any() else np.zeros(len(x))
+    s0, s1, s2 = (_decayed_sums(y, decay, half_life) for y in (have.astype(float), v, v * v))
+    s00 = _decayed_sums(have.astype(float), decay * decay, half_life)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        variance = np.maximum(0.0, s2 / s0 - (s1 / s0) ** 2) * s0 * s0 / (s0 * s0 - s00)
+    return np.where((np.cumsum(have) >= least) & (s0 * s0 > s00), np.sqrt(variance), np.nan)
+
+
+def _decayed_sums(y: np.ndarray, decay: float, half_life: float) -> np.ndarray:
+    """Sums of all values so far, each times ``decay`` to the power of its age; block by block, so that powers stay in range."""
+    size = max(16, int(8 * half_life))
+    power, out, carry = decay ** np.arange(size + 1), np.empty(len(y)), 0.0
+    for k in range(0, len(y), size):
+        part = y[k : k + size]
+        out[k : k + size] = power[: len(part)] * (carry * decay + np.cumsum(part / power[: len(part)]))
+        carry = out[k + len(part) - 1]
     return out
 
 
+class _Once:
+    """A transform that several kernels share: computed once for the matrix that they are all given."""
+
+    def __init__(self, fn):
+        self.fn, self.seen, self.value = fn, None, None
+
+    def __call__(self, x: np.ndarray):
+        if x is not self.seen:
+            self.seen, self.value = x, self.fn(x)
+        return self.value
+
+
+_hilbert, _hilbert_documented, _energies = _Once(lambda x: hilbert_last(x)), _Once(lambda x: hilbert_last(x, True)), _Once(lambda x: wavelet_energies(x))
+
 #: Column suffix and kernel of each feature that works on single windows.
 KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "hill_estimator": hill_estimator,
@@ -206,15 +228,15 @@ KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "hurst_dfa": hurst_dfa,
     "up_down_run_ratio": run_ratio(True),
     "up_down_run_ratio_documented": run_ratio(False),
-    "hilbert_amplitude": lambda x: hilbert_last(x)[0],
-    "hilbert_phase": lambda x: hilbert_last(x)[1],
-    "hilbert_amplitude_documented": lambda x: hilbert_last(x, True)[0],
-    "hilbert_phase_documented": lambda x: hilbert_last(x, True)[1],
+    "hilbert_amplitude": lambda x: _hilbert(x)[0],
+    "hilbert_phase": lambda x: _hilbert(x)[1],
+    "hilbert_amplitude_documented": lambda x: _hilbert_documented(x)[0],
+    "hilbert_phase_documented": lambda x: _hilbert_documented(x)[1],
     "zero_crossing_rate": zero_crossing_rate,
-    **{f"wavelet_energy_{k}": lambda x, k=k: wavelet_energies(x)[k - 1] for k in (1, 2, 3)},
-    **{f"wavelet_energy_{k}_documented": lambda x, k=k: wavelet_energies(x)[3 - k] for k in (1, 2, 3)},
-    "wavelet_noise_to_signal": lambda x: (lambda e: _divide(e[0], e[2]))(wavelet_energies(x)),
-    "wavelet_noise_to_signal_documented": lambda x: (lambda e: _divide(e[2], e[0]))(wavelet_energies(x)),
+    **{f"wavelet_energy_{k}": lambda x, k=k: _energies(x)[k - 1] for k in (1, 2, 3)},
+    **{f"wavelet_energy_{k}_documented": lambda x, k=k: _energies(x)[3 - k] for k in (1, 2, 3)},
+    "wavelet_noise_to_signal": lambda x: _divide(_energies(x)[0], _energies(x)[2]),
+    "wavelet_noise_to_signal_documented": lambda x: _divide(_energies(x)[2], _energies(x)[0]),
     "spectral_power_ratio": spectral_power_ratio,
     "spectral_entropy": spectral_entropy,
     "optimal_taylor_exponent": taylor_exponent,
@@ -229,23 +251,27 @@ def register_kernel(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> No
     KERNELS[name] = kernel
 
 
-def over_windows(x: np.ndarray, w: int, kernel: Callable[[np.ndarray], np.ndarray], least: int, batch: int = 1 << 20) -> np.ndarray:
-    """The kernel over the last ``w`` values of each position; frames with gaps count the values that they have."""
-    out = np.full(len(x), np.nan)
-    gaps = np.isnan(x)
-    if not gaps.any() and len(x) >= w:
-        windows = np.lib.stride_tricks.sliding_window_view(x, w)
-        step = max(1, batch // w)
-        for k in range(0, len(windows), step):
-            out[w - 1 + k : w - 1 + k + step] = kernel(np.ascontiguousarray(windows[k : k + step]))
-        partial = range(min(w - 1, len(x)))
-    else:
-        partial = range(len(x))
-    for k in partial:
-        part = x[max(0, k - w + 1) : k + 1]
-        part = part[~np.isnan(part)]
-        if len(part) >= least:
-            out[k] = kernel(part[None, :])[0]
+def over_windows(x: np.ndarray, w: int, kernels: dict[str, Callable[[np.ndarray], np.ndarray]], least: int, batch: int = 1 << 20) -> dict[str, np.ndarray]:
+    """Each kernel over the last ``w`` values of each position; frames with gaps, or at the start, count the values that they have.
+
+    Frames with the same number of values go to the kernels together, as one matrix.
+    """
+    out = {name: np.full(len(x), np.nan) for name in kernels}
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w - 1, np.nan), x]), w)
+    have = np.cumsum(~np.isnan(x))
+    have[w:] -= have[:-w].copy()
+    order = np.argsort(have, kind="stable")
+    cuts = np.flatnonzero(np.diff(have[order])) + 1
+    for rows in np.split(order, cuts):
+        n = int(have[rows[0]]) if len(rows) else 0
+        if n < max(1, least):
+            continue
+        for k in range(0, len(rows), max(1, batch // w)):
+            at = rows[k : k + max(1, batch // w)]
+            part = windows[at]
+            part = part if n == w else part[~np.isnan(part)].reshape(len(at), n)
+            for name, kernel in kernels.items():
+                out[name][at] = kernel(part)
     return out
 
 
@@ -274,7 +300,7 @@ def kernel_features(panel: DataFrame, names: list[str], windows: tuple[int, ...]
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_rn")
         x = rows["log_return"].to_numpy(float)
-        values = {f"{n}_w{w}": over_windows(x, w, k, _window_least(w, min_periods)) for n, k in kernels.items() for w in windows}
+        values = {f"{n}_w{w}": v for w in windows for n, v in over_windows(x, w, kernels, _window_least(w, min_periods)).items()}
         if ewm:
             values |= {f"ewm_volatility_h{h}": ewm_std(x, h) for h in HALF_LIVES}
         out = pd.concat([rows[keep], pd.DataFrame(values, index=rows.index)], axis=1)

@@ -10,9 +10,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marlstone.functions.expressions import complexity, parse, to_column
+from marlstone.functions.expressions import PARSIMONY, complexity, parse, to_column, within_limits
 from marlstone.functions.windows import clamp, safe_div
 from marlstone.operators.normalize import average_rank
+from marlstone.operators.split import TimeSplit, in_part
 from marlstone.storage import materialize
 
 ID = "candidate_id"
@@ -40,7 +41,8 @@ def align(alpha: DataFrame, target: DataFrame) -> DataFrame:
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Correlation as an aggregate, NULL where a side is constant; both sides must be complete."""
-    return clamp(safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)), -1, 1)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))  # exact, where a variance may be rounding noise
+    return F.when(varies, clamp(safe_div(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)), -1, 1))
 
 
 def rank_corr(a: Column, b: Column) -> Column:
@@ -103,6 +105,7 @@ def information_coefficient(values: DataFrame, method: str = "spearman") -> Data
     rows = complete(values)
     x, y = "alpha", "forward_return"
     if method == "spearman":
+        rows = materialize(rows, "ranked")  # read four times
         rows = pooled_rank(pooled_rank(rows, "alpha", ID, "_ra"), "forward_return", ID, "_ry")
         x, y = "_ra", "_ry"
     elif method != "pearson":
@@ -132,13 +135,13 @@ def long_short(values: DataFrame, quantiles: int = 5) -> DataFrame:
     return rows.where(F.col("_n") >= quantiles).groupBy(ID, "date").agg((top - bottom).alias("p"))
 
 
-def performance(returns: DataFrame) -> DataFrame:
+def performance(returns: DataFrame, by: tuple[str, ...] = (ID,)) -> DataFrame:
     """(candidate_id, sharpe, annual_return, annual_volatility, max_drawdown, win_rate, n_dates) of daily returns."""
-    by = Window.partitionBy(ID).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("_c", F.product(1 + F.col("p")).over(by))
-    curve = curve.withColumn("_dd", safe_div(F.col("_c") - F.max("_c").over(by), F.max("_c").over(by)))
+    so_far = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    curve = returns.withColumn("_c", F.product(1 + F.col("p")).over(so_far))
+    curve = curve.withColumn("_dd", safe_div(F.col("_c") - F.max("_c").over(so_far), F.max("_c").over(so_far)))
     mean, std = F.avg("p"), F.stddev_samp("p")
-    return curve.groupBy(ID).agg(
+    return curve.groupBy(*by).agg(
         F.coalesce(F.when(std > 0, safe_div(mean * YEAR, std * math.sqrt(YEAR))), F.lit(0.0)).alias("sharpe"), (mean * YEAR).alias("annual_return"),
         F.coalesce(std * math.sqrt(YEAR), F.lit(0.0)).alias("annual_volatility"), F.min("_dd").alias("max_drawdown"), F.avg((F.col("p") > 0).cast("double")).alias("win_rate"), F.count(F.lit(1)).alias("n_dates"),
     )
@@ -198,26 +201,35 @@ def passes(metrics: DataFrame, thresholds: dict[str, float] | None = None) -> Da
     return out.withColumn("passed", F.col("ic_ok") & F.col("stability_ok") & F.col("sharpe_ok") & F.col("turnover_ok") & F.col("complexity_ok")).orderBy(F.desc("ic"), ID)
 
 
+def evaluate_test(values: DataFrame, split: TimeSplit, complexities: dict[int, int], thresholds: dict[str, float] | None = None) -> DataFrame:
+    """The candidates' metrics and flags on the dates of the test part alone."""
+    return passes(evaluate(in_part(values, split, "test"), complexities), thresholds)
+
+
 def out_of_sample(passed: DataFrame) -> DataFrame:
-    """One row: candidates, passing ones, promoted ones (positive correlation), best correlation and Sharpe ratio."""
+    """One row, of what ``evaluate_test`` gives: candidates, passing ones, promoted ones (positive correlation), best correlation and Sharpe ratio."""
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return passed.agg(
         F.count(F.lit(1)).alias("n_candidates"), count(F.col("passed")).alias("n_passed"), count(F.col("ic") > 0).alias("n_promoted"), F.max("ic").alias("best_ic"), F.max("sharpe").alias("best_sharpe")
     )
 
 
-def single_series(values: DataFrame) -> DataFrame:
-    """Metrics without a cross-section, one row a candidate: the sign of the correlation as stability, scaled correlation as Sharpe ratio, and the target's own return and risk."""
+def single_series(values: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics without a cross-section, one row a candidate (and series, by the columns named): the sign of the correlation as stability, scaled correlation as Sharpe ratio, and the target's own return and risk."""
+    by = (ID, *series)
     rows = complete(values).withColumnRenamed("forward_return", "p")
-    perf = performance(rows.select(ID, "date", "p")).drop("sharpe")
-    ic = rows.groupBy(ID).agg(F.coalesce(safe_corr(F.col("alpha"), F.col("p")), F.lit(0.0)).alias("ic"))
-    return ic.join(perf, ID).withColumn("ic_stability", (F.col("ic") > 0).cast("double")).withColumn("sharpe", F.col("ic") * math.sqrt(YEAR))
+    perf = performance(rows.select(*by, "date", "p"), by).drop("sharpe")
+    ic = rows.groupBy(*by).agg(F.coalesce(safe_corr(F.col("alpha"), F.col("p")), F.lit(0.0)).alias("ic"))
+    return ic.join(perf, list(by)).withColumn("ic_stability", (F.col("ic") > 0).cast("double")).withColumn("sharpe", F.col("ic") * math.sqrt(YEAR))
 
 
 def losses(features: DataFrame, expressions: dict[int, str], target: str = "forward_return", kind: str = "l1", batch: int = 100) -> DataFrame:
     """(candidate_id, expression, loss, complexity, score): all candidates of a batch in one scan."""
     if kind not in ("l1", "l2"):
         raise ValueError(f"unknown loss: {kind}")
+    too_large = [e for e in expressions.values() if not within_limits(parse(e))]
+    if too_large:
+        raise ValueError(f"beyond the limits of size and depth: {too_large[0]}")
     out, items = None, list(expressions.items())
     spark = features.sparkSession
     for k in range(0, len(items), batch):
@@ -227,8 +239,6 @@ def losses(features: DataFrame, expressions: dict[int, str], target: str = "forw
         long = row.unpivot([], list(errors), "c", "loss").select(F.substring("c", 2, 9).cast("int").alias(ID), "loss")
         out = long if out is None else out.union(long)
     table = spark.createDataFrame([(i, e, complexity(parse(e))) for i, e in items], f"{ID} int, expression string, complexity int")
-    from marlstone.functions.expressions import PARSIMONY
-
     return out.join(table, ID).withColumn("score", F.col("loss") + PARSIMONY * F.col("complexity")).select(ID, "expression", "loss", "complexity", "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marlstone.functions.windows import ordered, safe_div
@@ -106,12 +108,15 @@ def stats(panel: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def create_panel(bars: DataFrame, horizon: int = 1, fill_method: str | None = "ffill", max_missing_fraction: float = 0.1) -> DataFrame:
-    """Returns, filling, dropping and validation; raises when the panel is not valid."""
+    """Returns, filling, dropping and validation; raises when the panel is not valid.
+
+    Gaps are always filled; a share of missing values over ``max_missing_fraction`` only warns.
+    """
     panel = union_assets(preprocess(bars, horizon))
     share = missing_fraction(panel).first()[0]
     if share is not None and share > max_missing_fraction:
-        panel = fill(panel, fill_method)
-    panel = drop_incomplete(panel)
+        warnings.warn(f"{share:.1%} of the panel's values are missing", stacklevel=2)
+    panel = drop_incomplete(fill(panel, fill_method))
     verdict = validate(panel).first()
     if not verdict["is_valid"]:
         raise ValueError(verdict["message"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marlstone.functions.windows import clamp, safe_div
 from marlstone.operators.normalize import average_rank
+from marlstone.operators.split import TimeSplit, in_part
 
 BY = ("date",)
 
@@ -162,10 +163,15 @@ def objectives(returns: DataFrame) -> DataFrame:
     )
 
 
-def tune(values: DataFrame, policy: str, objective: str = "growth") -> DataFrame:
-    """The history of all parameter sets, best first, with ``is_best``."""
+def tune(values: DataFrame, policy: str, objective: str = "growth", split: TimeSplit | None = None, part: str = "validation") -> DataFrame:
+    """The history of all parameter sets, best first, with ``is_best``.
+
+    With a ``split`` only the dates of one ``part`` count, those of validation by default, so that test dates stay unseen.
+    """
     if objective not in OBJECTIVES:
         raise ValueError(f"unknown objective: {objective}")
+    if split is not None:
+        values = in_part(values, split, part)
     scored = objectives(grid_returns(values, policy)).join(grid(values.sparkSession, policy), "params_id")
     place = F.row_number().over(Window.orderBy(F.col(objective).desc_nulls_last(), "params_id"))  # one row a parameter set
     return scored.withColumn("is_best", place == 1).orderBy(F.col(objective).desc_nulls_last(), "params_id")

@@ -62,10 +62,16 @@ def label(panel: DataFrame, split: TimeSplit) -> DataFrame:
     return panel.withColumn("split", name)
 
 
+def in_part(panel: DataFrame, split: TimeSplit, part: str) -> DataFrame:
+    """The rows of one part (train, validation or test), by a range of dates that reaches a Parquet scan."""
+    if part not in ("train", "validation", "test"):
+        raise ValueError(f"unknown part: {part}")
+    return panel.where(F.col("date").between(F.lit(getattr(split, f"{part}_start")), F.lit(getattr(split, f"{part}_end"))))
+
+
 def split_frames(panel: DataFrame, split: TimeSplit) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three frames by ranges of the date, which reach a Parquet scan as filters."""
-    between = lambda a, b: panel.where(F.col("date").between(F.lit(a), F.lit(b)))
-    return between(split.train_start, split.train_end), between(split.validation_start, split.validation_end), between(split.test_start, split.test_end)
+    return in_part(panel, split, "train"), in_part(panel, split, "validation"), in_part(panel, split, "test")
 
 
 def train_test(panel: DataFrame, test_ratio: float = 0.2) -> DataFrame:

@@ -10,13 +10,16 @@ TICKS = {
 }
 
 
-def bars(source: str = "weekly_nation") -> str:
+def bars(source: str = "daily_brand") -> str:
     return f"""ticks AS ({TICKS[source]}),
 bars AS (SELECT symbol, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(qty) AS volume FROM ticks GROUP BY ALL)"""
 
 
-def returns(source: str = "weekly_nation") -> str:
-    return bars(source) + """,
+def returns(source: str = "daily_brand") -> str:
+    return bars(source) + RETURNS
+
+
+RETURNS = """,
 prev AS (SELECT *, close / lag(close) OVER s AS ratio FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)),
 ret AS (SELECT * EXCLUDE (ratio), CASE WHEN ratio > 0 THEN ln(ratio) END AS log_return, ratio - 1 AS simple_return,
   (high + low + close) / 3 AS typical_price, volume * ((high + low + close) / 3) AS dollar_volume FROM prev),
@@ -235,12 +238,52 @@ def signals() -> str:
 sig AS (SELECT symbol, date, y, {g('normalized_deviation', 20)} AS nd20, {g('rolling_volatility', 20)} AS vol20, {g('rolling_return', 20)} AS mom20, {g('relative_volume', 5)} AS relvol5 FROM base)"""
 
 
+def relative(x: str, digits: int = 7) -> str:
+    """Rounded to significant digits."""
+    size = f"power(10, floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / {size}, {digits}) * {size} END"
+
+
+#: What every operator costs, written out: a feature 1, neg and abs 1 more, + - * 1 more than both sides, / 2 more.
+SCORED = (
+    ("nd20", "nd20", 1), ("mom20", "mom20", 1), ("relvol5", "relvol5", 1),
+    ("neg(nd20)", "-nd20", 2), ("neg(mom20)", "-mom20", 2), ("neg(relvol5)", "-relvol5", 2),
+    ("abs(nd20)", "abs(nd20)", 2), ("abs(mom20)", "abs(mom20)", 2), ("abs(relvol5)", "abs(relvol5)", 2),
+    ("nd20 + mom20", "nd20 + mom20", 3), ("nd20 + relvol5", "nd20 + relvol5", 3), ("mom20 + relvol5", "mom20 + relvol5", 3),
+    ("nd20 - mom20", "nd20 - mom20", 3), ("nd20 - relvol5", "nd20 - relvol5", 3), ("mom20 - nd20", "mom20 - nd20", 3),
+    ("mom20 - relvol5", "mom20 - relvol5", 3), ("relvol5 - nd20", "relvol5 - nd20", 3), ("relvol5 - mom20", "relvol5 - mom20", 3),
+    ("nd20 * nd20", "nd20 * nd20", 3), ("nd20 * mom20", "nd20 * mom20", 3), ("nd20 * relvol5", "nd20 * relvol5", 3),
+    ("mom20 * mom20", "mom20 * mom20", 3), ("mom20 * relvol5", "mom20 * relvol5", 3), ("relvol5 * relvol5", "relvol5 * relvol5", 3),
+    ("nd20 / mom20", "nd20 / nullif(mom20, 0)", 4), ("nd20 / relvol5", "nd20 / nullif(relvol5, 0)", 4), ("mom20 / nd20", "mom20 / nullif(nd20, 0)", 4),
+    ("mom20 / relvol5", "mom20 / nullif(relvol5, 0)", 4), ("relvol5 / nd20", "relvol5 / nullif(nd20, 0)", 4), ("relvol5 / mom20", "relvol5 / nullif(mom20, 0)", 4),
+)
+
+
+def scored(loss: str = "avg(abs(%s - y))") -> str:
+    rows = " UNION ALL ".join(f"SELECT {k} AS candidate_id, '{text}' AS expression, {loss % f'({x})'} AS loss, {cost} AS complexity FROM sig" for k, (text, x, cost) in enumerate(SCORED))
+    return f"{signals()}, scored AS ({rows})"
+
+
+#: Candidates of the check: text, is_valid, within_limits, complexity, depth, features, operators, value.
+CHECKED = (
+    ("nd20 + mom20 * abs(relvol5)", True, True, 6, 4, 3, 3, "nd20 + mom20 * abs(relvol5)"),
+    ("(nd20 - vol20) / (mom20 + relvol5)", True, True, 8, 3, 4, 3, "(nd20 - vol20) / nullif(mom20 + relvol5, 0)"),
+    ("-nd20 * 0.5", True, True, 4, 3, 1, 2, "-nd20 * 0.5::DOUBLE"),
+    ("neg(abs(neg(abs(neg(nd20)))))", True, False, 6, 6, 1, 5, None),
+    ("nd20 + nd20 + nd20 + nd20 + nd20", True, True, 9, 5, 1, 4, "5 * nd20"),
+    ("nd20 ** 2", False, False, None, None, None, None, None), ("exp(nd20)", False, False, None, None, None, None, None), ("nd20 / 0", False, False, None, None, None, None, None),
+    ("(nd20", False, False, None, None, None, None, None), ("", False, False, None, None, None, None, None),
+)
+#: Candidates of the metrics: their features and what they cost.
+COMPARED = {0: (["nd20"], 2), 1: (["mom20", "vol20"], 4), 2: (["nd20", "relvol5"], 3), 3: (["mom20", "nd20"], 4)}
 ALPHAS = {0: "-nd20", 1: "mom20 / nullif(vol20, 0)", 2: "relvol5 - nd20", 3: "abs(nd20) * mom20"}
 
 
-def values() -> str:
+def values(raw: str = "raw") -> str:
+    """The candidates' rows; with another name for them, ``v`` is left to the caller."""
     union = " UNION ALL ".join(f"SELECT {k} AS c, date, symbol, {e} AS alpha, y FROM sig" for k, e in ALPHAS.items())
-    return f"{signals()},\nraw AS ({union}),\nv AS (SELECT * FROM raw WHERE alpha IS NOT NULL AND y IS NOT NULL)"
+    complete = ",\nv AS (SELECT * FROM raw WHERE alpha IS NOT NULL AND y IS NOT NULL)" if raw == "raw" else ""
+    return f"{signals()},\n{raw} AS ({union}){complete}"
 
 
 def avg_rank(x: str, by: str) -> str:
@@ -257,6 +300,10 @@ def rank_corr(a: str, b: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN greatest(-1, least(1, {c})) END"
 
 
+#: Two-sided p-value of a correlation r of n pairs: Simpson's rule over the density of Student's t.
+P_VALUE = """CASE WHEN n < 3 OR r = 0 THEN 1.0 ELSE greatest(0, 1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * t / 6000 *
+  list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * power(1 + power(t * k / 2000, 2) / (n - 2), -(n - 1) / 2.0)))) END"""
+
 METRIC_PARTS = f"""
 pooled AS (SELECT c, {avg_rank('alpha', 'c')} AS ra, {avg_rank('y', 'c')} AS ry, alpha, y FROM v),
 ic AS (SELECT c, coalesce({agg_corr('ra', 'ry')}, 0) AS ic, coalesce({agg_corr('alpha', 'y')}, 0) AS pearson, count(*) AS n FROM pooled GROUP BY c),

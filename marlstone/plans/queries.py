@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marlstone.functions import expressions
 from marlstone.functions.windows import centred, rolling_mean
 from marlstone.operators import backtest, metrics, normalize, panel, policy, split
-from marlstone.operators.features import REGISTRY, add_market, column_name, compute_features, hilbert_transform, wavelet_decomposition
+from marlstone.operators.features import FACTS, REGISTRY, WINDOWS, add_market, column_name, compute_features, hilbert_transform, select_features, wavelet_decomposition
 from marlstone.plans import oracle
 from marlstone.sources import bars
 from marlstone.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
-WINDOWS = (5, 20)
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -39,8 +38,15 @@ def day(df: DataFrame, name: str = "date") -> DataFrame:
     return df.withColumn(name, F.col(name).cast("string"))
 
 
-def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.preprocess(bars.weekly_nation(spark, sf_dir))
+def relative(c: str, digits: int = 7) -> Column:
+    """Rounded to significant digits."""
+    x = F.col(c)
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, 0.0).otherwise(F.round(x / size, digits) * size)
+
+
+def base_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.preprocess(bars.daily_brand(spark, sf_dir))
 
 
 SIGNALS = {"nd20": ("normalized_deviation", 20), "vol20": ("rolling_volatility", 20), "mom20": ("rolling_return", 20), "relvol5": ("relative_volume", 5)}
@@ -49,7 +55,7 @@ EXPRESSIONS = {0: "neg(nd20)", 1: "mom20 / vol20", 2: "relvol5 - nd20", 3: "abs(
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [n for n, _ in SIGNALS.values()]
-    wide = compute_features(weekly_panel(spark, sf_dir), names, (5, 20))
+    wide = compute_features(base_panel(spark, sf_dir), names, (5, 20))
     return wide.select("symbol", "date", "forward_return", *[F.col(f"{n}_w{w}").alias(k) for k, (n, w) in SIGNALS.items()])
 
 
@@ -76,7 +82,7 @@ _BAR_COLUMNS = ", ".join(f"{oracle.out(c)} AS {c}" for c in bars.MEASURES)
 def source_csv(spark, sf_dir):
     """Bars written as CSV files and read back with lower-cased names."""
     path = _scratch(spark, "csv")
-    raw = bars.weekly_nation(spark, sf_dir)
+    raw = bars.daily_brand(spark, sf_dir)
     raw.toDF(*[c.upper() for c in raw.columns]).write.option("header", True).csv(path)
     return day(bars.read_csv(spark, path)).select("symbol", "date", *[rounded(c).alias(c) for c in bars.MEASURES])
 
@@ -85,17 +91,18 @@ def source_csv(spark, sf_dir):
 def source_directory(spark, sf_dir):
     """Bars written as Parquet files and read back as a folder."""
     path = _scratch(spark, "parquet")
-    bars.weekly_nation(spark, sf_dir).write.parquet(path)
+    bars.daily_brand(spark, sf_dir).write.parquet(path)
     return day(bars.read_directory(spark, path, "*.parquet", "parquet")).select("symbol", "date", *[rounded(c).alias(c) for c in bars.MEASURES])
 
 
-@_query("sink_results", f"WITH {oracle.bars()} SELECT run_id, symbol, count(*) AS n FROM bars, (VALUES ('r1'), ('r2')) r(run_id) GROUP BY ALL")
-def sink_results(spark, sf_dir):
-    """Results of two runs, kept side by side and loaded together."""
-    path, one = _scratch(spark, "runs"), bars.weekly_nation(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    for run in ("r1", "r2"):
-        bars.save_results(one, path, run)
-    return bars.load_results(spark, path).select("run_id", "symbol", "n")
+for _type in ("parquet", "json"):
+    @_query("sink_results" if _type == "parquet" else f"sink_results_{_type}", f"WITH {oracle.bars()} SELECT run_id, symbol, count(*) AS n FROM bars, (VALUES ('r1'), ('r2')) r(run_id) GROUP BY ALL")
+    def _sink(spark, sf_dir, file_type=_type):
+        """Results of two runs, kept side by side and loaded together."""
+        path, one = _scratch(spark, "runs"), bars.daily_brand(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+        for run in ("r1", "r2"):
+            bars.save_results(one, path, run, file_type)
+        return bars.load_results(spark, path, file_type).select("run_id", "symbol", "n")
 
 
 _RETURNS = ("log_return", "forward_return", "simple_return", "forward_simple_return", "typical_price", "dollar_volume")
@@ -108,17 +115,17 @@ def panel_returns(spark, sf_dir):
 
 @_query("panel_history", f"WITH {oracle.bars()} SELECT symbol, count(*) AS n_rows, count(*) < 252 AS is_short FROM bars GROUP BY symbol")
 def panel_history(spark, sf_dir):
-    return panel.history(bars.weekly_nation(spark, sf_dir))
+    return panel.history(bars.daily_brand(spark, sf_dir))
 
 
-@_query("panel_common_dates", f"WITH {oracle.bars()} SELECT date::VARCHAR AS date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)")
+@_query("panel_common_dates", f"WITH {oracle.bars('weekly_nation')} SELECT date::VARCHAR AS date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars)")
 def panel_common_dates(spark, sf_dir):
     return day(panel.common_dates(bars.weekly_nation(spark, sf_dir)))
 
 
 @_query(
     "panel_align",
-    f"WITH {oracle.bars()} SELECT symbol, date::VARCHAR AS date, {oracle.out('close')} AS close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars))",
+    f"WITH {oracle.bars('weekly_nation')} SELECT symbol, date::VARCHAR AS date, {oracle.out('close')} AS close FROM bars WHERE date IN (SELECT date FROM bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars))",
 )
 def panel_align(spark, sf_dir):
     return day(panel.align(bars.weekly_nation(spark, sf_dir))).select("symbol", "date", rounded("close").alias("close"))
@@ -126,7 +133,7 @@ def panel_align(spark, sf_dir):
 
 @_query("panel_union", f"WITH {oracle.returns()}, u AS (SELECT symbol, date, close, volume FROM panel UNION ALL SELECT 'D ' || symbol, date, close, NULL FROM panel) SELECT symbol, date::VARCHAR AS date, {oracle.out('close')} AS close, {oracle.out('volume')} AS volume FROM u")
 def panel_union(spark, sf_dir):
-    p = weekly_panel(spark, sf_dir)
+    p = base_panel(spark, sf_dir)
     both = panel.union_assets(p, p.drop("volume").withColumn("symbol", F.concat(F.lit("D "), "symbol")))
     return day(both).select("symbol", "date", rounded("close").alias("close"), rounded("volume").alias("volume"))
 
@@ -134,7 +141,7 @@ def panel_union(spark, sf_dir):
 def gappy(spark, sf_dir) -> DataFrame:
     """Bars with every row whose volume is a multiple of three blanked."""
     blank = lambda c: F.when(F.col("volume") % 3 != 0, F.col(c)).alias(c)
-    return bars.weekly_nation(spark, sf_dir).select("symbol", "date", *[blank(c) for c in bars.MEASURES])
+    return bars.daily_brand(spark, sf_dir).select("symbol", "date", *[blank(c) for c in bars.MEASURES])
 
 
 _GAPPY = f"WITH {oracle.bars()}, gappy AS (SELECT symbol, date, {', '.join(f'CASE WHEN volume % 3 <> 0 THEN {c} END AS {c}' for c in bars.MEASURES)} FROM bars)"
@@ -158,7 +165,7 @@ def panel_drop_incomplete(spark, sf_dir):
 
 @_query("panel_validate", f"WITH {oracle.returns()} SELECT count(*) > 0 AND count(*) = count(DISTINCT (symbol, date)) AS is_valid, CASE WHEN count(*) > 0 AND count(*) = count(DISTINCT (symbol, date)) THEN 'ok' END AS message FROM panel WHERE close IS NOT NULL AND volume IS NOT NULL")
 def panel_validate(spark, sf_dir):
-    return panel.validate(weekly_panel(spark, sf_dir))
+    return panel.validate(base_panel(spark, sf_dir))
 
 
 _STATS = ("mean_return", "std_return", "min_return", "max_return", "mean_volume", "std_volume")
@@ -168,12 +175,16 @@ _STATS = ("mean_return", "std_return", "min_return", "max_return", "mean_volume"
   {oracle.out('avg(forward_return)')} AS mean_return, {oracle.out('stddev_samp(forward_return)')} AS std_return, {oracle.out('min(forward_return)')} AS min_return, {oracle.out('max(forward_return)')} AS max_return,
   {oracle.out('avg(volume)')} AS mean_volume, {oracle.out('stddev_samp(volume)')} AS std_volume FROM panel""")
 def panel_stats(spark, sf_dir):
-    return panel.stats(weekly_panel(spark, sf_dir)).withColumns({c: rounded(c) for c in _STATS})
+    return panel.stats(base_panel(spark, sf_dir)).withColumns({c: rounded(c) for c in _STATS})
 
 
-@_query("panel_create", f"WITH {oracle.returns()} SELECT symbol, count(*) AS n, {oracle.out('sum(log_return)')} AS total FROM panel GROUP BY symbol")
+@_query("panel_create", f"""WITH {oracle.bars().replace('bars AS', 'all_bars AS')}, bars AS (SELECT symbol, date, open, high, low, close, CASE WHEN volume % 7 <> 0 THEN volume END AS volume FROM all_bars){oracle.RETURNS},
+filled AS (SELECT symbol, date, log_return, last_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS volume FROM panel)
+SELECT symbol, date::VARCHAR AS date, {oracle.out('log_return')} AS log_return, {oracle.out('volume')} AS volume FROM filled WHERE volume IS NOT NULL""")
 def panel_create(spark, sf_dir):
-    return panel.create_panel(bars.weekly_nation(spark, sf_dir)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("log_return")).alias("total"))
+    """A volume that is a multiple of seven counts as missing: filled from the past, however few there are."""
+    gaps = bars.daily_brand(spark, sf_dir).withColumn("volume", F.when(F.col("volume") % 7 != 0, F.col("volume")))
+    return day(panel.create_panel(gaps)).select("symbol", "date", rounded("log_return").alias("log_return"), rounded("volume").alias("volume"))
 
 
 # ---- features ----
@@ -184,7 +195,7 @@ def _feature_query(name: str) -> Query:
     digits = oracle.FEATURES[name][1] if name in oracle.FEATURES else 4
 
     def run(spark, sf_dir):
-        wide = compute_features(weekly_panel(spark, sf_dir), [name], WINDOWS)
+        wide = compute_features(base_panel(spark, sf_dir), [name], WINDOWS)
         if f.build is None:
             names = [c for c in wide.columns if c.startswith(name + "_")]
         else:
@@ -198,30 +209,72 @@ for _name, _f in REGISTRY.items():
     _query(f"feature_{_name}", oracle.feature(_name, WINDOWS, _f.windowed) if _name in oracle.FEATURES else None)(_feature_query(_name))
 
 
+@_query("feature_store")
+def feature_store(spark, sf_dir):
+    """All features over all windows, in one table; of weekly bars, as daily ones take minutes."""
+    return compute_features(panel.preprocess(bars.weekly_nation(spark, sf_dir)))
+
+
+@_query("features_of_fact", f"WITH {oracle.returns()}, {oracle.BASE} SELECT symbol, date::VARCHAR AS date, " + ", ".join(
+    f"{oracle.out(oracle.gate(oracle.FEATURES[n][0](w), w), oracle.FEATURES[n][1])} AS {n}_w{w}" for n in ("downside_upside_vol_ratio", "leverage_correlation", "gjr_asymmetry") for w in WINDOWS
+) + " FROM base")
+def features_of_fact(spark, sf_dir):
+    """The features of one fact, the leverage effect."""
+    names = [f.name for f in select_features(fact=3)]
+    wide = compute_features(base_panel(spark, sf_dir), names)
+    return day(wide).select("symbol", "date", *[rounded(f"{n}_w{w}", oracle.FEATURES[n][1]).alias(f"{n}_w{w}") for n in names for w in WINDOWS])
+
+
+@_query("features_without_group", f"""WITH {oracle.returns()}, {oracle.BASE} SELECT b.symbol, b.date::VARCHAR AS date, {', '.join(f'{oracle.out(oracle.gate(oracle.FEATURES[n][0](20), 20))} AS {n}_w20' for n in ('hodrick_prescott_cycle', 'normalized_deviation')).replace('PARTITION BY symbol ORDER BY date', 'PARTITION BY b.symbol ORDER BY b.date')},
+{oracle.out('z.v')} AS zero_crossing_rate_w20 FROM base b LEFT JOIN ({oracle.list_feature('zero_crossing_rate', 20)}) z ON b.symbol = z.symbol AND b.date = z.date""")
+def features_without_group(spark, sf_dir):
+    """The features of mean reversion, without those that need a Hilbert transform."""
+    names = [f.name for f in select_features(fact=10) if f.name != "mean_reversion_signal"]
+    wide = compute_features(base_panel(spark, sf_dir), names, (20,), exclude_tags=("hilbert",))
+    return day(wide).select("symbol", "date", *[rounded(c).alias(c) for c in wide.columns if c.endswith("_w20")])
+
+
+_REPORTED = {3: "leverage effect", 4: "volume and volatility", 7: "skewness"}
+_REPORTED_SQL = {3: ("downside_upside_vol_ratio", "leverage_correlation", "gjr_asymmetry"), 4: ("volume_volatility_corr", "relative_volume", "volume_surprise", "volume_weighted_volatility", "dollar_volume"), 7: ("rolling_skewness", "downside_frequency")}
+
+
+@_query("feature_report", f"WITH {oracle.returns()}, {oracle.BASE}, v AS (SELECT symbol, date, " + ", ".join(
+    f"{x if n in oracle.UNGATED else oracle.gate(x, 20)} AS {n}" for k, names in _REPORTED_SQL.items() for n in names for x in [oracle.FEATURES[n][0](20)]
+) + " FROM base) " + " UNION ALL ".join(f"SELECT {k} AS fact, '{_REPORTED[k]}' AS fact_name, '{n}' AS feature, count({n}) AS n_values, count(*) AS n_rows FROM v" for k, names in _REPORTED_SQL.items() for n in names))
+def feature_report(spark, sf_dir):
+    """How many values each feature of three facts has on the panel."""
+    picked = [f for k in _REPORTED for f in select_features(fact=k)]
+    wide = compute_features(base_panel(spark, sf_dir), [f.name for f in picked], (20,))
+    counts = wide.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(column_name(f, 20)).alias(f.name) for f in picked])
+    long = counts.unpivot(["n_rows"], [f.name for f in picked], "feature", "n_values")
+    facts = spark.createDataFrame([(f.name, f.fact, FACTS[f.fact]) for f in picked], "feature string, fact int, fact_name string")
+    return long.join(facts, "feature").select("fact", "fact_name", "feature", "n_values", "n_rows")
+
+
 @_query("feature_market_return", f"WITH {oracle.returns()}, {oracle.BASE} SELECT DISTINCT date::VARCHAR AS date, {oracle.out('m')} AS market_return, {oracle.out('ml')} AS market_lag FROM base")
 def feature_market_return(spark, sf_dir):
-    return day(add_market(weekly_panel(spark, sf_dir))).select("date", rounded("market_return").alias("market_return"), rounded("market_lag").alias("market_lag")).distinct()
+    return day(add_market(base_panel(spark, sf_dir))).select("date", rounded("market_return").alias("market_return"), rounded("market_lag").alias("market_lag")).distinct()
 
 
 @_query("rolling_centred_mean", f"WITH {oracle.returns()} SELECT symbol, date::VARCHAR AS date, round(avg(log_return) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS mean FROM panel")
 def rolling_centred_mean(spark, sf_dir):
-    return day(weekly_panel(spark, sf_dir)).select("symbol", "date", rounded(rolling_mean(F.col("log_return"), centred(6))).alias("mean"))
+    return day(base_panel(spark, sf_dir)).select("symbol", "date", rounded(rolling_mean(F.col("log_return"), centred(6))).alias("mean"))
 
 
 @_query("feature_hilbert_transform", f"WITH {oracle.returns()}, {oracle.BASE} SELECT a.symbol, a.date::VARCHAR AS date, {oracle.out('b.v1')} AS amplitude, {oracle.out('c.v2', 4)} AS phase FROM base a LEFT JOIN ({oracle.list_feature('hilbert_amplitude', 20, 'v1')}) b ON a.symbol = b.symbol AND a.date = b.date LEFT JOIN ({oracle.list_feature('hilbert_phase', 20, 'v2')}) c ON a.symbol = c.symbol AND a.date = c.date")
 def feature_hilbert_transform(spark, sf_dir):
-    out = day(hilbert_transform(weekly_panel(spark, sf_dir)))
+    out = day(hilbert_transform(base_panel(spark, sf_dir)))
     return out.select("symbol", "date", rounded("hilbert_transform.amplitude").alias("amplitude"), rounded("hilbert_transform.phase", 4).alias("phase"))
 
 
 @_query("feature_wavelet_decomposition")
 def feature_wavelet_decomposition(spark, sf_dir):
-    return day(wavelet_decomposition(weekly_panel(spark, sf_dir))).select("symbol", "date", "wavelet_decomposition")
+    return day(wavelet_decomposition(base_panel(spark, sf_dir))).select("symbol", "date", "wavelet_decomposition")
 
 
 @_query("feature_variance_ratio_documented", f"WITH {oracle.returns()}, {oracle.BASE}, s AS (SELECT *, r + r_1 AS two FROM base) SELECT symbol, date::VARCHAR AS date, " + ", ".join(f"round(CASE WHEN count(r) OVER {oracle.rows(w)} = {w} THEN var_samp(two) OVER {oracle.rows(w, 1)} / nullif(2 * var_samp(r) OVER {oracle.rows(w)}, 0) END, 5) + 0.0 AS variance_ratio_documented_w{w}" for w in WINDOWS) + " FROM s")
 def feature_variance_ratio_documented(spark, sf_dir):
-    wide = compute_features(weekly_panel(spark, sf_dir), ["variance_ratio_documented"], WINDOWS)
+    wide = compute_features(base_panel(spark, sf_dir), ["variance_ratio_documented"], WINDOWS)
     return day(wide).select("symbol", "date", *[rounded(f"variance_ratio_documented_w{w}", 5).alias(f"variance_ratio_documented_w{w}") for w in WINDOWS])
 
 
@@ -272,13 +325,13 @@ parts AS (SELECT split_id, 'train' AS split, 0 AS a, i - 1 AS b FROM c2 UNION AL
 
 @_query("split_label", f"WITH {oracle.returns()}, {_POINTS % '(0, 0.6::DOUBLE, 0.2::DOUBLE)'} SELECT symbol, panel.date::VARCHAR AS date, split FROM panel JOIN d USING (date) JOIN parts ON k BETWEEN a AND b")
 def split_label(spark, sf_dir):
-    p = weekly_panel(spark, sf_dir)
+    p = base_panel(spark, sf_dir)
     return day(split.label(p, split.split_by_ratio(p))).select("symbol", "date", "split")
 
 
 @_query("split_frames", f"WITH {oracle.returns()}, {_POINTS % '(0, 0.6::DOUBLE, 0.2::DOUBLE)'} SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_dates FROM panel JOIN d USING (date) JOIN parts ON k BETWEEN a AND b GROUP BY split")
 def split_frames(spark, sf_dir):
-    p = weekly_panel(spark, sf_dir)
+    p = base_panel(spark, sf_dir)
     parts = split.split_frames(p, split.split_by_ratio(p))
     frames = [f.withColumn("split", F.lit(n)) for n, f in zip(("train", "validation", "test"), parts)]
     return frames[0].union(frames[1]).union(frames[2]).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("date").alias("n_dates"))
@@ -287,19 +340,19 @@ def split_frames(spark, sf_dir):
 @_query("split_by_dates", f"""WITH {oracle.returns()}, e AS (SELECT min(date) FILTER (date >= DATE '1996-03-02') AS a, min(date) FILTER (date >= DATE '1997-05-03') AS b FROM panel)
 SELECT CASE WHEN date <= a THEN 'train' WHEN date <= b THEN 'validation' ELSE 'test' END AS split, count(*) AS n_rows, min(date)::VARCHAR AS first_date, max(date)::VARCHAR AS last_date FROM panel, e GROUP BY 1""")
 def split_by_dates(spark, sf_dir):
-    p = weekly_panel(spark, sf_dir)
+    p = base_panel(spark, sf_dir)
     labelled = split.label(p, split.split_by_dates(p, "1996-03-02", "1997-05-03"))
     return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").cast("string").alias("first_date"), F.max("date").cast("string").alias("last_date"))
 
 
 @_query("split_train_test", f"WITH {oracle.returns()} SELECT symbol, date::VARCHAR AS date, row_number() OVER (ORDER BY date, symbol) <= floor((SELECT count(*) FROM panel) * (1 - 0.2::DOUBLE)) AS is_train FROM panel")
 def split_train_test(spark, sf_dir):
-    return day(split.train_test(weekly_panel(spark, sf_dir))).select("symbol", "date", "is_train")
+    return day(split.train_test(base_panel(spark, sf_dir))).select("symbol", "date", "is_train")
 
 
 @_query("split_sweep", f"WITH {oracle.returns()}, {_POINTS % ', '.join(f'({k}, {a}::DOUBLE, {b}::DOUBLE)' for k, (a, b, _) in enumerate(split.SWEEP))} SELECT split_id, split, count(*) AS n_rows, {oracle.out('sum(log_return)')} AS total FROM panel JOIN d USING (date) JOIN parts ON k BETWEEN a AND b GROUP BY ALL")
 def split_sweep(spark, sf_dir):
-    return split.ratio_sweep(weekly_panel(spark, sf_dir)).groupBy("split_id", "split").agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.sum("log_return")).alias("total"))
+    return split.ratio_sweep(base_panel(spark, sf_dir)).groupBy("split_id", "split").agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.sum("log_return")).alias("total"))
 
 
 # ---- expressions ----
@@ -313,49 +366,52 @@ def expression_predict(spark, sf_dir):
 ENUMERATED = expressions.enumerate_expressions(["nd20", "mom20", "relvol5"])
 
 
-def _sql_of(tree: expressions.Node) -> str:
-    if tree.op in ("number", "name"):
-        return str(tree.value)
-    a = [_sql_of(x) for x in tree.args]
-    if tree.op in ("neg", "abs"):
-        return f"(-{a[0]})" if tree.op == "neg" else f"abs({a[0]})"
-    return f"({a[0]} / nullif({a[1]}, 0))" if tree.op == "/" else f"({a[0]} {tree.op} {a[1]})"
+def scores(spark, sf_dir) -> DataFrame:
+    return metrics.losses(signals(spark, sf_dir), dict(enumerate(ENUMERATED)))
 
 
-_SCORES = oracle.signals() + ", scored AS (" + " UNION ALL ".join(
-    f"SELECT {k} AS candidate_id, '{e}' AS expression, avg(abs({_sql_of(expressions.parse(e))} - y)) AS loss, {expressions.complexity(expressions.parse(e))} AS complexity FROM sig" for k, e in enumerate(ENUMERATED)
-) + ")"
+@_query("expression_losses", f"{oracle.scored()} SELECT candidate_id, expression, {oracle.relative('loss')} AS loss, complexity, {oracle.relative('(loss + 0.012 * complexity)')} AS score FROM scored")
+def expression_losses(spark, sf_dir):
+    return scores(spark, sf_dir).withColumns({"loss": relative("loss"), "score": relative("score")})
 
 
-def scores(spark, sf_dir) -> DataFrame:
-    return metrics.losses(signals(spark, sf_dir), dict(enumerate(ENUMERATED)))
+@_query("expression_losses_l2", f"{oracle.scored('avg(power(%s - y, 2))')} SELECT candidate_id, {oracle.relative('loss')} AS loss FROM scored")
+def expression_losses_l2(spark, sf_dir):
+    return metrics.losses(signals(spark, sf_dir), dict(enumerate(ENUMERATED)), kind="l2").select("candidate_id", relative("loss").alias("loss"))
 
 
-@_query("expression_losses", f"{_SCORES} SELECT candidate_id, expression, {oracle.out('loss', 4)} AS loss, complexity, {oracle.out('loss + 0.012 * complexity', 4)} AS score FROM scored")
-def expression_losses(spark, sf_dir):
-    return scores(spark, sf_dir).withColumns({"loss": rounded("loss", 4), "score": rounded("score", 4)})
+_NULL = lambda x: "NULL" if x is None else str(x)
+
+
+@_query("expression_check", oracle.signals() + " " + " UNION ALL ".join(
+    f"SELECT {k} AS candidate_id, '{text}' AS expression, {valid} AS is_valid, {within} AS within_limits, {_NULL(cost)}::INT AS complexity, {_NULL(deep)}::INT AS depth, {_NULL(names)}::INT AS n_features, {_NULL(ops)}::INT AS n_operators, "
+    + (oracle.relative(f"avg(abs({value} - y))") + " AS loss FROM sig" if value else "NULL::DOUBLE AS loss") for k, (text, valid, within, cost, deep, names, ops, value) in enumerate(oracle.CHECKED)
+))
+def expression_check(spark, sf_dir):
+    """Texts of all kinds: which are expressions, within the limits, what they cost, and the loss of those that may be scored."""
+    table = expressions.candidate_table(spark, [c[0] for c in oracle.CHECKED])
+    fit = {r["candidate_id"]: r["expression"] for r in table.where("within_limits").collect()}  # a list of ten texts
+    scored = metrics.losses(signals(spark, sf_dir), fit).select("candidate_id", relative("loss").alias("loss"))
+    return table.drop("features").join(scored, "candidate_id", "left")
 
 
-@_query("expression_best", f"{_SCORES} SELECT candidate_id, expression, row_number() OVER (ORDER BY loss, candidate_id)::INT AS rank FROM scored ORDER BY loss, candidate_id LIMIT 5")
+@_query("expression_best", f"{oracle.scored()} SELECT candidate_id, expression, row_number() OVER (ORDER BY loss, candidate_id)::INT AS rank FROM scored ORDER BY loss, candidate_id LIMIT 5")
 def expression_best(spark, sf_dir):
     return metrics.best(scores(spark, sf_dir), 5).select("candidate_id", "expression", "rank")
 
 
-@_query("expression_pareto", f"{_SCORES}, m AS (SELECT complexity, min(loss) AS loss FROM scored GROUP BY complexity), f AS (SELECT *, min(loss) OVER (ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m) SELECT candidate_id, expression, complexity FROM scored JOIN f USING (complexity, loss) WHERE earlier IS NULL OR loss < earlier")
+@_query("expression_pareto", f"{oracle.scored()}, m AS (SELECT complexity, min(loss) AS loss FROM scored GROUP BY complexity), f AS (SELECT *, min(loss) OVER (ORDER BY complexity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m) SELECT candidate_id, expression, complexity FROM scored JOIN f USING (complexity, loss) WHERE earlier IS NULL OR loss < earlier")
 def expression_pareto(spark, sf_dir):
     return metrics.pareto_front(scores(spark, sf_dir)).select("candidate_id", "expression", "complexity")
 
 
-_COMPARED = {k: (e, expressions.parse(e)) for k, e in EXPRESSIONS.items()}
-
-
 @_query("expression_compare", oracle.signals() + ", s AS (" + " UNION ALL ".join(
-    f"SELECT {k} AS id, '{e}' AS expression, {expressions.used_features(t)!r} AS features, {expressions.complexity(t)} AS complexity, avg(abs({_sql_of(t)} - y)) AS loss FROM sig" for k, (e, t) in _COMPARED.items()
-) + f""") SELECT l.id AS left_id, r.id AS right_id, l.expression = r.expression AS same_text, l.features = r.features AS same_features, l.complexity - r.complexity AS complexity_diff, {oracle.out('l.loss - r.loss', 5)} AS loss_diff FROM s l JOIN s r ON l.id < r.id""")
+    f"SELECT {k} AS id, '{EXPRESSIONS[k]}' AS expression, {names!r} AS features, {cost} AS complexity, avg(abs({oracle.ALPHAS[k]} - y)) AS loss FROM sig" for k, (names, cost) in oracle.COMPARED.items()
+) + f""") SELECT l.id AS left_id, r.id AS right_id, l.expression = r.expression AS same_text, l.features = r.features AS same_features, l.complexity - r.complexity AS complexity_diff, {oracle.relative('(l.loss - r.loss)')} AS loss_diff FROM s l JOIN s r ON l.id < r.id""")
 def expression_compare(spark, sf_dir):
     table = expressions.candidate_table(spark, list(EXPRESSIONS.values()))
     scored = metrics.losses(signals(spark, sf_dir), EXPRESSIONS).select("candidate_id", "loss")
-    return expressions.compare(table.join(scored, "candidate_id")).withColumn("loss_diff", rounded("loss_diff", 5))
+    return expressions.compare(table.join(scored, "candidate_id")).withColumn("loss_diff", relative("loss_diff"))
 
 
 # ---- metrics ----
@@ -395,7 +451,8 @@ def metric_turnover(spark, sf_dir):
 
 
 _COMPLEXITY = {k: expressions.complexity(expressions.parse(e)) for k, e in EXPRESSIONS.items()}
-_ALL = f"{oracle.metrics()}, cx(c, complexity) AS (VALUES {', '.join(f'({k}, {v})' for k, v in _COMPLEXITY.items())}), a AS (SELECT * FROM ic JOIN stab USING (c) JOIN perf USING (c) JOIN turn USING (c) JOIN cx USING (c))"
+_CX = f"cx(c, complexity) AS (VALUES {', '.join(f'({k}, {cost})' for k, (_, cost) in oracle.COMPARED.items())})"
+_ALL = f"{oracle.metrics()}, {_CX}, a AS (SELECT * FROM ic JOIN stab USING (c) JOIN perf USING (c) JOIN turn USING (c) JOIN cx USING (c))"
 _MEASURES = ("ic", "ic_stability", *_PERFORMANCE, "turnover")
 
 
@@ -417,25 +474,42 @@ def metric_filter(spark, sf_dir):
     return metrics.passes(evaluated(spark, sf_dir)).select("candidate_id", *flags)
 
 
-@_query("metric_out_of_sample", f"{_ALL} SELECT count(*) AS n_candidates, sum((ic > 0.015 AND ic_stability > 0.55 AND sharpe > 0.3 AND turnover < 0.6 AND complexity < 20)::INT)::BIGINT AS n_passed, sum((ic > 0)::INT)::BIGINT AS n_promoted, {oracle.out('max(ic)')} AS best_ic, {oracle.out('max(sharpe)')} AS best_sharpe FROM a")
+_RATIOS = "(0, 0.6::DOUBLE, 0.2::DOUBLE)"
+
+
+_TEST_VALUES = f"{oracle.values('raw0')}, {_POINTS % _RATIOS}, raw AS (SELECT raw0.* FROM raw0 JOIN d USING (date) JOIN parts ON k BETWEEN a AND b WHERE split = 'test'), v AS (SELECT * FROM raw WHERE alpha IS NOT NULL AND y IS NOT NULL)"
+#: Thresholds that some of the candidates meet and others don't.
+_LENIENT = {"ic_stability": 0.5, "turnover": 0.975}
+
+
+@_query("metric_out_of_sample", f"""{_TEST_VALUES}, {oracle.METRIC_PARTS}, {_CX}, a AS (SELECT * FROM ic JOIN stab USING (c) JOIN perf USING (c) JOIN turn USING (c) JOIN cx USING (c))
+SELECT count(*) AS n_candidates, sum((ic > 0.015 AND ic_stability > 0.5 AND sharpe > 0.3 AND turnover < 0.975 AND complexity < 20)::INT)::BIGINT AS n_passed, sum((ic > 0)::INT)::BIGINT AS n_promoted, {oracle.out('max(ic)')} AS best_ic, {oracle.out('max(sharpe)')} AS best_sharpe FROM a""")
 def metric_out_of_sample(spark, sf_dir):
-    return metrics.out_of_sample(metrics.passes(evaluated(spark, sf_dir))).withColumns({"best_ic": rounded("best_ic"), "best_sharpe": rounded("best_sharpe")})
+    """The candidates on the test dates alone, which nothing before has seen."""
+    wide = signals(spark, sf_dir)
+    tested = metrics.evaluate_test(metrics.candidate_values(wide, EXPRESSIONS), split.split_by_ratio(wide), _COMPLEXITY, _LENIENT)
+    return metrics.out_of_sample(tested).withColumns({"best_ic": rounded("best_ic"), "best_sharpe": rounded("best_sharpe")})
 
 
-@_query("metric_p_value")
+@_query("metric_align", f"{oracle.signals()} SELECT symbol, date::VARCHAR AS date, {oracle.out('nd20')} AS alpha, {oracle.out('y')} AS forward_return FROM sig WHERE nd20 IS NOT NULL AND y IS NOT NULL AND date >= DATE '1994-01-01'")
+def metric_align(spark, sf_dir):
+    """A signal and a target from different tables, on the keys that both have."""
+    alpha = signals(spark, sf_dir).select("symbol", "date", F.col("nd20").alias("alpha"))
+    target = base_panel(spark, sf_dir).where("date >= DATE '1994-01-01'").select("symbol", "date", "forward_return")
+    return day(metrics.align(alpha, target)).select("symbol", "date", rounded("alpha").alias("alpha"), rounded("forward_return").alias("forward_return"))
+
+
+@_query("metric_p_value", f"{oracle.metrics()}, p AS (SELECT c, n, ic AS r, abs(ic) * sqrt((n - 2) / (1 - ic * ic)) AS t FROM ic) SELECT c AS candidate_id, n AS n_observations, {oracle.out('r')} AS ic, {oracle.out(oracle.P_VALUE)} AS ic_p_value FROM p")
 def metric_p_value(spark, sf_dir):
     ic = metrics.information_coefficient(values(spark, sf_dir)).withColumnRenamed("n", "n_observations")
     return metrics.with_p_value(ic).select("candidate_id", "n_observations", rounded("ic").alias("ic"), rounded("ic_p_value").alias("ic_p_value"))
 
 
-@_query("metric_single_series", f"""{oracle.values()}, one AS (SELECT * FROM v WHERE symbol = (SELECT min(symbol) FROM v)), s AS (SELECT *, product(1 + y) OVER (PARTITION BY c ORDER BY date) AS cum FROM one), d AS (SELECT *, cum / max(cum) OVER (PARTITION BY c ORDER BY date) - 1 AS dd FROM s),
-g AS (SELECT c, coalesce({oracle.agg_corr('alpha', 'y')}, 0) AS ic, avg(y) * 252 AS annual_return, stddev_samp(y) * sqrt(252) AS annual_volatility, min(dd) AS max_drawdown, avg((y > 0)::INT) AS win_rate, count(*) AS n_dates FROM d GROUP BY c)
-SELECT c AS candidate_id, {oracle.out('ic')} AS ic, (ic > 0)::INT::DOUBLE AS ic_stability, {oracle.out('ic * sqrt(252)')} AS sharpe, {', '.join(f'{oracle.out(x)} AS {x}' for x in _PERFORMANCE[1:])}, n_dates FROM g""")
+@_query("metric_single_series", f"""{oracle.values()}, s AS (SELECT *, product(1 + y) OVER (PARTITION BY c, symbol ORDER BY date) AS cum FROM v), d AS (SELECT *, cum / max(cum) OVER (PARTITION BY c, symbol ORDER BY date) - 1 AS dd FROM s),
+g AS (SELECT c, symbol, coalesce({oracle.agg_corr('alpha', 'y')}, 0) AS ic, avg(y) * 252 AS annual_return, stddev_samp(y) * sqrt(252) AS annual_volatility, min(dd) AS max_drawdown, avg((y > 0)::INT) AS win_rate, count(*) AS n_dates FROM d GROUP BY c, symbol)
+SELECT c AS candidate_id, symbol, {oracle.out('ic')} AS ic, (ic > 0)::INT::DOUBLE AS ic_stability, {oracle.out('ic * sqrt(252)')} AS sharpe, {', '.join(f'{oracle.out(x)} AS {x}' for x in _PERFORMANCE[1:])}, n_dates FROM g""")
 def metric_single_series(spark, sf_dir):
-    v = values(spark, sf_dir)
-    first = v.where("alpha IS NOT NULL AND forward_return IS NOT NULL").agg(F.min("symbol").alias("symbol"))
-    one = v.join(F.broadcast(first), "symbol", "left_semi").drop("symbol")  # one row is broadcast
-    return metrics.single_series(one).withColumns({c: rounded(c) for c in ("ic", *_PERFORMANCE)})
+    return metrics.single_series(values(spark, sf_dir), ("symbol",)).withColumns({c: rounded(c) for c in ("ic", *_PERFORMANCE)})
 
 
 # ---- policies ----
@@ -444,7 +518,8 @@ _CAND = f"{oracle.values()}, s0 AS (SELECT date, symbol, alpha, y, {oracle.avg_r
 
 
 def candidate(spark, sf_dir) -> DataFrame:
-    return metrics.complete(values(spark, sf_dir).where("candidate_id = 0")).select("date", "symbol", "alpha", "forward_return")
+    one = metrics.candidate_values(signals(spark, sf_dir), {0: EXPRESSIONS[0]})
+    return metrics.complete(one).select("date", "symbol", "alpha", "forward_return")
 
 
 def _quintile_sql(q: int, size: str) -> str:
@@ -454,7 +529,7 @@ def _quintile_sql(q: int, size: str) -> str:
 _UNIT = "coalesce(w / nullif(sum(abs(w)) OVER (PARTITION BY date), 0), 0)"
 _L, _S = "coalesce(sum(CASE WHEN w > 0 THEN w END) OVER (PARTITION BY date), 0)", "coalesce(sum(CASE WHEN w < 0 THEN -w END) OVER (PARTITION BY date), 0)"
 _SIDES = f"CASE WHEN w > 0 THEN w / {_L} WHEN w < 0 THEN w / {_S} ELSE 0 END / CASE WHEN {_L} > 0 AND {_S} > 0 THEN {_L} + {_S} ELSE 1 END"
-_Z = "coalesce(greatest(-2, least(2, (alpha - avg(alpha) OVER (PARTITION BY date)) / nullif(stddev_samp(alpha) OVER (PARTITION BY date), 0))), 0)"
+_Z = "coalesce(greatest(-2, least(2, (alpha - avg(alpha) OVER (PARTITION BY date)) / nullif(stddev_samp(alpha) OVER (PARTITION BY date), 0))), 0) * (count(*) OVER (PARTITION BY date) > 1)::INT"
 _VAR = "CASE WHEN var_samp(alpha) OVER (PARTITION BY date) > 0 THEN var_samp(alpha) OVER (PARTITION BY date) ELSE 1 END"
 _KELLY = lambda f: f"greatest(0, least(1, {f} * alpha / {_VAR}))"
 
@@ -501,20 +576,24 @@ _NAMES = {
 }
 
 
+_VALIDATED = _CAND.replace("v WHERE c = 0", "v JOIN d USING (date) JOIN parts ON k BETWEEN a AND b WHERE c = 0 AND split = 'validation'").replace(", s0 AS", f", {_POINTS % _RATIOS}, s0 AS")
+
+
 def _tuned_sql(name: str) -> str:
     rows, columns, w, norm = _GRIDS[name]
     own = columns.split(", ")
     part = "PARTITION BY " + columns + ", date"
     over = lambda s: s.replace("PARTITION BY date", part)
     names = ", ".join(f"{a}{'' if b == 'normalize' else '::INT' if b == 'quantiles' else '::DOUBLE'} AS {b}" for a, b in zip(own, _NAMES[name]))
-    return f"""{_CAND}, grid({columns}) AS ({rows}), g0 AS (SELECT s0.*, {columns}, {over(w)} AS w FROM s0, grid), g1 AS (SELECT {columns}, date, y, {over(norm)} AS weight FROM g0), g2 AS (SELECT {columns}, date, sum(weight * y) AS p FROM g1 GROUP BY {columns}, date)
+    return f"""{_VALIDATED}, grid({columns}) AS ({rows}), g0 AS (SELECT s0.*, {columns}, {over(w)} AS w FROM s0, grid), g1 AS (SELECT {columns}, date, y, {over(norm)} AS weight FROM g0), g2 AS (SELECT {columns}, date, sum(weight * y) AS p FROM g1 GROUP BY {columns}, date)
 SELECT {names}, {oracle.out('avg(CASE WHEN 1 + p > 0 THEN ln(1 + p) END) * 252', 5)} AS growth, {oracle.out('coalesce(CASE WHEN stddev_samp(p) > 0 THEN avg(p) * 252 / (stddev_samp(p) * sqrt(252)) END, 0)', 5)} AS sharpe, {oracle.out('avg(p)')} AS mean, {oracle.out('avg((p > 0)::INT)')} AS win_rate FROM g2 GROUP BY {columns}"""
 
 
 for _name in _GRIDS:
     @_query(f"tune_{_name}", _tuned_sql(_name))
     def _tune(spark, sf_dir, name=_name):
-        out = policy.tune(candidate(spark, sf_dir), name)
+        rows = candidate(spark, sf_dir)
+        out = policy.tune(rows, name, split=split.split_by_ratio(base_panel(spark, sf_dir)))
         return out.select(*_NAMES[name], rounded("growth", 5).alias("growth"), rounded("sharpe", 5).alias("sharpe"), rounded("mean").alias("mean"), rounded("win_rate").alias("win_rate"))
 
 
@@ -523,27 +602,33 @@ for _name in _GRIDS:
 _BACK = f"{_CAND}, w0 AS (SELECT *, {_quintile_sql(5, '1.0 / %k').replace('WHEN rho >=', 'WHEN rho <= n // 5 AND n // 5 > 0 THEN -1.0 / (n // 5) WHEN rho >=')} AS w FROM s0), b AS (SELECT date, sum(w * y) AS p FROM w0 GROUP BY date), bc AS (SELECT *, product(1 + p) OVER (ORDER BY date) AS value FROM b), bd AS (SELECT *, value / max(value) OVER (ORDER BY date) - 1 AS dd FROM bc)"
 
 
-@_query("backtest_returns", f"{_BACK} SELECT date::VARCHAR AS date, {oracle.out('p')} AS p, {oracle.out('value', 1)} AS value FROM bc")
+@_query("backtest_returns", f"{_BACK} SELECT date::VARCHAR AS date, {oracle.out('p')} AS p, {oracle.out('log10(value)')} AS log_value FROM bc")
 def backtest_returns(spark, sf_dir):
-    return day(backtest.daily_returns(candidate(spark, sf_dir))).withColumns({"p": rounded("p"), "value": rounded("value", 1)})
+    return day(backtest.daily_returns(candidate(spark, sf_dir))).select("date", rounded("p").alias("p"), rounded(F.log10("value")).alias("log_value"))
 
 
-#: Digits that are compared; compound values are large.
-_SUMMARY = {"total_return": 1, "annual_return": 1, "volatility": 6, "sharpe": 1, "max_drawdown": 6}
+_SUMMARY = ("total_return", "annual_return", "volatility", "sharpe", "max_drawdown")
+_SUMMARY_SQL = f"""t AS (SELECT count(*) AS n_dates, arg_max(value, date) - 1 AS total_return, stddev_samp(p) * sqrt(252) AS volatility, min(dd) AS max_drawdown FROM bd), u AS (SELECT *, power(1 + total_return, 252.0 / n_dates) - 1 AS annual_return FROM t)
+SELECT n_dates, {', '.join(f'{oracle.relative(x, 6)} AS {x}' for x in _SUMMARY if x != 'sharpe')}, {oracle.relative('(annual_return / volatility)', 6)} AS sharpe FROM u"""
 
 
-@_query("backtest_summary", f"""{_BACK}, t AS (SELECT count(*) AS n_dates, arg_max(value, date) - 1 AS total_return, stddev_samp(p) * sqrt(252) AS volatility, min(dd) AS max_drawdown FROM bd), u AS (SELECT *, power(1 + total_return, 252.0 / n_dates) - 1 AS annual_return FROM t)
-SELECT n_dates, {', '.join(f'{oracle.out(x, d)} AS {x}' for x, d in _SUMMARY.items() if x != 'sharpe')}, {oracle.out('annual_return / volatility', 1)} AS sharpe FROM u""")
+@_query("backtest_summary", f"{_BACK}, {_SUMMARY_SQL}")
 def backtest_summary(spark, sf_dir):
-    return backtest.summary(backtest.daily_returns(candidate(spark, sf_dir))).withColumns({c: rounded(c, d) for c, d in _SUMMARY.items()})
+    return backtest.summary(backtest.daily_returns(candidate(spark, sf_dir))).withColumns({c: relative(c, 6) for c in _SUMMARY})
 
 
-@_query("trading_rule", f"""{_ALL}, s1 AS (SELECT v.c, date, symbol, {oracle.avg_rank('alpha', 'v.c, date')} AS rho, count(*) OVER (PARTITION BY v.c, date) AS n FROM v JOIN a USING (c) WHERE ic > -1 AND complexity < 20),
+@_query("backtest_range", f"{_BACK.replace('WHERE c = 0', chr(87) + 'HERE c = 0 AND date BETWEEN DATE ' + repr('1994-06-01') + ' AND DATE ' + repr('1996-02-29'))}, {_SUMMARY_SQL}")
+def backtest_range(spark, sf_dir):
+    """A backtest over some of the dates."""
+    return backtest.summary(backtest.daily_returns(candidate(spark, sf_dir), "1994-06-01", "1996-02-29")).withColumns({c: relative(c, 6) for c in _SUMMARY})
+
+
+@_query("trading_rule", f"""{_ALL}, s1 AS (SELECT v.c, date, symbol, {oracle.avg_rank('alpha', 'v.c, date')} AS rho, count(*) OVER (PARTITION BY v.c, date) AS n FROM v JOIN a USING (c) WHERE ic > 0.015 AND ic_stability > 0.5 AND sharpe > 0.3 AND turnover < 0.975 AND complexity < 20),
 w1 AS (SELECT *, {_quintile_sql(5, '1.0 / %k')} AS w FROM s1) SELECT c AS candidate_id, symbol, date::VARCHAR AS date, {oracle.out(_UNIT.replace('PARTITION BY date', 'PARTITION BY c, date'))} AS weight FROM w1""")
 def trading_rule(spark, sf_dir):
-    loose = {"ic": -1, "ic_stability": -1, "sharpe": -1e9, "turnover": 2}
+    """Weights of the candidates that pass, none of those that don't."""
     v = metrics.complete(values(spark, sf_dir))
-    passed = metrics.passes(metrics.evaluate(v, _COMPLEXITY), loose)
+    passed = metrics.passes(metrics.evaluate(v, _COMPLEXITY), _LENIENT)
     return day(backtest.trading_rule(v, passed)).select("candidate_id", "symbol", "date", rounded("weight").alias("weight"))
 
 
@@ -575,15 +660,27 @@ def recovery(spark, sf_dir):
     return backtest.recovery(both).withColumns({"correlation": rounded("correlation"), "ic": rounded("ic")})
 
 
+@_query("feature_set_sweep")
+def feature_set_sweep(spark, sf_dir):
+    """One run a feature set: how many features it has, and which of them fits the forward return best by itself."""
+    sets = {run: backtest.feature_set(run) for run in (1, 2, 3, 4)}
+    names = sorted({n for s in sets.values() for n in s if REGISTRY[n].windowed and n != "ewm_volatility"})
+    wide = compute_features(panel.preprocess(bars.weekly_nation(spark, sf_dir)), names, (20,))
+    loss = metrics.losses(wide, {k: f"{n}_w20" for k, n in enumerate(names)})
+    runs_of = spark.createDataFrame([(f"run{run}", f"{n}_w20") for run, s in sets.items() for n in s if n in names], "run_id string, expression string")
+    scored = loss.join(runs_of, "expression").where("loss IS NOT NULL")
+    return scored.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_features"), rounded(F.min("loss")).alias("best_loss"), F.min_by("expression", F.struct("loss", "expression")).alias("best_feature"))
+
+
 # ---- whole workloads ----
 
 
-@_query("reversal_question", f"""WITH {oracle.returns()}, {oracle.BASE}, s AS (SELECT symbol, date, y, {oracle.gate(oracle.FEATURES['normalized_deviation'][0](20), 20)} AS x FROM base), rr AS (SELECT symbol, date, y, -({_SQL_RANK('x')}) AS alpha FROM s),
+@_query("reversal_question", f"""WITH {oracle.returns('weekly_nation')}, {oracle.BASE}, s AS (SELECT symbol, date, y, {oracle.gate(oracle.FEATURES['normalized_deviation'][0](20), 20)} AS x FROM base), rr AS (SELECT symbol, date, y, -({_SQL_RANK('x')}) AS alpha FROM s),
 raw AS (SELECT 0 AS c, * FROM rr), v AS (SELECT * FROM raw WHERE alpha IS NOT NULL AND y IS NOT NULL), {oracle.METRIC_PARTS}
 SELECT c AS candidate_id, {oracle.out('ic_stability')} AS ic_stability, {', '.join(f'{oracle.out(x)} AS {x}' for x in _PERFORMANCE)}, n_dates FROM stab JOIN perf USING (c)""")
 def reversal_question(spark, sf_dir):
     """Does a fall over 20 rows foretell a rise? Bars, returns, one feature, ranks per date, an expression, and its metrics."""
-    wide = compute_features(weekly_panel(spark, sf_dir), ["normalized_deviation"], (20,))
+    wide = compute_features(panel.preprocess(bars.weekly_nation(spark, sf_dir)), ["normalized_deviation"], (20,))
     ranked = normalize.rank_normalize(wide.select("symbol", "date", "forward_return", "normalized_deviation_w20"), ["normalized_deviation_w20"], prefix="rank_")
     v = metrics.candidate_values(ranked, {0: "neg(rank_normalized_deviation_w20)"})
     daily = metrics.performance(metrics.long_short(v))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 MEASURES = ("open", "high", "low", "close", "volume")
 SCHEMA = T.StructType(
@@ -25,14 +25,25 @@ def _standard(df: DataFrame, symbol: str | None) -> DataFrame:
         choices.append(F.col("symbol"))
     df = df.withColumn("symbol", F.coalesce(*choices, stem))
     for c in (c for c in MEASURES if c in df.columns):
-        x = F.col(c).cast("double")
+        x = F.col(c).try_cast("double")
         df = df.withColumn(c, F.when(~F.isnan(x), x))
-    return df.withColumn("date", F.col("date").cast("date")) if dict(df.dtypes).get("date") == "string" else df
+    return df.withColumn("date", F.col("date").try_cast("date")) if dict(df.dtypes).get("date") == "string" else df
+
+
+#: Holds a CSV line that has too few or too many fields; NULL for good lines.
+CORRUPT = "_corrupt_record"
+
+
+def _csv(reader: DataFrameReader, path: str) -> DataFrame:
+    """Text columns by the header's names (the first lines alone are read for them), and CORRUPT."""
+    names = reader.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, CORRUPT)])
+    return reader.schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Bars of a CSV file, or of all files of a folder; columns go by the header's names."""
-    return _standard(spark.read.option("header", True).option("inferSchema", True).option("mode", "PERMISSIVE").csv(path), symbol)
+    """Bars of a CSV file, or of all files of a folder with the same header, in one read; what is no number or date becomes NULL."""
+    return _standard(_csv(spark.read, path), symbol)
 
 
 def read_parquet(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
@@ -40,13 +51,20 @@ def read_parquet(spark: SparkSession, path: str, symbol: str | None = None) -> D
 
 
 def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv", file_type: str = "csv") -> DataFrame:
-    """All files of a folder that match, in one read; unreadable files are skipped, a missing folder or unknown type raises."""
+    """All files of a folder that match, in one read; unreadable files are skipped, a missing folder or unknown type raises.
+
+    Bad lines of CSV files stay, with their text in CORRUPT; ``bad_lines`` reports them by file.
+    """
     if file_type not in ("csv", "parquet"):
         raise ValueError(f"unknown file type: {file_type}")
     reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    if file_type == "csv":
-        return _standard(reader.option("header", True).option("inferSchema", True).option("mode", "PERMISSIVE").csv(path), None)
-    return _standard(reader.parquet(path), None)
+    return _standard(_csv(reader, path) if file_type == "csv" else reader.parquet(path), None)
+
+
+def bad_lines(bars: DataFrame) -> DataFrame:
+    """(symbol, n_rows, n_bad, n_closes): how many lines of each symbol (a file's name, where files name it) could not be read, and how many have a close."""
+    bad = F.sum(F.col(CORRUPT).isNotNull().cast("long")) if CORRUPT in bars.columns else F.lit(0).cast("long")
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("n_bad"), F.count("close").alias("n_closes"))
 
 
 def bars_from_ticks(ticks: DataFrame, order: Column) -> DataFrame:

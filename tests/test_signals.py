@@ -63,6 +63,24 @@ def test_validation(spark):
         panel.create_panel(bar_frame(spark, [1.0]))
 
 
+def test_panel_gaps_are_always_filled(spark):
+    """One missing volume of many is filled too; a large share only warns."""
+    rows = bar_frame(spark, [float(k + 1) for k in range(12)])
+    few = rows.withColumn("volume", F.when(F.dayofmonth("date") != 6, F.col("volume")))
+    assert panel.create_panel(few).count() == panel.create_panel(rows).count() == 10
+    many = rows.withColumn("volume", F.when(F.dayofmonth("date") == 2, F.col("volume")))
+    with pytest.warns(UserWarning):
+        assert panel.create_panel(many).count() == 10
+    assert panel.create_panel(few, fill_method=None).count() == 9
+
+
+def test_bad_lines(spark, tmp_path):
+    (tmp_path / "AAA.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-01,1,2,1,2,10\n2020-01-02,1,2\n2020-01-03,x,2,1,2,10\n")
+    df = bars.read_directory(spark, str(tmp_path))
+    assert [tuple(r) for r in bars.bad_lines(df).collect()] == [("AAA", 3, 1, 2)]
+    assert df.where("open IS NULL AND close IS NOT NULL").count() == 1 and dict(df.dtypes)["date"] == "date"
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "AAA.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-01,1,2,1,2,10\n2020-01-02,2,3,2,NaN,20\n")
     (tmp_path / "BBB.csv").write_text("Date,Open,High,Low,Close,Volume\n2020-01-01,1,2,1,2,10\n")
@@ -194,6 +212,19 @@ def test_kernels_match_plain_loops(spark):
             assert close(again[k], got[k]), (n, k)
 
 
+def test_kernels_skip_gaps(spark):
+    """A frame with gaps gives what its values alone give."""
+    rng = random.Random(15)
+    xs = [None if k % 11 == 4 else rng.gauss(0, 0.02) for k in range(60)]
+    names = ["hurst_rs", "up_down_run_ratio", "wavelet_energy_2", "zero_crossing_rate"]
+    out = kernels.kernel_features(series(spark, a=xs), names, (20,))
+    for n in names:
+        got = column(out, f"{n}_w20")
+        for k in range(60):
+            have = [x for x in xs[max(0, k - 19) : k + 1] if x is not None]
+            assert close(got[k], plain(n, have) if len(have) >= 10 else None, 1e-6), (n, k)
+
+
 def test_ewm(spark):
     rng = random.Random(6)
     xs = [rng.gauss(0, 0.02) for _ in range(40)]
@@ -281,6 +312,15 @@ def test_expressions(spark):
     assert ex.used_features(t) == ["x0", "x10"] and ex.complexity(t) == 6 and ex.operator_counts(t) == {"+": 1, "/": 1} and ex.within_limits(t)
     with pytest.raises(ex.ExpressionError):
         ex.to_column(ex.parse("nope"), ["x0"])
+    too_large = " + ".join(["x0"] * 12)
+    table = {r["expression"]: r for r in ex.candidate_table(spark, ["x0", too_large, "x0 ^ x1"]).collect()}
+    assert table["x0"]["within_limits"] and not table[too_large]["within_limits"] and not table["x0 ^ x1"]["is_valid"]
+    with pytest.raises(ValueError):
+        metrics.losses(df.withColumn("forward_return", F.lit(0.0)), {0: too_large})
+    two = ex.enumerate_expressions(["a", "b"], levels=2)
+    assert len(two) == len(set(two)) and "(a + b) / (a - b)" in two and all(ex.within_limits(ex.parse(x)) for x in two)
+    with pytest.raises(ValueError):
+        ex.enumerate_expressions(["a", "b"], levels=2, limit=100)
     assert len(ex.enumerate_expressions(["a", "b"])) == len(set(ex.enumerate_expressions(["a", "b"])))
 
 
@@ -374,6 +414,18 @@ def test_grids_and_tuning(spark):
         policy.grid(spark, "sign")
 
 
+def test_tuning_and_testing_see_their_own_part(spark):
+    """Weights are tuned on validation dates, candidates judged on test dates; what happens elsewhere changes nothing."""
+    v = random_values(spark, days=300, n=6)
+    parts = split.split_by_ratio(v, min_samples=20)
+    spoiled = lambda part: v.withColumn("forward_return", F.when(F.col("date").between(F.lit(getattr(parts, part + "_start")), F.lit(getattr(parts, part + "_end"))), -F.col("forward_return")).otherwise(F.col("forward_return")))
+    tuned = lambda x: [tuple(r) for r in policy.tune(x.drop("candidate_id"), "quintile", split=parts).collect()]
+    assert tuned(v) == tuned(spoiled("test")) != tuned(spoiled("validation"))
+    tested = lambda x: [tuple(r) for r in metrics.evaluate_test(x, parts, {0: 1}).collect()]
+    assert tested(v) == tested(spoiled("train")) != tested(spoiled("test"))
+    assert metrics.evaluate_test(v, parts, {0: 1}).first()["n_observations"] == 360
+
+
 def test_backtest_ruin_and_range(spark):
     v = scored(spark, [(d, f"s{k}", float(k), -2.0 if k == 4 else 0.0) for d in range(3) for k in range(5)]).drop("candidate_id")
     daily = backtest.daily_returns(v, "2020-01-02")
