@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marlstone.storage import materialize
 
@@ -21,6 +21,10 @@ from marlstone.storage import materialize
 Linker = Callable[[pa.Table, pa.Table | None], tuple[np.ndarray, np.ndarray]]
 
 
+#: Tiles of a block; a task holds those of two blocks at a time.
+BLOCK = 8
+
+
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest member of its component) for the links (i, j) among n members."""
     label = np.arange(n)
@@ -66,6 +70,50 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> tu
     return spanning(n, np.concatenate(found_i), np.concatenate(found_j))
 
 
+def nearest_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """As ``near``, but each link is itself a pair within ``radius``, and the links of a component are the shortest that hold it together."""
+    other, shift = (a, 0) if b is None else (b, len(a))
+    n = len(a) if b is None else len(a) + len(b)
+    none = np.empty(0, np.int64)
+    i, j, d, fresh, held = none, none, none, [], 0
+    for k in range(0, len(a), rows):
+        block = a[k : k + rows]
+        right = other[k:] if b is None else other
+        bits = np.bitwise_count(block[:, None] ^ right[None, :])
+        x, y = np.nonzero(bits <= radius)
+        far = bits[x, y].astype(np.int64)
+        x, y = x + k, y + (k if b is None else shift)
+        if b is None:
+            x, y, far = x[x < y], y[x < y], far[x < y]
+        fresh.append((x, y, far))
+        held += len(x)
+        if held > 4 * n + 10_000 or k + rows >= len(a):
+            i, j, d = (np.concatenate([old, *(f[c] for f in fresh)]) for c, old in enumerate((i, j, d)))
+            keep = _shortest(n, i, j, d)
+            i, j, d, fresh, held = i[keep], j[keep], d[keep], [], 0
+    return i, j
+
+
+def _shortest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Numbers of the links that form a forest of least total length: each component takes its shortest link out, until none has one."""
+    label, rank = np.arange(n), np.empty(len(d), np.int64)
+    rank[np.argsort(d, kind="stable")] = np.arange(len(d))  # no two links are equally long
+    by_rank, picked, open_ = np.argsort(rank), [], np.arange(len(d))
+    while True:
+        open_ = open_[label[i[open_]] != label[j[open_]]]
+        if not len(open_):
+            return np.concatenate(picked) if picked else np.empty(0, np.int64)
+        least = np.full(n, len(d))
+        for end in (i, j):
+            np.minimum.at(least, label[end[open_]], rank[open_])
+        new = by_rank[np.unique(least[least < len(d)])]
+        picked.append(new)
+        members, roots = spanning(n, label[i[new]], label[j[new]])
+        step = np.arange(n)
+        step[members] = roots
+        label = step[label]
+
+
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -166,24 +214,36 @@ def link_groups(members: DataFrame, linker: Linker, partitions: int, tile_rows:
     found = materialize(ranged.mapInArrow(first, f"a {id_type}, b {id_type}, key string, tile string, blob binary"), "linked")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2)):
-                one = _unpack(left.as_py())
-                two = None if same.as_py() else _unpack(right.as_py())
-                if len(one) == 0 or two is not None and len(two) == 0:
-                    continue
+        def compare(held: list[tuple[bool, pa.Table]]) -> Iterator[pa.RecordBatch]:
+            left = [t for is_left, t in held if is_left]
+            right = [t for is_left, t in held if not is_left]
+            within = [(one, None) for one in left] + [(one, two) for k, one in enumerate(left) for two in left[:k]]
+            for one, two in within if not right else [(one, two) for one in left for two in right]:
                 i, j = linker(one, two)
                 if len(i):
                     ids = one["id"] if two is None else pa.chunked_array([*one["id"].chunks, *two["id"].chunks])
                     a, b = _edges(ids, i, j)
                     yield pa.RecordBatch.from_arrays([a.combine_chunks(), b.combine_chunks()], names=["a", "b"])
 
-    tiles = found.where(F.col("tile").isNotNull()).select("key", "tile", "blob")
-    pairs = (
-        tiles.alias("l")
-        .join(tiles.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.tile") <= F.col("r.tile")))
-        .select(F.col("l.blob").alias("left"), F.col("r.blob").alias("right"), (F.col("l.tile") == F.col("r.tile")).alias("same"))
-        .repartition(partitions)
+        current, held = None, []
+        for batch in batches:
+            for key, low, high, is_left, blob in zip(*(batch.column(k) for k in range(5))):
+                this = key.as_py(), low.as_py(), high.as_py()
+                if this != current:
+                    yield from compare(held)
+                    current, held = this, []
+                if len(tile := _unpack(blob.as_py())):
+                    held.append((is_left.as_py(), tile))
+        yield from compare(held)
+
+    # the tiles of a group are dealt to blocks, and each pair of blocks is one unit of work: a tile is shuffled once for each block, not once for each tile
+    tiles = found.where(F.col("tile").isNotNull()).select("key", "tile")
+    own = Window.partitionBy("key")
+    block = F.floor((F.row_number().over(own.orderBy("tile")) - 1) / BLOCK).cast("int")
+    numbered = tiles.withColumn("block", block).withColumn("blocks", F.max("block").over(own) + 1)
+    blobs = found.where(F.col("tile").isNotNull()).select("key", "tile", "blob").join(numbered, ["key", "tile"])
+    placed = blobs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("is_left"), "blob"
     )
-    linked = pairs.mapInArrow(second, f"a {id_type}, b {id_type}")
+    linked = placed.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(second, f"a {id_type}, b {id_type}")
     return found.where(F.col("tile").isNull()).select("a", "b").union(linked)
