@@ -129,11 +129,37 @@ def _edges(ids: pa.ChunkedArray | pa.Array, i: np.ndarray, j: np.ndarray):
     return ids.take(pa.array(i)), ids.take(pa.array(j))
 
 
-def link_groups(members: DataFrame, linker: Linker, partitions: int, tile_rows: int = 2048, tile_bytes: int = 4 << 20) -> DataFrame:
+#: Links of many small groups at once: from a table and all pairs (left row, right row) within its groups, those of a spanning forest.
+PairLinker = Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Most rows of a small group.
+SMALL = 24
+
+
+def pairs_within(lows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within groups of ``sizes`` rows that begin at ``lows``."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        begin = lows[sizes == size][:, None]
+        left.append((begin + i).ravel())
+        right.append((begin + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def nearest_of(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest links that hold together what the pairs (i, j) within ``radius`` join."""
+    d = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
+    good = d <= radius
+    i, j, d = i[good], j[good], d[good]
+    keep = _shortest(len(fps), i, j, d)
+    return i[keep], j[keep]
+
+
+def link_groups(members: DataFrame, linker: Linker, partitions: int, tile_rows: int = 2048, tile_bytes: int = 4 << 20, of_pairs: PairLinker | None = None) -> DataFrame:
     """Edges (a, b) between ids, from ``members`` with columns (key, id, ...).
 
     ``linker`` sees the columns after ``key``. Members of one key are compared
-    with each other, whatever their number.
+    with each other, whatever their number; with ``of_pairs`` the small groups of a batch go to it together.
     """
     id_type = members.schema["id"].dataType.simpleString()
 
@@ -191,6 +217,14 @@ def link_groups(members: DataFrame, linker: Linker, partitions: int, tile_rows:
             # a group of one row within a batch has no pairs; the first and last may go on in other batches
             some = highs - lows > 1
             some[[0, -1]] = True
+            if of_pairs is not None:
+                small = some & (highs - lows <= SMALL)
+                small[[0, -1]] = False
+                if small.any():
+                    some &= ~small
+                    i, j = of_pairs(rest, *pairs_within(lows[small], (highs - lows)[small]))
+                    if len(i):
+                        yield out(*_edges(rest["id"], i, j), None, None, None)
             for low, high in zip(lows[some], highs[some]):
                 this = keys[int(low)].as_py()
                 if key is not None and this != key:

@@ -328,8 +328,14 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(30))) for _ in range(2))
         assert fuzzy_lines.edit_distance(a, b) == plain(a, b)
-        longest = max(len(a), len(b))
-        assert fuzzy_lines.similar(a, b, 0.8) == (plain(a, b) <= longest - 0.8 * longest + 1e-9)
+    long = ["".join(rng.choice("abc d") for _ in range(rng.choice([1, 2, 63, 64, 65, 127, 128, 129, 200]))) for _ in range(60)]
+    pairs = [(a, b) for a in long[:20] for b in long[20:60:3]] + [(a, a[: len(a) // 2] + "x" + a[len(a) // 2 + 1 :]) for a in long]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    want = [fuzzy_lines.edit_distance(a, b) for a, b in pairs]
+    assert fuzzy_lines.edit_distances(left, right).tolist() == want
+    longest = [max(len(a), len(b)) for a, b in pairs]
+    assert fuzzy_lines.similar_pairs(left, right, 0.8).tolist() == [d <= n - 0.8 * n + 1e-9 for d, n in zip(want, longest)]
+    assert fuzzy_lines.edit_distances(["日本" * 3000], ["日本" * 2999 + "x"]).tolist() == [2]
 
 
 def brute_lines(rows):
