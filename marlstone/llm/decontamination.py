@@ -1,32 +1,36 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training texts are indexed in shards, one row each, stored in the shared
-folder: for each term of the test items its postings, the positions of its
-occurrences in the shard. A search goes to all shards. Within a shard the
-windows of the test items are looked up together: the postings of each
-window's rarest term (by count in all training texts) give candidate starts,
-and those are intersected, offset by offset, with the postings of the other
-terms, from rare to frequent. What is left are exact phrase matches, or with
-``slop`` proximity matches (each term within ``slop`` words of its place).
-
-Test items go in blocks of at most ``block_items`` items, so that what is
-broadcast, the block's terms and windows, is bounded by the length of that many
-items; blocks are searched one after the other and their hits united.
+All training texts are indexed once, in shards of about SHARD_WORDS words, one
+row each, stored in the shared folder: for every term of the shard its postings, the positions
+of its occurrences, as compressed gaps. A search goes to all shards. Within a
+shard the windows of the test items are looked up together: the postings of
+each window's rarest term (by count in the shard) give candidate starts, and
+those are intersected, offset by offset, with the postings of the other terms,
+from rare to frequent. What is left are exact phrase matches, or with ``slop``
+proximity matches (each term within ``slop`` words of its place).
+
+Test items go in blocks of at most ``block_bytes`` bytes of distinct text (one
+item at least), so that what is broadcast, a block's windows, is bounded; blocks
+are searched one after the other in the same index. A document is known by its
+shard and its number there, never by its id, so that the blocks' hits are
+united row by row, at every number of blocks.
 
 Defined results for edge cases: null or empty text and text without a word has
-no words and no hits; items without a word have no window; repeated rows of
-documents give repeated results (with more than one block, rows that share a
-doc_id are united); of items that share an id, each counts, under one id; null
-item ids are ignored; other columns are ignored; an empty table gives an empty
-result.
+no words and no hits; items without a word have no window; rows of documents
+that share an id, or have none, stand each for itself; of items that share an
+id, each counts, under one id; items without an id count as one item, without a
+name in ``items``; other columns are ignored; an empty table gives an empty
+result. A single text is indexed within one shard, however long.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlstone.llm.common import byte_list
@@ -34,8 +38,7 @@ from marlstone.storage import materialize
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-#: Unused positions between documents, so that no match spans two of them.
-GAP = 64
+BLOCK_BYTES = 16 << 20
 _SPLIT = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -46,66 +49,82 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_SPLIT).split() if text else []
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """One row a shard: its documents (ids, lengths) and the postings of ``terms``."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def shard(ids: list, lengths: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-        starts = np.cumsum([0, *(n + GAP for n in lengths[:-1])]) if lengths else np.empty(0, np.int64)
-        position = np.concatenate([np.flatnonzero(f >= 0) + s for f, s in zip(found, starts)]) if found else np.empty(0, np.int64)
-        term = np.concatenate([f[f >= 0] for f in found]) if found else np.empty(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        own, first = np.unique(term[order], return_index=True)
+def build_index(docs: DataFrame, gap: int) -> DataFrame:
+    """One row a shard: its name, its documents (ids, lengths), its terms in order, and their counts and positions.
+
+    ``gap`` positions between documents stay unused, so that no match spans two of them.
+    """
+
+    def shard(ids: list, lengths: list[int], numbers: list[int], terms: dict[bytes, int]) -> pa.RecordBatch:
+        import zstandard
+
+        lengths, of = np.array(lengths, np.int64), np.array(numbers, np.int32)
+        starts = np.cumsum(lengths + gap) - lengths - gap
+        position = np.arange(len(of)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        names = sorted(terms)
+        place = np.empty(len(names), np.int32)
+        place[np.fromiter((terms[t] for t in names), np.int64, len(names))] = np.arange(len(names))
+        of = place[of]
+        order = np.argsort(of, kind="stable")
+        counts = np.bincount(of, minlength=len(names))
+        gaps = np.diff(position[order], prepend=0).astype(np.int32)
+        first = np.cumsum(counts) - counts
+        gaps[first] = position[order][first]  # each term's postings begin anew
+        planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes()
+        name = f"{pyspark.TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.int32())),
-                pa.array([np.diff(np.append(first, len(term)))], pa.list_(pa.int64())), pa.array([position[order].astype(np.int32).tobytes()], pa.binary()),
+                pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([names], pa.list_(pa.binary())),
+                pa.array([counts], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary()),
             ],
-            names=["doc_ids", "lengths", "terms", "counts", "positions"],
+            names=["shard", "doc_ids", "lengths", "terms", "counts", "positions"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        ids, lengths, found, held = [], [], [], 0
+        ids, lengths, numbers, terms = [], [], [], {}
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
                 words = words_of(text)
-                ids.append(i), lengths.append(len(words)), found.append(np.array([get(w, -1) for w in words], np.int32))
-                held += len(words) + GAP
-                if held >= SHARD_WORDS:
-                    yield shard(ids, lengths, found)
-                    ids, lengths, found, held = [], [], [], 0
+                ids.append(i), lengths.append(len(words))
+                numbers += [terms.setdefault(w, len(terms)) for w in words]
+                if len(numbers) + gap * len(ids) >= SHARD_WORDS:
+                    yield shard(ids, lengths, numbers, terms)
+                    ids, lengths, numbers, terms = [], [], [], {}
         if ids:
-            yield shard(ids, lengths, found)
+            yield shard(ids, lengths, numbers, terms)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_ids array<long>, lengths array<long>, terms array<int>, counts array<long>, positions binary")
-
-
-def term_counts(index: DataFrame, terms: int) -> np.ndarray:
-    """Occurrences of each term in all shards (as many numbers as there are terms)."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()
-    out = np.zeros(terms, np.int64)
-    for r in rows:
-        out[r["terms"]] = r["n"]
-    return out
+    return rows.mapInArrow(run, "shard string, doc_ids array<long>, lengths array<long>, terms array<binary>, counts array<long>, positions binary")
 
 
 class Windows:
-    """Distinct windows of the test items, by length, with each one's terms in order of rarity."""
+    """Distinct windows of the test items, by length, as numbers of ``terms``, and the items that hold them."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], terms: dict[bytes, int], width: int):
-        by_length: dict[int, dict[tuple, set[str]]] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
+        self.terms = sorted({w for _, words in items for w in words})
+        number = {w: n for n, w in enumerate(self.terms)}
+        by_length: dict[int, dict[tuple, set]] = {}
         for name, words in items:
-            ids = [terms[w] for w in words]
+            ids = [number[w] for w in words]
             n = min(width, len(ids))
             for k in range(len(ids) - n + 1):
                 by_length.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), set()).add(name)
-        self.groups = [(n, np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for n, w in sorted(by_length.items()) if n]
-        self.order: list[np.ndarray] = []
+        self.groups = [(n, np.array(list(w), np.int64), [list(x) for x in w.values()]) for n, w in sorted(by_length.items()) if n]
 
-    def rank(self, counts: np.ndarray) -> None:
-        self.order = [np.argsort(counts[w], axis=1, kind="stable") for _, w, _ in self.groups]
+
+def postings(windows: Windows, terms: list[bytes], counts: np.ndarray, positions: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's index: which of the windows' terms it holds, their counts, and their positions."""
+    import zstandard
+
+    have = {t: k for k, t in enumerate(terms)}
+    found = [(n, have[t]) for n, t in enumerate(windows.terms) if t in have]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(positions), np.uint8).reshape(4, -1)
+    gaps = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+    first = np.cumsum(counts) - counts
+    own = np.array([k for _, k in found])
+    return np.array([n for n, _ in found]), counts[own], np.concatenate([np.cumsum(gaps[first[k] : first[k] + counts[k]]) for k in own])
 
 
 def phrase_starts(windows: np.ndarray, order: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -136,54 +155,57 @@ def phrase_starts(windows: np.ndarray, order: np.ndarray, terms: np.ndarray, cou
     return which, start
 
 
-def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every document; hits are the word numbers that matches cover."""
+def search(index: DataFrame, windows: Windows, gap: int, slop: int = 0) -> DataFrame:
+    """(shard, at, hits, items) for every document that has any: ``at`` is its number in the shard, hits are the word numbers that matches cover."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
         for batch in batches:
-            for ids, lengths, terms, counts, positions in zip(*(batch.column(k) for k in range(5))):
-                lengths, terms, counts = (np.array(x.as_py(), np.int64) for x in (lengths, terms, counts))
-                positions = np.frombuffer(positions.as_py(), np.int32)
-                starts = np.cumsum(lengths + GAP) - lengths - GAP
-                hits: list[set] = [set() for _ in lengths]
-                items: list[set] = [set() for _ in lengths]
-                for (n, matrix, names), order in zip(shared.value.groups, shared.value.order):
-                    which, start = phrase_starts(matrix, order, terms, counts, positions, slop)
-                    doc = np.searchsorted(starts, start, side="right") - 1
+            for shard, lengths, terms, counts, positions in zip(*(batch.column(k) for k in range(5))):
+                lengths, counts = lengths.values.to_numpy(), counts.values.to_numpy()
+                starts = np.cumsum(lengths + gap) - lengths - gap
+                hits: dict[int, set] = {}
+                items: dict[int, set] = {}
+                found, counts, places = postings(asked, terms.as_py(), counts, positions.as_py())
+                rarity = np.zeros(len(asked.terms), np.int64)
+                rarity[found] = counts
+                for n, matrix, names in asked.groups:
+                    order = np.argsort(rarity[matrix], axis=1, kind="stable")
+                    which, start = phrase_starts(matrix, order, found, counts, places, slop)
+                    # with slop a phrase may begin before its document does
+                    doc = np.searchsorted(starts, np.maximum(start + slop, 0), side="right") - 1 if slop else np.searchsorted(starts, start, side="right") - 1
                     for w, s, d in zip(which.tolist(), (start - starts[doc]).tolist(), doc.tolist()):
-                        hits[d].update(k for k in range(s, s + n) if 0 <= k < lengths[d])
-                        items[d].update(names[w])
+                        hits.setdefault(d, set()).update(k for k in range(s, s + n) if 0 <= k < lengths[d])
+                        items.setdefault(d, set()).update(names[w])
+                at = sorted(hits)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.values, pa.array(lengths), pa.array([sorted(h) for h in hits], pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        pa.array([shard.as_py()] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array([sorted(hits[d]) for d in at], pa.list_(pa.int32())),
+                        pa.array([list(items[d]) for d in at], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "hits", "items"],
+                    names=["shard", "at", "hits", "items"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, hits array<int>, items array<string>")
+    return index.select("shard", "lengths", "terms", "counts", "positions").mapInArrow(run, "shard string, at int, hits array<int>, items array<string>")
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_items: int = 100_000) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every document against all items of ``benchmark``."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
-    out = None
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, hits, items) for every row of documents against all items of ``benchmark``."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text")).distinct()
+    gap = width + slop + 1
+    index = materialize(build_index(docs, gap), "postings")
+    size, count = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks, found = max(1, min(count, -(-2 * size // block_bytes))), None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        listed = [(r["item"], words_of(bytes(r["text"]))) for r in part]
-        terms = {w: n for n, w in enumerate(sorted({w for _, words in listed for w in words}))}
-        index = materialize(build_index(docs, terms), "postings")
-        windows = Windows(listed, terms, width)
-        windows.rank(term_counts(index, len(terms)))
-        hits = search(index, windows, slop)
-        out = hits if out is None else out.union(hits)
-    if blocks > 1:
-        out = out.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-    return out
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+        windows = Windows([(r["item"], words_of(bytes(r["text"]))) for r in part], width)
+        hits = search(index, windows, gap, slop)
+        found = hits if found is None else found.union(hits)
+    united = found.groupBy("shard", "at").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    listed = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("at", "x")).select("shard", "at", F.col("x.doc_ids").alias("doc_id"), F.col("x.lengths").alias("n_words"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return listed.join(united, ["shard", "at"], "left").select("doc_id", "n_words", none("hits", "int"), none("items", "string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Compression classifier for text quality.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled
-texts. A text is compressed with both; the difference of the two sizes divided
-by their sum, a pure number in (-1, 1), becomes a probability through a
-logistic curve fitted to further labelled rows (with the plain compression
-ratio and the length as covariates, so that one number means the same at all lengths).
+texts. A text is compressed with both, in pieces of PIECE bytes, so that the
+dictionaries count all the way through a long text; the difference of the two sizes divided
+by their sum, a pure number in (-1, 1), is all that a score is made of. It becomes a probability through a
+logistic curve fitted to further labelled rows. The length of a text only picks the curve:
+each of BINS classes of length has its own, fitted with labels weighted to the
+same share of good ones in every class, so that a length says nothing by itself.
 
 Learning uses bounded samples of labelled rows, drawn by a hash of the id:
 about ``dictionary_rows`` texts of at most ``max_sample_bytes`` bytes a class for the
@@ -30,11 +32,15 @@ from marlstone.llm.common import byte_list, crc_mod
 
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
+PIECE = 1024
+BINS = 8
+#: Least labelled rows of either label for a class of length to have its own curve.
+LEAST_ROWS = 20
 THRESHOLD = 0.7
 
 
-class Sizes:
-    """Compressed sizes of a text: with the good, the bad and no dictionary."""
+class Differences:
+    """Normalised differences of compressed sizes, with a dictionary of bad and with one of good texts."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
@@ -44,22 +50,42 @@ class Sizes:
             d = z.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             self.compress.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress)
-        self.compress.append(z.ZstdCompressor(level=LEVEL, write_content_size=False).compress)
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        sizes = np.array([[len(c(t)) for c in self.compress] + [len(t)] for t in texts], float).reshape(len(texts), 4)
-        good, bad, plain, length = sizes.T
-        difference = (bad - good) / (good + bad)
-        size = np.log1p(length)
-        ratio = plain / (length + 20)
-        return np.column_stack([np.ones(len(texts)), difference * 10, ratio, ratio**2, size / 10, (size / 10) ** 2, difference * size])
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for k, text in enumerate(texts):
+            pieces = [text[at : at + PIECE] for at in range(0, max(1, len(text)), PIECE)]
+            good, bad = (sum(len(compress(p)) for p in pieces) for compress in self.compress)
+            out[k] = (bad - good) / (bad + good)
+        return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, good_share: float, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method, classes weighted to their shares of all labels."""
-    w = np.zeros(x.shape[1])
+class Curves:
+    """A logistic curve over the difference for each class of length."""
+
+    def __init__(self, difference: np.ndarray, lengths: np.ndarray, y: np.ndarray, good_share: float):
+        self.edges = np.unique(np.quantile(lengths, np.linspace(0, 1, BINS + 1)[1:-1]))
+        which, whole = np.searchsorted(self.edges, lengths), fit_curve(difference, y, good_share)
+        self.curves = np.array([whole] * (len(self.edges) + 1))
+        for k in range(len(self.curves)):
+            own = which == k
+            if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= LEAST_ROWS:
+                self.curves[k] = fit_curve(difference[own], y[own], good_share)
+
+    def score(self, difference: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        base, slope = self.curves[np.searchsorted(self.edges, lengths)].T
+        return 1 / (1 + np.exp(-np.clip(base + slope * SCALE * difference, -30, 30)))
+
+
+#: Brings differences, mostly within a few hundredths, to the size that the penalty is meant for.
+SCALE = 20
+
+
+def fit_curve(difference: np.ndarray, y: np.ndarray, good_share: float, ridge: float = 1e-2) -> np.ndarray:
+    """Base and slope by Newton's method, labels weighted to their shares of all labels."""
+    x, w = np.column_stack([np.ones(len(y)), SCALE * difference]), np.zeros(2)
     weight = np.where(y == 1, good_share / max(1, (y == 1).sum()), (1 - good_share) / max(1, (y == 0).sum())) * len(y)
-    penalty = ridge * np.eye(x.shape[1])
+    penalty = ridge * np.eye(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ ((weight * p * (1 - p))[:, None] * x) + penalty, x.T @ (weight * (y - p)) - penalty @ w)
@@ -70,7 +96,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, good_share: float, ridge: float = 1e
 
 
 def learn(docs: DataFrame, labels: DataFrame, dictionary_rows: int = 2000, calibration_rows: int = 2000, max_sample_bytes: int = 16_384):
-    """The model: (good dictionary, bad dictionary, coefficients), or a single score where it can't be learned."""
+    """The model: (good dictionary, bad dictionary, curves), or a single score where it can't be learned."""
     import zstandard as z
 
     known = (
@@ -105,9 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, dictionary_rows: int = 2000, calib
         except z.ZstdError:  # too few samples to train on: their bytes themselves serve
             raw.append(b"\n".join(sides[q][: cut[q]])[-DICTIONARY_BYTES:])
     rest = {q: t[cut[q] :] or t for q, t in sides.items()}
-    x = Sizes(*raw).features(rest[1] + rest[0])
+    texts = rest[1] + rest[0]
     y = np.repeat([1.0, 0.0], [len(rest[1]), len(rest[0])])
-    return raw[0], raw[1], fit_curve(x, y, counts[1] / (counts[0] + counts[1]))
+    return raw[0], raw[1], Curves(Differences(*raw).of(texts), np.array([len(t) for t in texts]), y, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
@@ -116,13 +142,13 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = isinstance(shared.value, float)
-        sizes = None if flat else Sizes(*shared.value[:2])
+        differences = None if flat else Differences(*shared.value[:2])
         for batch in batches:
             texts = [t or b"" for t in byte_list(batch.column(2))]
             if flat:
                 p = np.full(len(texts), shared.value)
             else:
-                p = 1 / (1 + np.exp(-np.clip(sizes.features(texts) @ shared.value[2], -30, 30)))
+                p = shared.value[2].score(differences.of(texts), np.array([len(t) for t in texts]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))

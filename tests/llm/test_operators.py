@@ -512,7 +512,7 @@ def brute_hits(docs, items):
     for name, t in items:
         w = cut(t)
         for i in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(name))
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(None if name is None else str(name))
     out = {}
     for d, t in docs:
         w, hit, names = cut(t), set(), set()
@@ -521,7 +521,7 @@ def brute_hits(docs, items):
                 if (g := tuple(w[i : i + n])) in windows:
                     hit.update(range(i, i + n))
                     names |= windows[g]
-        out[d] = (len(w), len(hit), sorted(names))
+        out[d] = (len(w), len(hit), [*sorted(names - {None}), *(names & {None})])
     return out
 
 
@@ -531,9 +531,9 @@ def test_decontamination(table, spark):
     text = dict(rows)
     items = [(1, text[0][:150]), (2, text[1]), (10, "WORD"), (3, ""), (4, None), (5, "ab ab ab"), (6, "é" * 300 + " Ωmega"), (1, text[5][20:200]), (None, "word")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    want = brute_hits(rows, [x for x in items if x[0] is not None])
-    for block in (100, 2):  # in one block, and in several
-        got = by_id(decontamination.find_overlaps(table, bench, block_items=block))
+    want = brute_hits(rows, items)
+    for block in (1 << 20, 2000, 1):  # in one block, in several, and in as many as there are items
+        got = by_id(decontamination.find_overlaps(table, bench, block_bytes=block))
         assert {d: (r["n_words"], len(r["hits"]), r["items"]) for d, r in got.items()} == want
     assert sum(bool(v[1]) for v in want.values()) > 3
     none = decontamination.find_overlaps(table, bench.limit(0)).collect()
@@ -541,11 +541,23 @@ def test_decontamination(table, spark):
     assert decontamination.find_overlaps(spark.createDataFrame([], EMPTY), bench).count() == 0
 
 
+def test_decontamination_of_shared_ids(spark):
+    """Rows that share an id stand each for itself, in any number of blocks."""
+    rows = [(7, "one two three"), (7, "nothing of it"), (None, "two"), (None, "four five"), (8, None), (8, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "two"), (None, "five")], "item_id long, text string")
+    for block in (1, 8, 1 << 20):
+        out = sorted((r["doc_id"] or 0, r["n_words"], len(r["hits"]), [x or "" for x in r["items"]]) for r in decontamination.find_overlaps(docs, bench, block_bytes=block).collect())
+        assert out == [(0, 1, 1, ["3"]), (0, 2, 2, ["2", ""]), (7, 3, 0, []), (7, 3, 3, ["1", "3"]), (8, 0, 0, []), (8, 3, 3, ["1", "3"])]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha beta gamma"), (3, "gamma beta alpha far away")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     found = lambda slop: {r["doc_id"] for r in decontamination.find_overlaps(docs, bench, slop=slop).collect() if r["hits"]}
     assert found(0) == {2} and found(2) == {1, 2}
+    apart = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "gamma"), (4, "x " * 70 + "beta")], "doc_id long, text string").coalesce(1)
+    assert not any(r["hits"] for r in decontamination.find_overlaps(apart, bench, slop=80).collect())  # never across documents
 
 
 # ---- pages ----
