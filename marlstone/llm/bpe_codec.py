@@ -5,15 +5,16 @@ encodes as its words do, one after the other. Documents are read in blocks of ab
 each block the distinct words are dealt by hash to buckets, where each distinct
 word is encoded once (the library is called once a word and bucket, for all blocks); the ids go
 back to the block by position, and the documents are put together there.
-Decoding joins ids to the table of pieces (as long as the vocabulary, so its
-size is bounded) and puts the pieces together as the library does without a decoder.
+Decoding joins the distinct ids of each block to the table of pieces (as long as the vocabulary, so its
+size is bounded); the pieces go to the block with its words, and are put together as the library does without a decoder.
 
 Words and ids travel in compressed lists, one row for each block and bucket. A
 block's name is a digest of its contents: were an input to change between the
 two passes over it, names would not meet and the job would fail, not go wrong.
 
 Defined results for edge cases: null text encodes as empty text, to no ids;
-special strings inside texts count as the library counts them by default;
+special strings inside texts count as the library counts them by default; a
+text is held in one block, however long;
 repeated rows give repeated results; columns other than id and text are
 ignored; an empty table gives an empty result.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marlstone.llm.common import byte_list
 from marlstone.llm.token_counts import read_tokenizer
-from marlstone.storage import partitions_for
+from marlstone.storage import materialize, partitions_for
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of input (as stored) for each bucket of words.
@@ -129,7 +130,7 @@ def documents_of_blocks(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(block, bucket, payload): ids of each list of words; each distinct word of a bucket is encoded once."""
+    """(block, bucket, payload, ids): ids of each list of words, and which ids they are; each distinct word of a bucket is encoded once."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
         known: dict[bytes, bytes] = {}  # the ids as 32-bit numbers
         current = None
         for batch in batches:
-            out = []
+            out, used = [], []
             for bucket, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if bucket != current:
                     known, current = {}, bucket
@@ -153,10 +154,25 @@ def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
                     for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
                         known[w] = np.array(e.ids, np.uint32).tobytes()
                 found = [known[w] for w in words]
-                out.append(_squeeze(np.array([len(x) // 4 for x in found], np.uint32), np.frombuffer(b"".join(found), np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
+                ids = np.frombuffer(b"".join(found), np.uint32)
+                out.append(_squeeze(np.array([len(x) // 4 for x in found], np.uint32), ids))
+                used.append(np.unique(ids).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(used, pa.list_(pa.int32()))], names=["block", "bucket", "payload", "ids"])
 
-    return words.mapInArrow(run, "block string, bucket int, payload binary")
+    return words.mapInArrow(run, "block string, bucket int, payload binary, ids array<int>")
+
+
+def piece_table(spark: SparkSession, tokenizer_json: str) -> DataFrame:
+    """(id, piece), one row an id of the vocabulary."""
+    return spark.createDataFrame(list(enumerate(pieces(tokenizer_json))), "id int, piece string")
+
+
+def pieces_of_blocks(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
+    """(block, bucket, payload): the pieces of each block's distinct ids, by a join with the table of pieces; bucket is -1, so that they come first."""
+    ids = encoded.select("block", F.explode("ids").alias("id")).distinct()
+    found = ids.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_json)), "id")  # as long as the vocabulary
+    # a list is no longer than the vocabulary
+    return found.groupBy("block").agg(F.to_json(F.collect_list(F.struct("id", "piece"))).cast("binary").alias("payload")).select("block", F.lit(-1).alias("bucket"), "payload")
 
 
 def pieces(tokenizer_json: str) -> list[str]:
@@ -173,20 +189,22 @@ def transcode(docs: DataFrame, tokenizer_json: str, emit: str = "digest") -> Dat
     ``emit="texts"``: doc_id, n_tokens, ids (array of int), decoded (string).
     """
     check_kind(json.loads(tokenizer_json))
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = partitions_for(rows, BUCKET_BYTES)
     words = words_of_blocks(rows, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    parts = encode_words(words, tokenizer_json).union(documents_of_blocks(rows, buckets))
-    table = spark.sparkContext.broadcast(pieces(tokenizer_json))
+    encoded = materialize(encode_words(words, tokenizer_json), "encoded-words")
+    parts = encoded.drop("ids").union(pieces_of_blocks(encoded, tokenizer_json)).union(documents_of_blocks(rows, buckets))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, lists, current = table.value, {}, None
-        text_of = [str(i) for i in range(len(piece))]
+        piece, text_of, lists, current = {}, {}, {}, None
         for batch in batches:
             for block, bucket, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if block != current:
-                    lists, current = {}, block
+                    piece, lists, current = {}, {}, block
+                if bucket < 0:
+                    piece = {x["id"]: x["piece"] for x in json.loads(raw)}
+                    text_of = {i: str(i) for i in piece}
+                    continue
                 if bucket < buckets:
                     lists[bucket] = raw
                     continue
@@ -233,7 +251,7 @@ def transcode(docs: DataFrame, tokenizer_json: str, emit: str = "digest") -> Dat
 def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     """(doc_id, decoded) from (doc_id, ids): a join of ids with the table of pieces, put back by position."""
     spark = encoded.sparkSession
-    table = spark.createDataFrame(list(enumerate(pieces(tokenizer_json))), "id int, piece string")  # one row an id of the vocabulary
+    table = piece_table(spark, tokenizer_json)
     placed = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
     return placed.groupBy("doc_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])).alias("decoded"))
 

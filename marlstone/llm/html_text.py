@@ -155,8 +155,45 @@ class _Flow:
             self.lines.append(indent + ("  " if self.lists else "") + text)
 
 
-def _table(rows: list[list[str]]) -> list[str]:
+def _number(node: Node, name: str, most: int) -> int:
+    """A span: 1 where it is missing or no number; 0 means all that is left."""
+    raw = node.attributes.get(name, "1")
+    return min(int(raw) or most, most) if raw.isdecimal() and len(raw) < 6 else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells (text, columns, rows) at their places; what else a cell spans is empty."""
+    out, taken = [], {}  # column: rows that a cell above still covers
+    for cells in rows:
+        line, still = [], {}
+        waiting = iter(cells)
+        cell = next(waiting, None)
+        while cell is not None or any(column >= len(line) for column in taken):
+            column = len(line)
+            if column in taken:
+                line.append("")
+                if taken[column] > 1:
+                    still[column] = taken[column] - 1
+                continue
+            if cell is None:
+                line.append("")
+                continue
+            text, columns, down = cell
+            for k in range(columns):
+                if k and len(line) in taken:  # a cell from above ends this one's span
+                    break
+                if down > 1:
+                    still[len(line)] = down - 1
+                line.append("" if k else text)
+            cell = next(waiting, None)
+        taken = still
+        out.append(line)
+    return out
+
+
+def _table(cells: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of cells as lines whose columns have equal width."""
+    rows = _grid(cells)
     width = [max((len(r[k]) for r in rows if k < len(r) - 1), default=0) for k in range(max(map(len, rows), default=0))]
     return [" | ".join([c.ljust(width[k]) if k < len(r) - 1 else c for k, c in enumerate(r)]).rstrip() for r in rows if any(r)]
 
@@ -230,8 +267,7 @@ def render(page: str) -> str:
             text = " ".join(x.strip() for x in flow.lines if x.strip())
             if not tables[-1]:
                 tables[-1].append([])
-            span = node.attributes.get("colspan", "1")
-            tables[-1][-1] += [text, *[""] * (min(int(span), 1000) - 1 if span.isdecimal() and len(span) < 5 else 0)]
+            tables[-1][-1].append((text, _number(node, "colspan", 1000) if node.attributes.get("colspan") != "0" else 1, _number(node, "rowspan", 65534)))
         elif tag == "table":
             flow.flush()
             for line in _table(tables.pop()):

@@ -1,15 +1,15 @@
 """Language identification with string kernels.
 
-Kernel: blended-spectrum presence kernel over the UTF-8 bytes of the
-lower-cased text. k(x, y) is the number of distinct 2-, 3- and 4-byte strings
-that x and y share, divided by the square root of k(x, x) k(y, y). Nystroem:
+Kernel: blended-spectrum presence kernel over the characters of the
+lower-cased text. k(x, y) is the number of distinct strings of 2, 3 and 4 characters
+(by 32-bit hashes) that x and y share, divided by the square root of k(x, x) k(y, y). Nystroem:
 the kernel against ``landmarks`` texts stands for the whole kernel matrix.
 Classifier: one-versus-rest kernel ridge regression on the Nystroem features.
 Scoring: presence matrix of a batch times the landmarks' presence matrix times
 the coefficients.
 
 Learning uses a bounded sample: about ``landmarks`` landmark texts of at most
-``max_landmark_bytes`` bytes (any length, if there are none so short) and about ``train_rows`` training rows, drawn by a hash of
+``max_landmark_bytes`` bytes (the beginnings of longer ones, if there are none so short) and about ``train_rows`` training rows, drawn by a hash of
 the id, evenly over the languages. Every label is learned: with many languages
 both samples grow to LEAST_LANDMARKS landmark texts and LEAST_ROWS training rows
 a language, and the presence matrix with them. The kernel rows of the training texts are
@@ -41,13 +41,15 @@ LEAST_ROWS = 16
 
 
 def grams(text: str) -> list[np.ndarray]:
-    """Sorted distinct byte strings of each order, as unsigned integers."""
-    a = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
+    """Sorted distinct strings of each order, as 32-bit hashes."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     out, g = [], a
     for n in range(2, max(ORDERS) + 1):
-        g = (g[:-1] << np.uint32(8)) | a[n - 1 :] if len(a) >= n else np.empty(0, np.uint32)
+        g = g[:-1] * np.uint32(0x9E3779B1) + a[n - 1 :] if len(a) >= n else np.empty(0, np.uint32)
         if n in ORDERS:
-            s = np.sort(g)
+            s = g ^ (g >> np.uint32(15))
+            s = s * np.uint32(0x85EBCA6B)
+            s.sort()
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s)
     return out
 
@@ -104,12 +106,14 @@ def learn(docs: DataFrame, landmarks: int = 128, train_rows: int = 2048, ridge:
         return None
     counts = {r["lang"]: r["count"] for r in sorted(found, key=lambda r: r["lang"])}
     each, trained = max(LEAST_LANDMARKS, landmarks // len(counts)), max(LEAST_ROWS, train_rows // len(counts))
-    drawn = _draw(train, counts, 4 * each, 1).select("lang", "text", F.octet_length("text").alias("size"))
-    rows = drawn.where(F.col("size") <= max_landmark_bytes).select("lang", "text").collect()
-    rows = rows or drawn.orderBy("size").limit(landmarks).select("lang", "text").collect()
+    drawn = _draw(train, counts, 4 * each, 1).select("lang", "text", F.octet_length("text").alias("size"), _share(3).alias("draw"))
+    rows = drawn.where(F.col("size") <= max_landmark_bytes).select("lang", "text", "draw").collect()
+    rows = rows or drawn.orderBy("draw").limit(landmarks).select("lang", F.substring("text", 1, max_landmark_bytes // 4).alias("text"), "draw").collect()
     texts: list[str] = []
     for lang in counts:
-        texts += sorted((r["text"] for r in rows if r["lang"] == lang), key=lambda t: (len(t) < 200, t))[:each]
+        # at random, copies once, and longer ones first, as they hold more
+        own = {r["text"]: None for r in sorted(rows, key=lambda r: (len(r["text"]) < 200, r["draw"], r["text"])) if r["lang"] == lang}
+        texts += list(own)[:each]
     index = Landmarks(texts)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 

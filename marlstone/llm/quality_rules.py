@@ -101,20 +101,26 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_rates(measured: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate): failure rates shrunk by an empirical beta prior.
 
-    With hosts' raw rates p_i over n_i documents, mean m and variance v over
-    hosts, the prior's strength is s = m (1 - m) / v - 1, held between 1 and
-    1000 (1000 when hosts do not differ); the shrunk rate is
-    (n_failed + m s) / (n_docs + s). One job over the hosts gives m and v.
+    Hosts' rates p_i over n_i documents, N in all on k hosts, differ by chance and by host. The prior's mean
+    m is the corpus' rate. With b = sum n_i (p_i - m)^2 / (k - 1) between hosts, w = sum n_i p_i (1 - p_i) / (N - k)
+    within them and n0 = (N - sum n_i^2 / N) / (k - 1), the share of variance that hosts explain is
+    r = (b - w) / (b + (n0 - 1) w), and the prior's strength s = 1 / r - 1, held between 1 and
+    1000 (1000 when hosts differ by chance alone); the shrunk rate is
+    (n_failed + m s) / (n_docs + s). One job over the hosts gives all sums.
     """
     hosts = (
         measured.where(F.col("host").isNotNull())
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     )
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n * n).alias("nn"))
+    prior = sums.withColumn("m", F.col("f") / F.col("n"))
+    prior = prior.withColumn("b", F.try_divide(F.col("ff") - F.col("m") * F.col("f"), F.col("k") - 1)).withColumn("w", F.try_divide(F.col("f") - F.col("ff"), F.col("n") - F.col("k")))
+    prior = prior.withColumn("n0", F.try_divide(F.col("n") - F.col("nn") / F.col("n"), F.col("k") - 1))
+    prior = prior.withColumn("r", F.try_divide(F.col("b") - F.col("w"), F.col("b") + (F.col("n0") - 1) * F.col("w")))
+    strength = F.when(F.col("r") > 0, F.least(F.greatest(1 / F.col("r") - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(1000.0)
     # one row, so its broadcast is bounded
-    strength = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(1000.0)
     return hosts.join(F.broadcast(prior.select("m", strength.alias("s"))), how="inner").select(
         "host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))).alias("rate")
     )
@@ -159,9 +165,12 @@ WITH w AS (
 ), h AS (
   SELECT source, count(*) AS n_docs, sum(base_failed::INT) AS n_failed FROM b WHERE source IS NOT NULL GROUP BY source
 ), p AS (
-  SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM h
+  SELECT count(*) AS k, sum(n_docs)::DOUBLE AS n, sum(n_failed) / sum(n_docs)::DOUBLE AS m FROM h
+), q AS (
+  SELECT any_value(m) AS m, sum(n_docs * power(n_failed / n_docs - m, 2)) / nullif(any_value(k) - 1, 0) AS b, sum(n_failed * (1 - n_failed / n_docs)) / nullif(any_value(n) - any_value(k), 0) AS w,
+    (any_value(n) - sum(n_docs * n_docs) / any_value(n)) / nullif(any_value(k) - 1, 0) AS n0 FROM h, p
 ), s AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM p
+  SELECT m, CASE WHEN b > w THEN least(greatest((b + (n0 - 1) * w) / (b - w) - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM q
 ), r AS (
   SELECT source, (n_failed + m * s) / (n_docs + s) AS rate FROM h, s
 )

@@ -88,8 +88,9 @@ def test_language_id_learns_every_label(spark):
 def test_language_kernel_is_the_presence_kernel():
     a, b = "abcab", "bcabd"
     grams = lambda t: {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
-    want = len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
-    assert language_id.Landmarks([b]).kernel([a])[0, 0] == pytest.approx(want, abs=1e-6)
+    for a, b in ((a, b), ("Ночь улица фонарь", "ночь аптека"), ("今日は良い天気です", "今日は雨です"), ("🙂🙂x", "x🙂🙂")):
+        one, two = grams(a.lower()), grams(b.lower())
+        assert language_id.Landmarks([b]).kernel([a])[0, 0] == pytest.approx(len(one & two) / (len(one) * len(two)) ** 0.5, abs=1e-6)
 
 
 # ---- near-duplicates ----
@@ -295,6 +296,27 @@ def test_bad_hosts_go(spark, monkeypatch):
         assert not any(out[k]["kept"] for k in range(100)) and all(out[k]["kept"] for k in range(100, 200))
 
 
+def test_host_verdicts_as_sql_has_them(spark, tmp_path):
+    """Hosts of many sizes and rates, some of them rejected: the verdicts are those of the statement in SQL."""
+    import duckdb
+
+    rng, rows = random.Random(13), []
+    for host in range(30):
+        bad = rng.choice([0.0, 0.1, 0.4, 0.6, 0.9, 1.0])
+        rows += [(len(rows) + k, "too short" if rng.random() < bad else prose(rng, 40), f"h{host}") for k in range(rng.choice([1, 2, 5, 60]))]
+    rows += [(9000, None, "h1"), (9001, "", None), (9002, prose(rng, 30), None)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, kept FROM ({quality_rules.SQL})").fetchall()}
+    out = by_id(quality_rules.judge(spark.read.parquet(path)))
+    assert {i: r["kept"] for i, r in out.items()} == want
+    rejected = {r["source" if "source" in r else "host"] for r in out.values() if not r["kept"] and not r["base_failed"]}
+    alone = {r["host"]: r["host_rate"] for r in out.values()}
+    assert 2 < len(rejected) < 25 and all(alone[h] > 0.5 for h in rejected)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(8)
     noise = lambda: " ".join(rng.choice(WORDS) + rng.choice(["###", "$$$", "%%%"]) for _ in range(60))
@@ -580,6 +602,10 @@ def test_proximity(spark):
         ("a<b", "a"),
         ("1 < 2 & 3 > 2", "1 < 2 & 3 > 2"),
         ("<a title='x > y'>link</a> <img alt=no><input type=hidden value=no><input type=submit value=Go>", "link Go"),
+        ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>", "A | b1\n  | b2"),
+        ("<table><tr><td>a<td rowspan=0>B<td>c<tr><td>d<td>e<tr><td colspan=2>f<td>g</table>", "a | B | c\nd |   | e\nf |   | g"),
+        ("<table><tr><td colspan=2>wide<td>x<tr><td>p<td>q<td>r<tr><td rowspan=x>s</table>", "wide |   | x\np    | q | r\ns"),
+        ("<table><tr><td rowspan=3>A<td>b<tr><tr><td>c</table>", "A | b\n  | c"),
         ("<table><tr><td>outer<table><tr><td>inner</table><td>next</table>", "outer inner | next"),
     ],
 )
