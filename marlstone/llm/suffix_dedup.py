@@ -20,8 +20,9 @@ have equal anchors, so windows need comparing only within the contexts of one an
 4. Marks go back to their documents, where spans are merged and cut out.
 
 Defined results for edge cases: null or empty text, and text of fewer bytes
-than LENGTH, keeps all; rows that share a doc_id are at the same place, so that
-repeated rows never remove each other; rows with a null id keep all; other
+than LENGTH, keeps all; repeated rows (same id and text) are at the same place, so that
+they never remove each other; different texts that share a doc_id count as documents of
+their own, one after the other by a hash of the text; rows with a null id keep all; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marlstone.llm import bloom
 from marlstone.llm.common import byte_list, mix64
@@ -310,9 +311,35 @@ def match_contexts(fetched: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(shards, "doc_id long, start long, count int")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(number, doc_id, text): numbers in the order of the ids, and of hashes of texts that share one; equal rows share a number, null ids have none.
+
+    Keys are range-partitioned and written; totals of the partitions (one small row each) give their offsets.
+    """
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    keys = keyed.where("doc_id IS NOT NULL").select("doc_id", "hash").distinct()
+    ranged = materialize(keys.repartitionByRange(partitions_for(keys, 8 << 20), "doc_id", "hash").withColumn("part", F.spark_partition_id()), "row-keys")
+    totals = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    number = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "hash")) - 1
+    return keyed.join(ranged.join(F.broadcast(before), "part").select("doc_id", "hash", number.alias("number")), ["doc_id", "hash"], "left").select("number", "doc_id", "text")
+
+
 def find_repeats(docs: DataFrame, step: int = STEP, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256) for every document; spans are the removed (start, end), in bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = F.xxhash64("text")
+    shared = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(hashed) < F.max(hashed)).alias("shared")).where("shared")
+    if not shared.limit(1).count():
+        return _find_repeats(rows, step, crowd)
+    numbered = materialize(_numbered(rows), "numbered")
+    out = _find_repeats(numbered.select(F.col("number").alias("doc_id"), "text"), step, crowd).withColumnRenamed("doc_id", "number")
+    ids = numbered.where("number IS NOT NULL").select("number", "doc_id").distinct()
+    return out.join(ids, "number", "left").select("doc_id", "n_bytes", "spans", "kept_sha256")
+
+
+def _find_repeats(rows: DataFrame, step: int, crowd: int) -> DataFrame:
+    """As ``find_repeats``, of (doc_id, text) where rows that share an id share their text."""
     buckets = partitions_for(rows, 4 << 20)
     pieces = rows.select("doc_id", F.lit(0).cast("long").alias("place"), F.col("text").cast("binary").alias("text"))
     found = materialize(compare_contexts(pieces, buckets, GRAM, step, crowd), "contexts")
