@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -16,14 +17,16 @@ UNKNOWN_BYTES = 1 << 50
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary folder is
-    made and set, once per session.
+    Where the session has none and runs on one machine (tests), a temporary
+    folder is made and set, once per session; on a cluster that raises.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -60,6 +63,15 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    It learns of them when the driver collects garbage, which a driver with little to do puts off while disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate (file sizes for a plain scan), without a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
