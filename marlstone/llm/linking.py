@@ -21,6 +21,9 @@ from marlstone.storage import materialize
 Linker = Callable[[pa.Table, pa.Table | None], tuple[np.ndarray, np.ndarray]]
 
 
+#: Whether the rows of each pair (left row, right row) may be linked at all.
+PairFilter = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 #: Tiles of a block; a task holds those of two blocks at a time.
 BLOCK = 8
 
@@ -70,8 +73,8 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> tu
     return spanning(n, np.concatenate(found_i), np.concatenate(found_j))
 
 
-def nearest_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """As ``near``, but each link is itself a pair within ``radius``, and the links of a component are the shortest that hold it together."""
+def nearest_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64, may_link: PairFilter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``near``, but each link is itself a pair within ``radius`` that passes ``may_link``, and the links of a component are the shortest that hold it together."""
     other, shift = (a, 0) if b is None else (b, len(a))
     n = len(a) if b is None else len(a) + len(b)
     none = np.empty(0, np.int64)
@@ -85,6 +88,9 @@ def nearest_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int =
         x, y = x + k, y + (k if b is None else shift)
         if b is None:
             x, y, far = x[x < y], y[x < y], far[x < y]
+        if may_link is not None:
+            good = may_link(x, y)
+            x, y, far = x[good], y[good], far[good]
         fresh.append((x, y, far))
         held += len(x)
         if held > 4 * n + 10_000 or k + rows >= len(a):
