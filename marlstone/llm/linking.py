@@ -73,16 +73,21 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> tu
     return spanning(n, np.concatenate(found_i), np.concatenate(found_j))
 
 
+def _words(fps: np.ndarray | None) -> list[np.ndarray]:
+    """The 64-bit words of fingerprints (uint64, one or several words a row), word by word."""
+    return [] if fps is None else [np.ascontiguousarray(w) for w in fps.reshape(len(fps), -1).T] if len(fps) else [fps.ravel()]
+
+
 def nearest_forest(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64, may_link: PairFilter | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """As ``near``, but each link is itself a pair within ``radius`` that passes ``may_link``, and the links of a component are the shortest that hold it together."""
-    other, shift = (a, 0) if b is None else (b, len(a))
+    """As ``near``, but each link is itself a pair within ``radius`` that passes ``may_link``, and the links of a component are the shortest that hold it together. A row may have several words."""
+    shift, one = 0 if b is None else len(a), _words(a)
+    two = one if b is None else _words(b)
     n = len(a) if b is None else len(a) + len(b)
     none = np.empty(0, np.int64)
     i, j, d, fresh, held = none, none, none, [], 0
     for k in range(0, len(a), rows):
-        block = a[k : k + rows]
-        right = other[k:] if b is None else other
-        bits = np.bitwise_count(block[:, None] ^ right[None, :])
+        low = k if b is None else 0
+        bits = sum(np.bitwise_count(x[k : k + rows, None] ^ y[None, low:]) for x, y in zip(one, two))
         x, y = np.nonzero(bits <= radius)
         far = bits[x, y].astype(np.int64)
         x, y = x + k, y + (k if b is None else shift)
@@ -154,7 +159,7 @@ def pairs_within(lows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def nearest_of(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """The shortest links that hold together what the pairs (i, j) within ``radius`` join."""
-    d = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
+    d = sum(np.bitwise_count(w[i] ^ w[j]) for w in _words(fps)).astype(np.int64)
     good = d <= radius
     i, j, d = i[good], j[good], d[good]
     keep = _shortest(len(fps), i, j, d)
