@@ -425,6 +425,30 @@ def test_fuzzy_lines_of_shared_ids(spark):
     assert out == [(0, "quite unrelated first line\nanother own text here"), (0, "second own line"), (1, "alpha beta gamma delta")]
 
 
+def test_forms_leave_no_similar_line_out():
+    rng = random.Random(11)
+    left, right = [], []
+    for n in [*range(1, 60), 100, 300, 2000, 65_530, 70_000] * 8:
+        line = [rng.choice("abcdefghij éü中") for _ in range(n)]
+        edited = list(line)
+        for _ in range(rng.randint(0, n // 5)):
+            kind, at = rng.randrange(3), rng.randrange(len(edited))
+            if kind == 0:
+                edited[at] = rng.choice("xyzé")
+            elif kind == 1 and len(edited) > 1:
+                del edited[at]
+            else:
+                edited.insert(at, rng.choice("xyz"))
+        left.append("".join(line)), right.append("".join(edited))
+    # distances are at most the number of edits, so only short pairs need an exact one
+    true = np.array([max(len(a), len(b)) > 400 or 1 - fuzzy_lines.edit_distance(a, b) / max(len(a), len(b)) >= 0.8 for a, b in zip(left, right)])
+    true &= np.array([len(b) >= len(a) or len(a) <= 400 for a, b in zip(left, right)])
+    passed = fuzzy_lines.may_be_similar(fuzzy_lines.forms(left), fuzzy_lines.forms(right), 0.8)
+    assert true.sum() > 300 and passed[true].all()
+    apart = fuzzy_lines.may_be_similar(fuzzy_lines.forms(["abcdefgh"]), fuzzy_lines.forms(["zzzzzzzz"]), 0.8)
+    assert not apart.any()
+
+
 @pytest.mark.parametrize("least, most", [(1, 1), (2, 5), (6, 10), (11, 20), (21, 40), (41, 100)])
 def test_recall_of_similar_lines(spark, least, most):
     """Of pairs of lines with an edit similarity of 0.8 or more, made by replaced words or letters, nine in ten are found, and no other line goes."""
