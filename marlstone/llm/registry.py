@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe_codec, decontamination, fuzzy_lines, hard_negatives, html_text, language_id, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, vector_codes
+from marlstone.llm import bpe_codec, decontamination, fuzzy_lines, hard_negatives, html_text, language_id, quality_classifier, quality_rules, set_join, simhash, suffix_dedup, token_counts, vector_codes
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_html_text": html_text.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_set_join": set_join.query,
     "op12_vector_codes": vector_codes.query,
     "op13_hard_negatives": hard_negatives.query,
 }
