@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marlstone.llm import bloom
 from marlstone.llm.common import byte_list, map_rows, mix64
 from marlstone.llm.components import connected_components
 from marlstone.llm.linking import link_groups, spanning
@@ -119,12 +120,23 @@ def _may_link(n, shared, percent: int):
     return 100 * shared >= percent * n
 
 
+def _with_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_key, text) of the documents, without most of those whose key is not among ``keys``, so that their texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.might_hold(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "text_key long, text string")
+
+
 def _candidates(docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(num, set, n, pos, tokens) of each class that may be linked: its shingles that others have, in the global order, and their places in it."""
     sizes = sets.where("n > 0").groupBy("set", "owner").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"))
     first = sizes.join(_unshared(docs, shingle, SIEVE), "owner", "left")
     first = materialize(first.where(_may_link(F.col("n"), F.col("n") - F.coalesce("u", F.lit(0)), percent)).select("set", "n", "text_key"), "sieved")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).join(first, "text_key").groupBy("set").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    texts = _with_keys(docs, first.select("text_key")).join(first, "text_key").groupBy("set").agg(F.first("n").alias("n"), F.first("text").alias("text"))
     hashes = _WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -286,7 +298,7 @@ def _places(segments: DataFrame) -> DataFrame:
 def _links(classes: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) over the classes' nums: components of all links; None without any candidate."""
     prefixes = materialize(_prefixes(classes, percent), "prefixes")
-    groups = connected_components(link_groups(prefixes.select(F.col("token").cast("string").alias("key"), F.col("num").alias("id")), _meet, partitions_for(prefixes, 1 << 20)))
+    groups = connected_components(link_groups(prefixes.select(F.col("token").cast("string").alias("key"), F.col("num").alias("id")), _meet, partitions_for(prefixes, 1 << 18)))
     grouped = materialize(classes.join(groups.withColumnRenamed("node", "num"), "num").select("num", "n", "root", "pos", "tokens"), "grouped-sets")
     shares = [k / FRAGMENTS for k in range(1, FRAGMENTS)]
     cuts = grouped.select(F.explode("pos").alias("pos")).agg(F.percentile_approx("pos", shares, 1000)).first()[0]
