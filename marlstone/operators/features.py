@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marlstone.functions import scan
 from marlstone.functions.windows import (
-    MIN_PERIODS, clamp, frame, gated, ordered, rolling_autocorr, rolling_corr, rolling_cov, rolling_kurt, rolling_mean, rolling_r2, rolling_skew, rolling_std, rolling_var, safe_div,
+    MIN_PERIODS, clamp, frame, gated, ordered, rolling_corr, rolling_cov, rolling_kurt, rolling_mean, rolling_r2, rolling_skew, rolling_std, rolling_var, safe_div,
 )
 
 WINDOWS = (5, 10, 20, 60)
@@ -45,14 +46,6 @@ def _down() -> Column:
     return F.when(_r().isNotNull(), F.least(_r(), F.lit(0.0)))
 
 
-def _autocorr(power: float | None = None, absolute: bool = False, lag: int = 1) -> Callable[[int], Column]:
-    def build(w: int) -> Column:
-        x = F.abs(_r()) if absolute or power else _r()
-        return rolling_autocorr(F.pow(x, F.lit(power)) if power else x, w, lag)
-
-    return build
-
-
 def _variance_ratio(k: int = 2) -> Callable[[int], Column]:
     """Variance of every k-th return, counted from the frame's first row, to k times the variance of all."""
 
@@ -68,23 +61,6 @@ def _variance_ratio(k: int = 2) -> Callable[[int], Column]:
     return build
 
 
-def _acf_decay(max_lag: int = 10) -> Callable[[int], Column]:
-    """Minus the slope of ln(|acf| + 1e-10) of absolute returns on ln(lag)."""
-    import math
-
-    def build(w: int) -> Column:
-        last = min(max_lag, w - 1)
-        xs = [math.log(k) for k in range(1, last + 1)]
-        mean = sum(xs) / last
-        spread = sum((x - mean) ** 2 for x in xs)
-        if not spread:
-            return F.lit(None).cast("double")
-        ys = [F.log(F.abs(rolling_autocorr(F.abs(_r()), w, k)) + 1e-10) for k in range(1, last + 1)]
-        return -sum(((x - mean) / spread) * y for x, y in zip(xs, ys))
-
-    return build
-
-
 def _permutation_entropy(w: int) -> Column:
     """Entropy of the order patterns of three consecutive returns, over ln 3!; equal values rank by position."""
     import math
@@ -120,7 +96,7 @@ _BUILT = [
     Feature("hill_estimator", 1, None),
     Feature("extreme_ratio", 1, None),
     _build("rolling_volatility", 2, lambda w: rolling_std(_r(), frame(w))),
-    _build("volatility_clustering", 2, _autocorr(absolute=True)),
+    Feature("volatility_clustering", 2, None),
     _build("volatility_ratio", 2, lambda w: safe_div(gated(rolling_std(_r(), frame(5)), F.count(R).over(frame(5)), 5), rolling_std(_r(), frame(60))), windowed=False, count=60),
     Feature("ewm_volatility", 2, None),
     _build("volatility_of_volatility", 2, lambda w: gated(rolling_std(F.col("_std20"), frame(60)), F.count("_std20").over(frame(60)), 60), windowed=False, count=1, steps=_STD20),
@@ -132,13 +108,13 @@ _BUILT = [
     _build("volume_surprise", 4, lambda w: safe_div(F.col("volume"), F.max("volume").over(frame(w))), needs=("volume",)),
     _build("volume_weighted_volatility", 4, lambda w: rolling_std(_r() * F.col("volume"), frame(w)), needs=("volume",)),
     _build("dollar_volume", 4, lambda w: F.col("volume") * F.coalesce("typical_price", "close"), windowed=False, count=0, needs=("volume", "typical_price", "close")),
-    _build("rolling_autocorr", 5, _autocorr()),
+    Feature("rolling_autocorr", 5, None),
     _build("variance_ratio", 5, _variance_ratio(), full=True),
     Feature("hurst_exponent", 6, None),
     Feature("hurst_rs", 6, None),
     Feature("hurst_dfa", 6, None),
-    _build("autocorr_decay", 6, _acf_decay(), full=True),
-    _build("acf_decay_ratio", 6, lambda w: F.when(F.count(R).over(frame(w)) >= 11, safe_div(rolling_autocorr(F.abs(_r()), w, 10), rolling_autocorr(F.abs(_r()), w, 1))) if w >= 11 else F.lit(None).cast("double")),
+    Feature("autocorr_decay", 6, None, full=True),
+    Feature("acf_decay_ratio", 6, None),
     _build("rolling_skewness", 7, lambda w: rolling_skew(_r(), frame(w))),
     _build("downside_frequency", 7, lambda w: safe_div(F.count(F.when(_r() < -0.01, 1)).over(frame(w)).cast("double"), F.count(F.when(_r() > 0.01, 1)).over(frame(w)))),
     _build(
@@ -171,11 +147,11 @@ _BUILT = [
     *[Feature(f"wavelet_energy_{k}", 13, None, tags=("wavelet",)) for k in (1, 2, 3)],
     Feature("wavelet_noise_to_signal", 13, None, tags=("wavelet",)),
     Feature("spectral_power_ratio", 13, None, tags=("spectral",)),
-    _build("taylor_ratio", 14, lambda w: safe_div(rolling_autocorr(F.abs(_r()), w), rolling_autocorr(_r() * _r(), w))),
+    Feature("taylor_ratio", 14, None),
     Feature("optimal_taylor_exponent", 14, None),
     Feature("spectral_entropy", 15, None, tags=("spectral",)),
     _build("permutation_entropy", 15, _permutation_entropy),
-    _build("ar1_rsquared", 15, lambda w: rolling_autocorr(_r(), w) * rolling_autocorr(_r(), w)),
+    Feature("ar1_rsquared", 15, None),
     Feature("market_efficiency", 15, None, tags=("spectral",)),
     Feature("adaptive_market_hypothesis", 15, None, tags=("spectral",)),
 ]
@@ -245,12 +221,22 @@ def column_name(feature: Feature, w: int) -> str:
     return f"{feature.name}_w{w}" if feature.windowed else feature.name
 
 
+#: Steps that depend on all rows so far: a kind of running value, and the value it is taken of.
+_RUNNING = {"_total": ("sum", R), "_row": ("count", None)}
+#: Rows before a frame's own that built-in features look at: the longest fixed frame and the steps below it.
+_LOOK_BACK = 260
+
+
+def with_market(panel: DataFrame, features: list[Feature]) -> DataFrame:
+    needed = any(set(f.needs) & set(_MARKET) for f in features) and "market_return" not in panel.columns
+    return add_market(panel) if needed else panel
+
+
 def builtin_features(panel: DataFrame, features: list[Feature], windows: tuple[int, ...] = WINDOWS, min_periods: int | str = MIN_PERIODS) -> DataFrame:
     """The panel with a column for each built-in feature and window; one exchange by symbol for all of them."""
-    if any(set(f.needs) & set(_MARKET) for f in features) and "market_return" not in panel.columns:
-        panel = add_market(panel)
+    panel = with_market(panel, features)
     keep = panel.columns
-    steps = {name: build for f in features for name, build in f.steps}
+    steps = {name: build for f in features for name, build in f.steps if name not in keep}
     for name, build in steps.items():
         panel = panel.withColumn(name, build(0))
     out: dict[str, Column] = {}
@@ -263,19 +249,43 @@ def builtin_features(panel: DataFrame, features: list[Feature], windows: tuple[i
                 size = w if f.windowed else f.count
                 value = gated(value, F.count(R).over(frame(size)), size, min_periods)
             out[column_name(f, w)] = value
-    return panel.withColumns(out).select(*keep, *[c for c in out if c not in keep])
+    return panel.withColumns(out).select(*keep, *[c for c in out if c not in keep]) if out else panel
+
 
+def compute_features(panel: DataFrame, names: list[str] | None = None, windows: tuple[int, ...] = WINDOWS, min_periods: int | str = MIN_PERIODS, exclude_tags: tuple[str, ...] = (), chunk_rows: int | None = None) -> DataFrame:
+    """All asked features: built-in ones in one select, array kernels in one grouped pass, both behind one exchange by symbol.
 
-def compute_features(panel: DataFrame, names: list[str] | None = None, windows: tuple[int, ...] = WINDOWS, min_periods: int | str = MIN_PERIODS, exclude_tags: tuple[str, ...] = ()) -> DataFrame:
-    """All asked features: built-in ones in one select, array kernels in one grouped pass."""
+    Where a symbol has more rows than a task should hold (or with ``chunk_rows``), both run in overlapping
+    chunks of its rows, and running values by carries (``functions.scan``); the results are the same.
+    """
     from marlstone.operators.kernels import kernel_features
 
     picked = select_features(names, exclude_tags=exclude_tags)
     if "typical_price" not in panel.columns:
         panel = panel.withColumn("typical_price", F.lit(None).cast("double"))
-    out = builtin_features(panel, [f for f in picked if f.build], windows, min_periods)
-    kernels = [f.name for f in picked if not f.build]
-    return kernel_features(out, kernels, windows, min_periods) if kernels else out
+    built, kernels = [f for f in picked if f.build], [f.name for f in picked if not f.build]
+    if chunk_rows is None:
+        chunk_rows = scan.CHUNK_ROWS if scan.is_long(panel) else 0
+    if not chunk_rows:
+        out = builtin_features(panel, built, windows, min_periods)
+        return kernel_features(out, kernels, windows, min_periods, 0) if kernels else out
+    out = with_market(panel, built)
+    keep = out.columns
+    if built:
+        used = [n for n in _RUNNING if any(n == step for f in built for step, _ in f.steps)]
+        if used:
+            out = scan.running(out, [scan.Running(n, kind, F.col(of) if of else F.lit(1)) for n in used for kind, of in [_RUNNING[n]]])
+        out = scan.in_chunks(out, lambda p: builtin_features(p, built, windows, min_periods), _LOOK_BACK + max(windows), 0, chunk_rows)
+        out = out.select(*keep, *[c for c in out.columns if c not in keep and c not in used])
+    return kernel_features(out, kernels, windows, min_periods, chunk_rows) if kernels else out
+
+
+def hurst_exponent(panel: DataFrame, windows: tuple[int, ...] = WINDOWS, method: str = "rs", min_periods: int | str = MIN_PERIODS) -> DataFrame:
+    """The panel with ``hurst_exponent_w{window}``, by rescaled range (``rs``) or by detrended fluctuations (``dfa``)."""
+    if method not in ("rs", "dfa"):
+        raise ValueError(f"unknown method: {method}")
+    wide = compute_features(panel, [f"hurst_{method}"], windows, min_periods)
+    return wide.select(*panel.columns, *[F.col(f"hurst_{method}_w{w}").alias(f"hurst_exponent_w{w}") for w in windows])
 
 
 def wavelet_decomposition(panel: DataFrame, w: int = 20, levels: int = 3) -> DataFrame:

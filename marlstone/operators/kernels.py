@@ -1,23 +1,26 @@
 """Window statistics that Spark has no function for, as array kernels over whole series.
 
-A kernel gets a matrix with one window a row and returns one number a row. All
-kernels run in one grouped pass; a long series is cut into chunks that overlap
-by the longest window, so that no task holds more than a chunk.
+A kernel gets a matrix with one window a row (one for each of its columns) and
+returns one number a row; autocorrelations come from running sums over the
+whole series. All kernels run in one grouped pass; a long series is cut into
+chunks that overlap by the longest window, so that no task holds more than a chunk.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from marlstone.functions.windows import MIN_PERIODS, frame, gated, ordered, rolling_autocorr, rolling_mean, rolling_std, safe_div
+from marlstone.functions import scan
+from marlstone.functions.windows import MIN_PERIODS, frame, gated, ordered, rolling_mean, rolling_std, safe_div
+from marlstone.storage import materialize
 
 HALF_LIVES = (10, 30, 90)
-CHUNK_ROWS = 1_000_000
 #: The low-pass filter of the Daubechies wavelet with four vanishing moments.
 LOW_PASS = np.array([
     -0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965,
@@ -181,17 +184,39 @@ def taylor_exponent(x: np.ndarray, points: int = 20, low: float = 0.1, high: flo
     return out
 
 
-def ewm_std(x: np.ndarray, half_life: float, least: int = 10) -> np.ndarray:
-    """Exponentially weighted, bias-corrected standard deviation of a whole series; gaps keep their place in time."""
+def ewm_state(x: np.ndarray, half_life: float) -> list[np.ndarray]:
+    """At each row: number of values so far, their weights, squared weights, weighted mean, and weighted squares around it; gaps keep their place in time."""
     decay = 2.0 ** (-1.0 / half_life)
     have = ~np.isnan(x)
     # a series far from zero would lose its variance to rounding
-    v = np.where(have, x - x[have.argmax()], 0.0) if have.any() else np.zeros(len(x))
+    base = x[have.argmax()] if have.any() else 0.0
+    v = np.where(have, x - base, 0.0)
     s0, s1, s2 = (_decayed_sums(y, decay, half_life) for y in (have.astype(float), v, v * v))
     s00 = _decayed_sums(have.astype(float), decay * decay, half_life)
+    mean = np.divide(s1, s0, out=np.zeros(len(x)), where=s0 > 0)
+    return [np.cumsum(have).astype(float), s0, s00, mean + base, np.maximum(0.0, s2 - s0 * mean * mean)]
+
+
+def merge_states(own: list[np.ndarray], carried, decay: float, age: np.ndarray) -> list[np.ndarray]:
+    """States of rows that are ``age`` rows behind the end of a state ``carried`` from before."""
+    n, w, w2, mean, square = own
+    fade = decay**age
+    cw, cw2, csquare = carried[1] * fade, carried[2] * fade * fade, carried[4] * fade
+    total = w + cw
+    share = np.divide(cw, total, out=np.zeros(len(w)), where=total > 0)
+    apart = carried[3] - mean
+    return [n + carried[0], total, w2 + cw2, np.where(w > 0, mean + share * apart, carried[3]), square + csquare + np.where(w > 0, w * share * apart * apart, 0.0)]
+
+
+def state_std(state: list[np.ndarray], least: int = 10) -> np.ndarray:
+    n, w, w2, _, square = state
     with np.errstate(divide="ignore", invalid="ignore"):
-        variance = np.maximum(0.0, s2 / s0 - (s1 / s0) ** 2) * s0 * s0 / (s0 * s0 - s00)
-    return np.where((np.cumsum(have) >= least) & (s0 * s0 > s00), np.sqrt(variance), np.nan)
+        return np.where((n >= least) & (w * w > w2), np.sqrt(square * w / (w * w - w2)), np.nan)
+
+
+def ewm_std(x: np.ndarray, half_life: float, least: int = 10) -> np.ndarray:
+    """Exponentially weighted, bias-corrected standard deviation of a whole series."""
+    return state_std(ewm_state(x, half_life), least)
 
 
 def _decayed_sums(y: np.ndarray, decay: float, half_life: float) -> np.ndarray:
@@ -242,36 +267,129 @@ KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "optimal_taylor_exponent": taylor_exponent,
     "_window_entropy": lambda x: spectral_entropy(x, None),
 }
-#: Kernels that others are built on.
-_INPUTS = {"mean_reversion_signal": "zero_crossing_rate", "market_efficiency": "_window_entropy", "adaptive_market_hypothesis": "_window_entropy"}
+#: Kernels that composed features are built on, and their parts that are scaled by their range.
+_INPUTS = {"mean_reversion_signal": ("zero_crossing_rate",), "market_efficiency": ("_window_entropy", "ar1_rsquared"), "adaptive_market_hypothesis": ("_window_entropy", "ar1_rsquared")}
+_SCALED = {"market_efficiency": ("_window_entropy", "_order"), "adaptive_market_hypothesis": ("_window_entropy", "_spread")}
+
+
+class LagSums:
+    """Sums of a series' values, squares and products with those ``lag`` rows earlier, as running totals.
+
+    Each frame of any window is a difference of two totals, so that all windows cost one pass. Values are
+    taken from their mean and added in extended precision; a side that is constant over a frame is told
+    by the place of its last change, exactly.
+    """
 
+    def __init__(self, x: np.ndarray, lag: int):
+        self.lag, self.rows = lag, len(x)
+        middle = np.nanmean(x) if (~np.isnan(x)).any() else 0.0
+        x = (x - middle).astype(np.longdouble)
+        later, earlier = x[lag:], x[: max(0, len(x) - lag)]
+        have = ~(np.isnan(later) | np.isnan(earlier))
+        a, b = later[have], earlier[have]
+        zero = np.zeros(1, np.longdouble)
+        self.totals = [np.concatenate([zero, np.cumsum(v)]) for v in (a, b, a * a, b * b, a * b)]
+        self.changes = [np.maximum.accumulate(np.where(np.concatenate([[True], v[1:] != v[:-1]]), np.arange(len(v)), 0)) if len(v) else np.zeros(0, np.int64) for v in (a, b)]
+        # pairs whose later row is before each row
+        self.before = np.concatenate([np.zeros(min(lag, len(x)) + 1, np.int64), np.cumsum(have)])
+
+    def corr(self, w: int) -> np.ndarray:
+        """Correlation of both sides over the last ``w`` rows of each position, pairs inside the frame only; NaN where it has no meaning."""
+        at = np.arange(self.rows)
+        high, low = self.before[at + 1], self.before[np.maximum(0, at - w + 1 + self.lag).clip(max=self.rows)]
+        low = np.minimum(low, high)
+        n = high - low
+        sa, sb, saa, sbb, sab = (t[high] - t[low] for t in self.totals)
+        varies = n >= 2
+        for changed in self.changes:
+            varies &= np.concatenate([changed, [0]])[high - 1] > low if len(changed) else False
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = (sab - sa * sb / n) / np.sqrt((saa - sa * sa / n) * (sbb - sb * sb / n))
+        return np.where(varies, np.clip(c, -1, 1), np.nan).astype(float)
+
+
+class Lags:
+    """The autocorrelations of one series, its absolute values and its squares; each lag's sums are made once for all windows."""
+
+    def __init__(self, x: np.ndarray):
+        self.of, self.sums = {"plain": x, "absolute": np.abs(x), "square": x * x}, {}
+
+    def corr(self, of: str, lag: int, w: int) -> np.ndarray:
+        if (of, lag) not in self.sums:
+            self.sums[of, lag] = LagSums(self.of[of], lag)
+        return self.sums[of, lag].corr(w)
+
+
+def _acf_decay(lags: Lags, w: int, max_lag: int = 10) -> np.ndarray:
+    """Minus the slope of ln(|acf| + 1e-10) of absolute returns on ln(lag)."""
+    last = min(max_lag, w - 1)
+    x = np.log(np.arange(1, last + 1))
+    x = x - x.mean() if last else x
+    if not (x * x).sum():
+        return np.full(len(lags.of["plain"]), np.nan)
+    return -sum(x[k - 1] / (x * x).sum() * np.log(np.abs(lags.corr("absolute", k, w)) + 1e-10) for k in range(1, last + 1))
+
+
+def _acf_ratio(lags: Lags, w: int) -> np.ndarray:
+    return _divide(lags.corr("absolute", 10, w), lags.corr("absolute", 1, w)) if w >= 11 else np.full(len(lags.of["plain"]), np.nan)
+
+
+#: Kernels over a whole series: its autocorrelations and the window.
+SERIES: dict[str, Callable[[Lags, int], np.ndarray]] = {
+    "rolling_autocorr": lambda s, w: s.corr("plain", 1, w),
+    "volatility_clustering": lambda s, w: s.corr("absolute", 1, w),
+    "autocorr_decay": _acf_decay,
+    "acf_decay_ratio": _acf_ratio,
+    "taylor_ratio": lambda s, w: _divide(s.corr("absolute", 1, w), s.corr("square", 1, w)),
+    "ar1_rsquared": lambda s, w: s.corr("plain", 1, w) ** 2,
+}
+#: Returns that a frame must hold, where that is not the general rule.
+_LEAST = {"autocorr_decay": lambda w: w, "acf_decay_ratio": lambda w: 11}
 
-def register_kernel(name: str, kernel: Callable[[np.ndarray], np.ndarray]) -> None:
-    """Add a kernel of one's own."""
-    KERNELS[name] = kernel
 
+@dataclass(frozen=True)
+class Kernel:
+    """A function of windows: one matrix for each of ``columns``, a window a row, without the rows where any of them is missing."""
 
-def over_windows(x: np.ndarray, w: int, kernels: dict[str, Callable[[np.ndarray], np.ndarray]], least: int, batch: int = 1 << 20) -> dict[str, np.ndarray]:
-    """Each kernel over the last ``w`` values of each position; frames with gaps, or at the start, count the values that they have.
+    fn: Callable[..., np.ndarray]
+    columns: tuple[str, ...] = ("log_return",)
+    centred: bool = False
 
-    Frames with the same number of values go to the kernels together, as one matrix.
+
+def register_kernel(name: str, kernel: Callable[..., np.ndarray], columns: tuple[str, ...] = ("log_return",), centred: bool = False) -> None:
+    """Add a kernel of one's own, over any numeric columns of the panel; ``centred`` frames lie around each row."""
+    KERNELS[name] = Kernel(kernel, tuple(columns), centred)
+
+
+def over_windows(x: np.ndarray | list[np.ndarray], w: int, kernels: dict[str, Callable[..., np.ndarray]], least: int, batch: int = 1 << 20, centred: bool = False) -> dict[str, np.ndarray]:
+    """Each kernel over the last ``w`` values of each position (of one series, or of several that are missing together); frames with gaps, or at the ends, count the values that they have.
+
+    Frames with the same number of values go to the kernels together, as one matrix a series.
     """
-    out = {name: np.full(len(x), np.nan) for name in kernels}
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w - 1, np.nan), x]), w)
-    have = np.cumsum(~np.isnan(x))
-    have[w:] -= have[:-w].copy()
+    series = [x] if isinstance(x, np.ndarray) else list(x)
+    gone = np.isnan(series).any(0)
+    rows_in, after = len(gone), (w - 1) // 2 if centred else 0
+    ends = (np.full(w - 1 - after, np.nan), np.full(after, np.nan))
+    out = {name: np.full(rows_in, np.nan) for name in kernels}
+    if not rows_in:
+        return out
+    windows = [np.lib.stride_tricks.sliding_window_view(np.concatenate([ends[0], np.where(gone, np.nan, s), ends[1]]), w) for s in series]
+    total = np.concatenate([[0], np.cumsum(~gone)])
+    at = np.arange(rows_in)
+    have = total[np.minimum(rows_in, at + after + 1)] - total[np.maximum(0, at - (w - 1 - after))]
     order = np.argsort(have, kind="stable")
     cuts = np.flatnonzero(np.diff(have[order])) + 1
     for rows in np.split(order, cuts):
-        n = int(have[rows[0]]) if len(rows) else 0
+        n = int(have[rows[0]])
         if n < max(1, least):
             continue
         for k in range(0, len(rows), max(1, batch // w)):
-            at = rows[k : k + max(1, batch // w)]
-            part = windows[at]
-            part = part if n == w else part[~np.isnan(part)].reshape(len(at), n)
+            some = rows[k : k + max(1, batch // w)]
+            parts = [v[some] for v in windows]
+            if n < w:
+                parts = [p[~np.isnan(p)].reshape(len(some), n) for p in parts]
             for name, kernel in kernels.items():
-                out[name][at] = kernel(part)
+                out[name][some] = kernel(*parts)
     return out
 
 
@@ -279,64 +397,144 @@ def _window_least(w: int, min_periods: int | str) -> int:
     return w if min_periods == "full" else min(int(min_periods), w)
 
 
-def kernel_features(panel: DataFrame, names: list[str], windows: tuple[int, ...], min_periods: int | str = MIN_PERIODS, chunk_rows: int = CHUNK_ROWS, causal: bool = False) -> DataFrame:
-    """The panel with the kernel features; ``causal`` scales entropies by their range so far, not over the whole history."""
-    base = list(dict.fromkeys([_INPUTS.get(n, n) for n in names]))
-    single = [n for n in base if n in KERNELS]
-    ewm = "ewm_volatility" in base
-    unknown = [n for n in base if n not in KERNELS and n != "ewm_volatility"]
+def _base_names(names: list[str]) -> list[str]:
+    """The kernels that ``names`` need; unknown ones raise."""
+    base = list(dict.fromkeys(b for n in names for b in _INPUTS.get(n, (n,))))
+    unknown = [n for n in base if n not in KERNELS and n not in SERIES and n != "ewm_volatility"]
     if unknown:
         raise KeyError(", ".join(unknown))
-    fresh = [f"{n}_w{w}" for n in single for w in windows] + ([f"ewm_volatility_h{h}" for h in HALF_LIVES] if ewm else [])
-    halo = max([*windows, *([54 * max(HALF_LIVES)] if ewm else [])])
+    return base
+
+
+def _grouped(panel: DataFrame, base: list[str], windows: tuple[int, ...], min_periods: int | str, ewm: bool) -> DataFrame:
+    """The panel with the columns of all kernels, in one grouped pass by ``symbol``."""
+    single = {n: k if isinstance(k, Kernel) else Kernel(k) for n, k in KERNELS.items() if n in base}
+    whole = [n for n in base if n in SERIES]
+    fresh = [f"{n}_w{w}" for n in [*single, *whole] for w in windows] + ([f"ewm_volatility_h{h}" for h in HALF_LIVES] if ewm else [])
     keep = panel.columns
-    numbered = panel.withColumn("_rn", F.row_number().over(ordered()) - 1)
-    own = (F.col("_rn") / chunk_rows).cast("int")
-    following = F.when(F.pmod("_rn", F.lit(chunk_rows)) >= chunk_rows - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    chunked = numbered.withColumn("_chunk", F.explode(following))
     schema = T.StructType([*panel.schema.fields, *[T.StructField(c, T.DoubleType()) for c in fresh]])
-    kernels = {n: KERNELS[n] for n in single}
+    kinds = {(k.columns, k.centred): {n: o.fn for n, o in single.items() if (o.columns, o.centred) == (k.columns, k.centred)} for k in single.values()}
+    series, least_of = {n: SERIES[n] for n in whole}, {n: _LEAST[n] for n in whole if n in _LEAST}
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_rn")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", kind="stable")
         x = rows["log_return"].to_numpy(float)
-        values = {f"{n}_w{w}": v for w in windows for n, v in over_windows(x, w, kernels, _window_least(w, min_periods)).items()}
+        values, lags, total = {}, Lags(x) if series else None, np.concatenate([[0], np.cumsum(~np.isnan(x))])
+        for w in windows:
+            for (columns, centred), kernels in kinds.items():
+                inputs = [rows[c].to_numpy(float) for c in columns]
+                values |= {f"{n}_w{w}": v for n, v in over_windows(inputs, w, kernels, _window_least(w, min_periods), centred=centred).items()}
+            have = total[1:] - total[np.maximum(0, np.arange(len(x)) - w + 1)]
+            for n, kernel in series.items():
+                least = max(_window_least(w, min_periods), least_of[n](w) if n in least_of else 0)
+                values[f"{n}_w{w}"] = np.where(have >= least, kernel(lags, w), np.nan)
         if ewm:
             values |= {f"ewm_volatility_h{h}": ewm_std(x, h) for h in HALF_LIVES}
-        out = pd.concat([rows[keep], pd.DataFrame(values, index=rows.index)], axis=1)
-        return out[rows["_rn"] // chunk_rows == key[1]]
+        return pd.concat([rows[keep], pd.DataFrame({c: values[c] for c in fresh}, index=rows.index)], axis=1)
 
-    out = chunked.groupBy("symbol", "_chunk").applyInPandas(run, schema)
+    out = panel.groupBy("symbol").applyInPandas(run, schema)
     # NaN is the kernels' missing value, NULL is the panel's
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fresh})
-    out = out.withColumns(_composed(names, windows, min_periods, causal))
-    asked = [c for c in out.columns if c not in keep and c.rsplit("_", 1)[0] in names]
-    return out.select(*keep, *asked)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fresh})
+
 
+def kernel_features(panel: DataFrame, names: list[str], windows: tuple[int, ...], min_periods: int | str = MIN_PERIODS, chunk_rows: int | None = None, causal: bool = False) -> DataFrame:
+    """The panel with the kernel features; ``causal`` scales entropies by their range so far, not over the whole history.
 
-def _composed(names: list[str], windows: tuple[int, ...], min_periods: int | str, causal: bool) -> dict:
-    """Features built on kernels and on built-in expressions."""
+    A symbol is one task, unless ``chunk_rows`` is given (0: never) or a symbol has more rows than a task should hold:
+    then windows run in overlapping chunks, running values by carries (``functions.scan``), with the same results.
+    """
+    base = _base_names(names)
+    if chunk_rows is None:
+        chunk_rows = scan.CHUNK_ROWS if scan.is_long(panel) else 0
+    if not chunk_rows:
+        out = windowed_parts(_grouped(panel, base, windows, min_periods, "ewm_volatility" in base), names, windows, min_periods)
+    else:
+        look = max(windows) + 4
+        body = lambda p: windowed_parts(_grouped(p, base, windows, min_periods, False), names, windows, min_periods)
+        out = scan.in_chunks(panel, body, look, max(windows) // 2, chunk_rows)
+        if "ewm_volatility" in base:
+            out = ewm_in_pieces(out)
+    return finish(out, panel.columns, names, windows, causal, chunk_rows > 0)
+
+
+def ewm_in_pieces(panel: DataFrame, half_lives: tuple[int, ...] = HALF_LIVES, least: int = 10) -> DataFrame:
+    """The panel with ``ewm_volatility_h{half-life}`` for series of any length: each piece's state at its end, the states of all pieces before it put together, and each piece once more from there."""
+    cut, keep = scan.pieces(panel), panel.columns
+    decays = {h: 2.0 ** (-1.0 / h) for h in half_lives}
+    state = "symbol string, _piece int, _state array<double>"
+    width = 5 * len(half_lives) + 1
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("date", kind="stable")["log_return"].to_numpy(float)
+        last = [float(v[-1]) for h in half_lives for v in ewm_state(x, h)]
+        return pd.DataFrame({"symbol": [key[0]], "_piece": [key[1]], "_state": [[float(len(x)), *last]]})
+
+    def carries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_piece")
+        carried, out = np.zeros(width), []
+        for own in rows["_state"]:
+            out.append(carried.tolist())
+            own, following = np.asarray(own), np.zeros(width)
+            for k, h in enumerate(half_lives):
+                at = slice(1 + 5 * k, 6 + 5 * k)
+                following[at] = [v[0] for v in merge_states([np.array([v]) for v in own[at]], carried[at], decays[h], np.array([own[0]]))]
+            carried = following
+        return pd.DataFrame({"symbol": key[0], "_piece": rows["_piece"], "_state": out})
+
+    def values(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date", kind="stable")
+        x, carried = rows["log_return"].to_numpy(float), np.asarray(rows["_state"].iloc[0])
+        out = rows[keep].copy()
+        for k, h in enumerate(half_lives):
+            merged = merge_states(ewm_state(x, h), carried[1 + 5 * k : 6 + 5 * k], decays[h], np.arange(1, len(x) + 1))
+            out[f"ewm_volatility_h{h}"] = state_std(merged, least)
+        return out
+
+    small = cut.select("symbol", "_piece", "date", "log_return")
+    before = small.groupBy("symbol", "_piece").applyInPandas(ends, state).groupBy("symbol").applyInPandas(carries, state)
+    fresh = [f"ewm_volatility_h{h}" for h in half_lives]
+    schema = T.StructType([*panel.schema.fields, *[T.StructField(c, T.DoubleType()) for c in fresh]])
+    out = cut.join(materialize(before, "states"), ["symbol", "_piece"]).groupBy("symbol", "_piece").applyInPandas(values, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fresh})
+
+
+def windowed_parts(out: DataFrame, names: list[str], windows: tuple[int, ...], min_periods: int | str) -> DataFrame:
+    """Adds what composed features take from built-in expressions, frame by frame."""
     from marlstone.operators.features import _permutation_entropy
 
-    r = F.col("log_return")
-    out = {}
+    r, fresh = F.col("log_return"), {}
     for w in windows:
         n = F.count("log_return").over(frame(w))
-        gate = lambda c: gated(c, n, w, min_periods)
-        history = ordered().rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy("symbol")
+        if "mean_reversion_signal" in names:
+            fresh[f"_deviation_w{w}"] = gated(safe_div(r - rolling_mean(r, frame(w)), rolling_std(r, frame(w))), n, w, min_periods)
+        if "market_efficiency" in names:
+            fresh[f"_order_w{w}"] = gated(_permutation_entropy(w), n, w, min_periods)
+        if "adaptive_market_hypothesis" in names:
+            fresh[f"_spread_w{w}"] = gated(rolling_std(r, frame(w)), n, w, min_periods)
+    return out.withColumns(fresh) if fresh else out
 
-        def scaled(c):
-            low = F.min(c).over(history)
-            return safe_div(c - low, F.max(c).over(history) - low)
 
-        ar1 = gate(rolling_autocorr(r, w) * rolling_autocorr(r, w))
+def finish(out: DataFrame, keep: list[str], names: list[str], windows: tuple[int, ...], causal: bool, long: bool) -> DataFrame:
+    """Adds the composed features and drops what they are made of; columns that need a range are scaled by the symbol's own (so far, if ``causal``)."""
+    wanted = [c for w in windows for n, cs in _SCALED.items() if n in names for c in (f"{x}_w{w}" for x in cs)]
+    wanted = list(dict.fromkeys(wanted))
+    if wanted and not long:
+        history = ordered().rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy("symbol")
+        out = out.withColumns({f"_low{c}": F.min(c).over(history) for c in wanted} | {f"_high{c}": F.max(c).over(history) for c in wanted})
+    elif wanted and causal:
+        out = scan.running(out, [scan.Running(f"_{side}{c}", kind, F.col(c)) for c in wanted for side, kind in (("low", "min"), ("high", "max"))])
+    elif wanted:
+        ranges = out.groupBy("symbol").agg(*[fn(c).alias(f"_{side}{c}") for c in wanted for side, fn in (("low", F.min), ("high", F.max))])
+        out = out.join(materialize(ranges, "ranges"), "symbol", "left")
+    scaled = lambda c: safe_div(F.col(c) - F.col(f"_low{c}"), F.col(f"_high{c}") - F.col(f"_low{c}"))
+    fresh = {}
+    for w in windows:
         if "mean_reversion_signal" in names:
-            deviation = safe_div(r - rolling_mean(r, frame(w)), rolling_std(r, frame(w)))
-            out[f"mean_reversion_signal_w{w}"] = (gate(deviation) + F.col(f"zero_crossing_rate_w{w}")) / 2
+            fresh[f"mean_reversion_signal_w{w}"] = (F.col(f"_deviation_w{w}") + F.col(f"zero_crossing_rate_w{w}")) / 2
         if "market_efficiency" in names:
-            entropy, order = scaled(F.col(f"_window_entropy_w{w}")), scaled(gate(_permutation_entropy(w)))
-            out[f"market_efficiency_w{w}"] = ((1 - entropy) + (1 - order) + ar1) / 3
+            fresh[f"market_efficiency_w{w}"] = ((1 - scaled(f"_window_entropy_w{w}")) + (1 - scaled(f"_order_w{w}")) + F.col(f"ar1_rsquared_w{w}")) / 3
         if "adaptive_market_hypothesis" in names:
-            spread = scaled(gate(rolling_std(r, frame(w))))
-            out[f"adaptive_market_hypothesis_w{w}"] = ((1 - scaled(F.col(f"_window_entropy_w{w}"))) + ar1 + spread) / 3
-    return out
+            fresh[f"adaptive_market_hypothesis_w{w}"] = ((1 - scaled(f"_window_entropy_w{w}")) + F.col(f"ar1_rsquared_w{w}") + scaled(f"_spread_w{w}")) / 3
+    out = out.withColumns(fresh) if fresh else out
+    asked = [c for c in out.columns if c not in keep and c.rsplit("_", 1)[0] in names]
+    return out.select(*keep, *asked)

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marlstone.functions import scan
 from marlstone.functions.expressions import PARSIMONY, complexity, parse, to_column, within_limits
 from marlstone.functions.windows import clamp, safe_div
 from marlstone.operators.normalize import average_rank
@@ -52,25 +55,37 @@ def rank_corr(a: Column, b: Column) -> Column:
     return clamp(safe_div(n * F.sum(a * b) - sa * sb, spread), -1, 1)
 
 
+#: Values that lie in several pieces are broadcast with their ranks up to this number.
+MAX_BROADCAST_TIES = 100_000
+
+
 def pooled_rank(df: DataFrame, column: str, by: str | None = None, name: str = "rank", partitions: int | None = None) -> DataFrame:
-    """Exact average rank over all rows (or all rows of ``by``) without sorting them in one task.
+    """Exact average rank over all rows (or all rows of ``by``), whatever share of them one value has.
 
-    Distinct values are counted, range-partitioned and written; totals per partition (one small row each)
-    give each partition's offset, and running counts within partitions do the rest.
+    Rows are range-partitioned by value and then by a hash of the row, so that a frequent value spreads over
+    several pieces. Within a piece a rank is the place there plus the rows of earlier pieces. Only the first and
+    the last value of a piece can lie in others too: these few are counted over all pieces, and meet their rows in a broadcast.
     """
-    keys = [by] if by else []
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(counts.repartitionByRange(n, *keys, column).withColumn("_p", F.spark_partition_id()), "ranks")
-    totals = ranged.groupBy(*keys, "_p").agg(F.sum("_n").alias("_t"))
-    before = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_p").orderBy(column)
-    ranks = (
-        ranged.withColumn("_run", F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(before, [*keys, "_p"])
-        .select(*keys, column, (F.col("_before") + F.col("_run") + (F.col("_n") + 1) / 2).alias(name))
-    )
-    return df.join(ranks, [*keys, column], "left")
+    keys, spark = [by] if by else [], df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(df.repartitionByRange(n, *keys, column, F.xxhash64(*[F.col(c) for c in df.columns])).withColumn("_p", F.spark_partition_id()), "ranks")
+    sizes = cut.where(F.col(column).isNotNull()).groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_t"), F.min(column).alias("_low"), F.max(column).alias("_high"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a piece
+    sizes = materialize(sizes.withColumn("_before", F.coalesce(F.sum("_t").over(earlier), F.lit(0))), "rank-pieces")
+    ends = sizes.select(*keys, "_p", F.explode(F.array_distinct(F.array("_low", "_high"))).alias(column))
+    several = materialize(ends.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_pieces")).where("_pieces > 1").drop("_pieces"), "rank-ties")
+    many = several.count()
+    out = cut.withColumn("_own", average_rank(F.col(column), *keys, "_p")).join(sizes.select(*keys, "_p", "_before"), [*keys, "_p"], "left")
+    rank = F.col("_before") + F.col("_own")
+    if not many:
+        return out.withColumn(name, rank).drop("_p", "_own", "_before")
+    few = F.broadcast if many <= MAX_BROADCAST_TIES else (lambda x: x)
+    counts = cut.join(few(several), [*keys, column]).groupBy(*keys, column, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    # in the first of its pieces such a value comes last
+    first = counts.join(sizes.select(*keys, "_p", (F.col("_before") + F.col("_t")).alias("_end")), [*keys, "_p"])
+    ties = first.groupBy(*keys, column).agg((F.min_by(F.col("_end") - F.col("_n"), "_p") + (F.sum("_n") + 1) / 2).alias("_tied"))
+    ties = materialize(ties, "tied-ranks")
+    return out.join(few(ties), [*keys, column], "left").withColumn(name, F.coalesce("_tied", rank)).select(*df.columns, name)
 
 
 def t_p_value(r: float | None, n: int | None) -> float:
@@ -105,7 +120,6 @@ def information_coefficient(values: DataFrame, method: str = "spearman") -> Data
     rows = complete(values)
     x, y = "alpha", "forward_return"
     if method == "spearman":
-        rows = materialize(rows, "ranked")  # read four times
         rows = pooled_rank(pooled_rank(rows, "alpha", ID, "_ra"), "forward_return", ID, "_ry")
         x, y = "_ra", "_ry"
     elif method != "pearson":
@@ -135,11 +149,18 @@ def long_short(values: DataFrame, quantiles: int = 5) -> DataFrame:
     return rows.where(F.col("_n") >= quantiles).groupBy(ID, "date").agg((top - bottom).alias("p"))
 
 
-def performance(returns: DataFrame, by: tuple[str, ...] = (ID,)) -> DataFrame:
-    """(candidate_id, sharpe, annual_return, annual_volatility, max_drawdown, win_rate, n_dates) of daily returns."""
-    so_far = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("_c", F.product(1 + F.col("p")).over(so_far))
-    curve = curve.withColumn("_dd", safe_div(F.col("_c") - F.max("_c").over(so_far), F.max("_c").over(so_far)))
+def performance(returns: DataFrame, by: tuple[str, ...] = (ID,), chunk_rows: int | None = None) -> DataFrame:
+    """(candidate_id, sharpe, annual_return, annual_volatility, max_drawdown, win_rate, n_dates) of daily returns; the curve of a long series is carried from piece to piece."""
+    if chunk_rows is None:
+        chunk_rows = scan.CHUNK_ROWS if len(by) == 1 and scan.is_long(returns, by[0]) else 0
+    if chunk_rows:
+        key = F.struct(*by).alias("_by") if len(by) > 1 else F.col(by[0]).alias("_by")
+        ran = scan.running(returns.select("*", key), [scan.Running("_c", "product", 1 + F.col("p")), scan.Running("_top", "peak", 1 + F.col("p"))], "_by")
+        curve = ran.withColumn("_dd", safe_div(F.col("_c") - F.col("_top"), F.col("_top")))
+    else:
+        so_far = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        curve = returns.withColumn("_c", F.product(1 + F.col("p")).over(so_far))
+        curve = curve.withColumn("_dd", safe_div(F.col("_c") - F.max("_c").over(so_far), F.max("_c").over(so_far)))
     mean, std = F.avg("p"), F.stddev_samp("p")
     return curve.groupBy(*by).agg(
         F.coalesce(F.when(std > 0, safe_div(mean * YEAR, std * math.sqrt(YEAR))), F.lit(0.0)).alias("sharpe"), (mean * YEAR).alias("annual_return"),
@@ -242,6 +263,45 @@ def losses(features: DataFrame, expressions: dict[int, str], target: str = "forw
     return out.join(table, ID).withColumn("score", F.col("loss") + PARSIMONY * F.col("complexity")).select(ID, "expression", "loss", "complexity", "score")
 
 
+def losses_of_grammar(features: DataFrame, table: DataFrame, names: list[str], target: str = "forward_return", kind: str = "l1") -> DataFrame:
+    """(expression, complexity, level, loss, score) of every row of a ``grammar`` of ``names``, in one scan of the features.
+
+    What the last operators are applied to (the levels below the last) is computed once a row; the last level is array work over
+    pairs of these columns, and sums and counts add up in Spark. The table of operands and operators is held to the grammar's limit.
+    """
+    if kind not in ("l1", "l2"):
+        raise ValueError(f"unknown loss: {kind}")
+    rows = table.select("expression", "complexity", "level", "operator", "left", "right").toArrow().to_pylist()
+    operands = list(dict.fromkeys([*names, *(x for r in rows for x in (r["left"], r["right"]) if x is not None)]))
+    place = {x: k for k, x in enumerate(operands)}
+    made: dict[str, list[tuple[int, int, int]]] = {}
+    for k, r in enumerate(rows):
+        made.setdefault(r["operator"] or "", []).append((k, place[r["left"] or r["expression"]], place[r["right"] or r["left"] or r["expression"]]))
+    pairs = {op: np.array(x).T for op, x in made.items()}
+    inputs = features.select(F.col(target).cast("double").alias("_y"), *[to_column(parse(x), features.columns).cast("double").alias(f"o{k}") for x, k in place.items()]).where("_y IS NOT NULL")
+
+    def run(batches):
+        total, count = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        for batch in batches:
+            y, *columns = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            values = np.stack(columns)
+            for op, (which, left, right) in pairs.items():
+                for k in range(0, len(which), max(1, 4_000_000 // max(1, len(y)))):
+                    part = slice(k, k + max(1, 4_000_000 // max(1, len(y))))
+                    a, b = values[left[part]], values[right[part]]
+                    with np.errstate(all="ignore"):
+                        x = a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else np.where(b == 0, np.nan, a / b) if op == "/" else -a if op == "neg" else np.abs(a) if op == "abs" else a
+                        error = np.abs(x - y) if kind == "l1" else (x - y) ** 2
+                    good = ~np.isnan(error)
+                    total[which[part]] += np.where(good, error, 0).sum(1)
+                    count[which[part]] += good.sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(total), pa.array(count)], names=["k", "total", "n"])
+
+    sums = inputs.mapInArrow(run, "k long, total double, n long").groupBy("k").agg(safe_div(F.sum("total"), F.sum("n")).alias("loss"))
+    names_of = features.sparkSession.createDataFrame(pa.table({"k": list(range(len(rows))), **{c: [r[c] for r in rows] for c in ("expression", "complexity", "level")}}))
+    return sums.join(names_of, "k").select("expression", F.col("complexity").cast("int").alias("complexity"), F.col("level").cast("int").alias("level"), "loss", (F.col("loss") + PARSIMONY * F.col("complexity")).alias("score"))
+
+
 def best(scored: DataFrame, n: int = 100) -> DataFrame:
     """The n candidates of least loss, with their rank."""
     top = scored.orderBy(F.col("loss").asc_nulls_last(), ID).limit(n)

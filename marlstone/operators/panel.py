@@ -6,6 +6,7 @@ import warnings
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from marlstone.functions import scan
 from marlstone.functions.windows import ordered, safe_div
 from marlstone.sources.bars import MEASURES
 
@@ -13,8 +14,15 @@ COLUMNS = (*MEASURES, "log_return", "forward_return", "simple_return", "forward_
 CRITICAL = ("close", "volume", "log_return", "forward_return")
 
 
-def add_returns(bars: DataFrame, horizon: int = 1) -> DataFrame:
-    """Log and simple returns, and the one-day returns ``horizon`` rows ahead; prices and turnover."""
+def add_returns(bars: DataFrame, horizon: int = 1, chunk_rows: int | None = None) -> DataFrame:
+    """Log and simple returns, and the one-day returns ``horizon`` rows ahead; prices and turnover.
+
+    Where a symbol has more rows than a task should hold (or with ``chunk_rows``), in chunks of its rows, with the same results.
+    """
+    if chunk_rows is None:
+        chunk_rows = scan.CHUNK_ROWS if scan.is_long(bars) else 0
+    if chunk_rows:
+        return scan.in_chunks(bars, lambda b: add_returns(b, horizon, 0), 1, horizon, chunk_rows)
     w = ordered()
     ratio = safe_div(F.col("close"), F.lag("close").over(w))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
@@ -67,14 +75,19 @@ def missing_fraction(panel: DataFrame) -> DataFrame:
     return panel.agg(safe_div(missing, F.count(F.lit(1)) * len(columns)).alias("missing_fraction"))
 
 
-def fill(panel: DataFrame, method: str | None = "ffill", columns: list[str] | None = None) -> DataFrame:
-    """Fill gaps within each symbol, from the past (``ffill``) or the future (``bfill``)."""
+def fill(panel: DataFrame, method: str | None = "ffill", columns: list[str] | None = None, chunk_rows: int | None = None) -> DataFrame:
+    """Fill gaps within each symbol, from the past (``ffill``) or the future (``bfill``); a long symbol's values are carried from piece to piece."""
     if method is None or method == "none":
         return panel
     if method not in ("ffill", "bfill"):
         raise ValueError(f"unknown fill method: {method}")
     pick, over = (F.last, ordered().rowsBetween(Window.unboundedPreceding, 0)) if method == "ffill" else (F.first, ordered().rowsBetween(0, Window.unboundedFollowing))
     columns = columns or [c for c in panel.columns if c in COLUMNS]
+    if chunk_rows is None:
+        chunk_rows = scan.CHUNK_ROWS if scan.is_long(panel) else 0
+    if chunk_rows:
+        kind = "last" if method == "ffill" else "next"
+        return scan.running(panel, [scan.Running(c, kind, F.col(c)) for c in columns]).select(panel.columns)
     return panel.withColumns({c: pick(c, ignorenulls=True).over(over) for c in columns})
 
 

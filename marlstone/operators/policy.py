@@ -130,25 +130,61 @@ ZSCORE_GRID = {"clip": (1.0, 1.5, 2.0, 2.5, 3.0), "normalize": (True, False)}
 KELLY_GRID = {"fraction": (0.1, 0.25, 0.5, 0.75, 1.0), "low": (0.0, 0.1, 0.2), "high": (0.5, 1.0, 1.5, 2.0)}
 
 
+def _grid_rows(sets: DataFrame) -> list[dict]:
+    return [r.asDict() for r in sets.orderBy("params_id").collect()]  # the grid: a few hundred rows at most
+
+
+def _sum(x: Column) -> Column:
+    return F.coalesce(F.sum(x), F.lit(0.0))
+
+
 def grid_returns(values: DataFrame, policy: str) -> DataFrame:
     """(params_id, date, p): portfolio return of each parameter set on each date.
 
-    Values (date, symbol, alpha, forward_return) meet each row of the grid (at most a few hundred rows, so
-    its broadcast is bounded). Sums over a date are taken per parameter set.
+    No parameter set sees the panel's rows (date, symbol, alpha, forward_return): one aggregation by date
+    makes the sums that its distinct bounds need (counts and returns beyond each threshold, products with alpha clipped at
+    each bound), and each set's return is put together from them, on one row a date. What is shuffled does not grow with the grid.
     """
-    sets = grid(values.sparkSession, policy)
-    rows = values.dropna(subset=["alpha", "forward_return"]).crossJoin(F.broadcast(sets))
-    by = ("params_id", "date")
+    sets = _grid_rows(grid(values.sparkSession, policy))
+    rows = values.dropna(subset=["alpha", "forward_return"])
+    a, r, over = F.col("alpha"), F.col("forward_return"), _over(BY)
+    sums: dict[str, list[Column]] = {}  # arrays of sums, and for each set the places in them
+    places: list[dict[str, int | float | bool]] = []
     if policy == "threshold":
-        out = threshold(rows, F.col("long_threshold"), F.col("short_threshold"), F.col("long_size"), F.col("short_size"), by=by)
-    elif policy == "zscore":
-        both = zscore(rows, F.col("clip"), False, by)
-        out = both.withColumn("weight", F.when(F.col("normalize"), _unit(F.col("weight"), by)).otherwise(F.col("weight")))
-    elif policy == "kelly":
-        out = kelly(rows, F.col("fraction"), F.col("low"), F.col("high"), by=by)
+        longs, shorts = sorted({s["long_threshold"] for s in sets}), sorted({s["short_threshold"] for s in sets})
+        sums = {"up": [_sum((a > b).cast("double")) for b in longs], "up_r": [_sum(F.when(a > b, r)) for b in longs], "down": [_sum((a < b).cast("double")) for b in shorts], "down_r": [_sum(F.when(a < b, r)) for b in shorts]}
+        places = [{"i": longs.index(s["long_threshold"]), "j": shorts.index(s["short_threshold"]), "long_size": s["long_size"], "short_size": s["short_size"]} for s in sets]
+        # a long bound is never below the short one, so that no row is on both sides
+        up, down = F.col("up")[F.col("s.i")], F.col("down")[F.col("s.j")]
+        gain = F.coalesce(safe_div(F.col("up_r")[F.col("s.i")], up), F.lit(0.0)) - F.coalesce(safe_div(F.col("down_r")[F.col("s.j")], down), F.lit(0.0))
+        p = F.when((up > 0) & (down > 0), gain / (up * F.col("s.long_size") + down * F.col("s.short_size"))).otherwise(gain)
     else:
-        out = quintile(rows, F.col("quantiles"), by=by)
-    return out.groupBy("params_id", "date").agg(F.sum(F.col("weight") * F.col("forward_return")).alias("p"))
+        if policy == "zscore":
+            z = safe_div(a - F.avg(a).over(over), F.stddev_samp(a).over(over))
+            rows, clips = rows.select("date", r, z.alias("_z")), sorted({s["clip"] for s in sets})
+            weights = [F.coalesce(clamp(F.col("_z"), -c, c), F.lit(0.0)) for c in clips]
+            places = [{"i": clips.index(s["clip"]), "unit": s["normalize"]} for s in sets]
+        elif policy == "kelly":
+            v = F.var_samp(a).over(over)
+            rows = rows.select("date", r, (a / F.when(v > 0, v).otherwise(1.0)).alias("_raw"))
+            # bounds are not negative, so there is a long side only
+            weights = [F.coalesce(clamp(F.col("_raw") * s["fraction"], s["low"], s["high"]), F.lit(0.0)) for s in sets]
+            places = [{"i": k, "unit": True} for k in range(len(sets))]
+        else:
+            rows = rows.select("date", r, average_rank(a, *BY).alias("_rank"), F.count(F.lit(1)).over(over).alias("_n"))
+            weights = []
+            for s in sets:
+                k = F.floor(F.col("_n") / s["quantiles"])
+                bottom, top = (F.col("_rank") <= k) & (k > 0), (F.col("_rank") >= F.col("_n") - k) & (k > 0)
+                weights.append(F.when(bottom, -1.0).when(top, 1.0).otherwise(0.0))
+            places = [{"i": k, "unit": True} for k in range(len(sets))]
+        sums = {"r": [_sum(w * r) for w in weights], "w": [_sum(F.abs(w)) for w in weights]}
+        whole = F.col("r")[F.col("s.i")]
+        p = F.when(F.col("s.unit"), F.coalesce(safe_div(whole, F.col("w")[F.col("s.i")]), F.lit(0.0))).otherwise(whole)
+    names = {c: [f"{c}{k}" for k in range(len(x))] for c, x in sums.items()}
+    by_date = rows.groupBy("date").agg(*[x.alias(n) for c, xs in sums.items() for n, x in zip(names[c], xs)]).select("date", *[F.array(*ns).alias(c) for c, ns in names.items()])
+    each = F.array(*[F.struct(F.lit(s["params_id"]).alias("params_id"), *[F.lit(x).alias(c) for c, x in place.items()]) for s, place in zip(sets, places)])
+    return by_date.withColumn("s", F.explode(each)).select("s.params_id", "date", p.alias("p"))
 
 
 OBJECTIVES = ("growth", "sharpe", "mean", "win_rate")

@@ -150,6 +150,10 @@ FEATURES = {
     "ewm_volatility": (None, 6),
     "market_efficiency": (None, 4),
     "adaptive_market_hypothesis": (None, 4),
+    "hurst_dfa": (None, 5),
+    "up_down_run_ratio": (None, 6),
+    **{f"wavelet_energy_{k}": (None, 8) for k in (1, 2, 3)},
+    "wavelet_noise_to_signal": (None, 4),
 }
 UNGATED = ("dollar_volume", "volatility_of_volatility", "kurtosis_ratio", "volatility_ratio", "cumulative_return_20", "cumulative_return_60", "cumulative_return_120", "cumulative_return_252", "jegadeesh_titman_momentum")
 #: Features that need what a window function gives inside a list function: stated in two steps.
@@ -164,7 +168,45 @@ def _power(bins: str) -> str:
     return f"list_transform(range(0, {bins}), lambda k: power(list_sum(list_transform(range(1, n + 1), lambda j: l[j] * cos(2 * pi() * (j - 1) * k / {bins}))), 2) + power(list_sum(list_transform(range(1, n + 1), lambda j: l[j] * sin(2 * pi() * (j - 1) * k / {bins}))), 2))"
 
 
+#: Mean length of the runs before those of one side: runs begin at ``st``.
+_RUNS = "list_avg(list_transform(list_filter(range(2, len(st) + 1), lambda k: {side}), lambda k: st[k] - st[k - 1]))"
+def dfa(w: int, value: str = "v") -> str:
+    """(symbol, date, value): the slope of the logs over the box sizes, from one row a frame, size and box."""
+    ts = "(i - (s + 1) / 2.0)"
+    return f"""SELECT symbol, date, CASE WHEN any_value(varies) AND count(*) >= 2 AND bool_and(f > 0) THEN greatest(0, least(1, regr_slope(ln(CASE WHEN f > 0 THEN f END), ln(s)))) END AS {value} FROM (
+  SELECT symbol, date, s, any_value(varies) AS varies, avg(sqrt(greatest(0, (syy - slope * slope * stt) / s))) AS f FROM (
+    SELECT symbol, date, s, k, any_value(varies) AS varies, sum(p * {ts}) / sum({ts} * {ts}) AS slope, sum({ts} * {ts}) AS stt, sum((p - mp) * (p - mp)) AS syy FROM (
+      SELECT symbol, date, varies, s, k, i, y[k * s + i] AS p, avg(y[k * s + i]) OVER (PARTITION BY symbol, date, s, k) AS mp FROM (
+        SELECT symbol, date, n, varies, {_CUMULATED} AS y, unnest(range(low, high, greatest(1, (high - low) // 5))) AS s FROM (
+          SELECT *, list_transform(l, lambda x: x - mean) AS d, greatest(4, floor(n * 0.1::DOUBLE)::INT) AS low, least(floor(n * 0.5::DOUBLE)::INT, 100) AS high, list_max(l) > list_min(l) AS varies
+          FROM (SELECT symbol, date, list(r) OVER f AS l, count(r) OVER f AS n, avg(r) OVER f AS mean FROM base WINDOW f AS {rows(w)}) WHERE n >= {min(10, w)})
+      ), range(0, 64) b(k), range(1, 101) t(i) WHERE k < n // s AND i <= s)
+    GROUP BY symbol, date, s, k) GROUP BY symbol, date, s) GROUP BY symbol, date"""
+
+
+#: The low-pass filter of the Daubechies wavelet with four vanishing moments, and its high-pass mirror.
+_LOW = (-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965)
+_HIGH = tuple((-1) ** (k + 1) * _LOW[7 - k] for k in range(8))
+
+
+def _filtered(a: str, taps: tuple[float, ...]) -> str:
+    """Every second value of a list's convolution, the list mirrored at both ends."""
+    place = "2 * k + 1 - {j}"
+    value = lambda j: f"{a}[CASE WHEN {place.format(j=j)} < 0 THEN -({place.format(j=j)}) WHEN {place.format(j=j)} >= len({a}) THEN 2 * len({a}) - ({place.format(j=j)}) ELSE {place.format(j=j)} + 1 END]"
+    return f"list_transform(range(0, (len({a}) + 7) // 2), lambda k: {' + '.join(f'({t!r}) * {value(j)}' for j, t in enumerate(taps))})"
+
+
+def wavelet(name: str, w: int, value: str = "v") -> str:
+    """(symbol, date, value): variances of three levels of details, the coarsest first."""
+    last = {"wavelet_energy_1": "e3", "wavelet_energy_2": "e2", "wavelet_energy_3": "e1", "wavelet_noise_to_signal": "e3 / nullif(e1, 0)"}[name]
+    energy = lambda a: f"list_var_pop({_filtered(a, _HIGH)})"
+    return f"""SELECT symbol, date, {last} AS {value} FROM (SELECT *, {energy('a2')} AS e3 FROM (SELECT *, {energy('a1')} AS e2, {_filtered('a1', _LOW)} AS a2 FROM (SELECT *, {energy('a0')} AS e1, {_filtered('a0', _LOW)} AS a1 FROM (
+  SELECT symbol, date, list_concat(l, list_reverse(l)[1:power(2, ceil(log2(len(l))))::INT - len(l)]) AS a0 FROM (SELECT symbol, date, list(r) OVER f AS l FROM base WINDOW f AS {rows(w)}) WHERE len(l) >= {min(10, w)}))))"""
+
+
 LISTS = {
+    "up_down_run_ratio": f"{_RUNS.format(side='l[st[k]] > 0')} / nullif({_RUNS.format(side='l[st[k]] < 0')}, 0)",
+    "hurst_dfa": None, "wavelet_energy_1": None, "wavelet_energy_2": None, "wavelet_energy_3": None, "wavelet_noise_to_signal": None,
     "extreme_ratio": "CASE WHEN stddev > 0 THEN len(list_filter(l, lambda x: abs(x) > 2 * stddev)) / (n * 0.04550026389635842) END",
     "hill_estimator": "CASE WHEN n >= 2 AND t[k] > 0 AND list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) > 0 THEN k / list_sum(list_transform(t[1:k], lambda x: ln(x / t[k]))) END",
     "zero_crossing_rate": _ZERO_CROSSINGS,
@@ -182,7 +224,11 @@ _BINS = {"spectral_entropy": "256", "spectral_power_ratio": "256", "_window_entr
 
 def list_feature(name: str, w: int, value: str = "v") -> str:
     """(symbol, date, value) of a feature over the list of a frame's returns."""
-    power = f", {_power(_BINS[name])} AS pw" if name in _BINS else ""
+    if name == "hurst_dfa":
+        return dfa(w, value)
+    if name.startswith("wavelet"):
+        return wavelet(name, w, value)
+    power = f", {_power(_BINS[name])} AS pw" if name in _BINS else ", list_filter(range(1, n + 1), lambda i: i = 1 OR sign(l[i]) <> sign(l[i - 1])) AS st" if name == "up_down_run_ratio" else ""
     return f"""SELECT symbol, date, {LISTS[name]} AS {value} FROM (SELECT *{power} FROM (
   SELECT *, len(l) AS n, least({max(10, int(w * 0.05))}, len(l)) AS k, list_transform(l, lambda x: x - mean) AS d, power(2, ceil(log2(len(l))))::INT AS size
   FROM (SELECT symbol, date, list(r) OVER f AS l, list_reverse_sort(list(a) OVER f) AS t, stddev_pop(r) OVER f AS stddev, stddev_samp(r) OVER f AS sd, avg(r) OVER f AS mean FROM base WINDOW f AS {rows(w)})

@@ -5,15 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlstone.functions import expressions
-from marlstone.functions.windows import centred, rolling_mean
-from marlstone.operators import backtest, metrics, normalize, panel, policy, split
-from marlstone.operators.features import FACTS, REGISTRY, WINDOWS, add_market, column_name, compute_features, hilbert_transform, select_features, wavelet_decomposition
+from marlstone.functions.windows import centred, frame, gated, ordered, rolling_mean, rolling_std
+from marlstone.operators import backtest, kernels, metrics, normalize, panel, policy, split
+from marlstone.operators.asof import as_of
+from marlstone.operators.features import FACTS, REGISTRY, WINDOWS, add_market, column_name, compute_features, feature_summary, hilbert_transform, hurst_exponent, select_features, wavelet_decomposition
+from marlstone.operators.kernels import HALF_LIVES
 from marlstone.plans import oracle
 from marlstone.sources import bars
-from marlstone.storage import shared_dir
+from marlstone.storage import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +109,44 @@ for _type in ("parquet", "json"):
         return bars.load_results(spark, path, file_type).select("run_id", "symbol", "n")
 
 
+@_query("source_file_stem", f"WITH {oracle.bars()} SELECT 'part' AS symbol, date::VARCHAR AS date, {_BAR_COLUMNS} FROM bars")
+def source_file_stem(spark, sf_dir):
+    """Bars whose files name the symbol: of each file's name the first word."""
+    path = _scratch(spark, "stems")
+    bars.daily_brand(spark, sf_dir).drop("symbol").write.parquet(path)
+    read = bars.read_directory(spark, path, "*.parquet", "parquet")
+    return day(read).select(F.element_at(F.split("symbol", "-"), 1).alias("symbol"), "date", *[rounded(c).alias(c) for c in bars.MEASURES])
+
+
+@_query("source_file_report", f"""WITH {oracle.bars()} SELECT 'ok' AS status, '' AS missing, count(*) AS n_rows, 0::BIGINT AS n_bad FROM bars UNION ALL SELECT 'refused', 'close', count(*), 0 FROM bars
+UNION ALL SELECT 'no rows', '', 0, 0 UNION ALL SELECT 'partial', '', 2 * count(*), count(*) FROM bars""")
+def source_file_report(spark, sf_dir):
+    """A folder with whole files, files that lack a column, files with broken lines and a file without rows; totals by what became of them."""
+    path, raw = _scratch(spark, "mixed"), bars.daily_brand(spark, sf_dir)
+    raw.write.option("header", True).csv(path)
+    raw.drop("close").write.mode("append").option("header", True).csv(path)
+    raw.where("false").coalesce(1).write.mode("append").option("header", True).csv(path)
+    # each line once whole and once without its last two fields
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw.columns]
+    lines = raw.repartition(4).select(F.explode(F.array(F.concat_ws(",", *fields), F.concat_ws(",", *fields[:-2]))).alias("value"))
+    head = lines.mapInPandas(_with_header(",".join(raw.columns)), "value string")
+    head.write.mode("append").text(path)
+    report = bars.file_report(spark, path, "part-*")
+    return report.groupBy("status", "missing").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"))
+
+
+def _with_header(line: str):
+    def run(batches):
+        first = True
+        for batch in batches:
+            if first and len(batch):
+                yield pd.DataFrame({"value": [line]})
+                first = False
+            yield batch
+
+    return run
+
+
 _RETURNS = ("log_return", "forward_return", "simple_return", "forward_simple_return", "typical_price", "dollar_volume")
 
 
@@ -209,10 +251,57 @@ for _name, _f in REGISTRY.items():
     _query(f"feature_{_name}", oracle.feature(_name, WINDOWS, _f.windowed) if _name in oracle.FEATURES else None)(_feature_query(_name))
 
 
-@_query("feature_store")
+def _store_columns(wide: DataFrame) -> list[tuple[str, int]]:
+    """Feature columns and the digits to which each is stated."""
+    return [(c, oracle.FEATURES[n][1]) for n, f in REGISTRY.items() for c in ([column_name(f, w) for w in (WINDOWS if f.windowed else (0,))] if f.name != "ewm_volatility" else [f"ewm_volatility_h{h}" for h in HALF_LIVES]) if c in wide.columns]
+
+
+@_query("feature_store", "SELECT * FROM " + " JOIN ".join(f"({oracle.feature(n, WINDOWS, f.windowed)}) s{k}" + (" USING (symbol, date)" if k else "") for k, (n, f) in enumerate(REGISTRY.items())))
 def feature_store(spark, sf_dir):
-    """All features over all windows, in one table; of weekly bars, as daily ones take minutes."""
-    return compute_features(panel.preprocess(bars.weekly_nation(spark, sf_dir)))
+    """All features over all windows, in one table, of daily bars."""
+    wide = compute_features(base_panel(spark, sf_dir))
+    return day(wide).select("symbol", "date", *[rounded(F.col(c).cast("double"), digits).alias(c) for c, digits in _store_columns(wide)])
+
+
+_WEEKLY_BARS = "w0 AS (SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM bars GROUP BY symbol, date_trunc('week', date)), w1 AS (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS r FROM w0), w2 AS (SELECT symbol, date, CASE WHEN count(r) OVER f >= 5 THEN stddev_samp(r) OVER f END AS weekly_volatility FROM w1 WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING))"
+
+
+@_query("feature_asof_weekly", f"""WITH {oracle.returns()}, {_WEEKLY_BARS}
+SELECT d.symbol, d.date::VARCHAR AS date, CASE WHEN d.date - w.date <= 10 THEN {oracle.out('w.weekly_volatility')} END AS weekly_volatility, CASE WHEN d.date - w.date <= 10 THEN w.date::VARCHAR END AS as_of FROM panel d ASOF LEFT JOIN w2 w ON d.symbol = w.symbol AND d.date > w.date""")
+def feature_asof_weekly(spark, sf_dir):
+    """A feature of weekly bars on daily rows: what the last week that was over told, no older than ten days."""
+    raw = bars.daily_brand(spark, sf_dir)
+    weekly = raw.groupBy("symbol", F.date_trunc("week", "date").alias("week")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
+    change = weekly.withColumn("log_return", F.log(F.col("close") / F.lag("close").over(ordered())))
+    told = change.select("symbol", "date", gated(rolling_std(F.col("log_return"), frame(5)), F.count("log_return").over(frame(5)), 5, "full").alias("weekly_volatility"))
+    placed = as_of(base_panel(spark, sf_dir).select("symbol", "date"), told, tolerance_days=10, strict=True)
+    return day(placed).select("symbol", "date", rounded("weekly_volatility").alias("weekly_volatility"), F.col("as_of").cast("string").alias("as_of"))
+
+
+@_query("feature_hurst_exponent_dfa", oracle.feature("hurst_dfa", WINDOWS, True).replace("hurst_dfa_w", "hurst_exponent_w"))
+def feature_hurst_exponent_dfa(spark, sf_dir):
+    """The Hurst exponent by detrended fluctuations instead of the rescaled range."""
+    wide = hurst_exponent(base_panel(spark, sf_dir), WINDOWS, "dfa")
+    return day(wide).select("symbol", "date", *[rounded(f"hurst_exponent_w{w}", 5).alias(f"hurst_exponent_w{w}") for w in WINDOWS])
+
+
+def _corr_of_columns(r, volume):
+    a, b = abs(r), volume
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+
+
+@_query("kernel_of_columns", f"WITH {oracle.returns()}, {oracle.BASE} SELECT symbol, date::VARCHAR AS date, " + ", ".join(
+    f"{oracle.out(oracle.gate(oracle.FEATURES['volume_volatility_corr'][0](w), w))} AS corr_of_columns_w{w}" for w in WINDOWS) + ", CASE WHEN count(r) OVER c >= 10 THEN round(stddev_pop(r) OVER c, 6) + 0.0 END AS centred_spread_w20 FROM base WINDOW c AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)")
+def kernel_of_columns(spark, sf_dir):
+    """Kernels of one's own: one over two columns, one over centred frames."""
+    kernels.register_kernel("corr_of_columns", _corr_of_columns, ("log_return", "volume"))
+    kernels.register_kernel("centred_spread", lambda x: x.std(axis=1), centred=True)
+    p = base_panel(spark, sf_dir)
+    wide = kernels.kernel_features(kernels.kernel_features(p, ["corr_of_columns"], WINDOWS), ["centred_spread"], (20,))
+    names = [*[f"corr_of_columns_w{w}" for w in WINDOWS], "centred_spread_w20"]
+    return day(wide).select("symbol", "date", *[rounded(c).alias(c) for c in names])
 
 
 @_query("features_of_fact", f"WITH {oracle.returns()}, {oracle.BASE} SELECT symbol, date::VARCHAR AS date, " + ", ".join(
@@ -251,6 +340,17 @@ def feature_report(spark, sf_dir):
     return long.join(facts, "feature").select("fact", "fact_name", "feature", "n_values", "n_rows")
 
 
+@_query("feature_summary", f"WITH {oracle.returns()}, {oracle.BASE}, v AS (SELECT " + ", ".join(
+    f"{x if n in oracle.UNGATED else oracle.gate(x, 20)} AS {n}" for k, names in _REPORTED_SQL.items() for n in names for x in [oracle.FEATURES[n][0](20)]
+) + " FROM base) " + " UNION ALL ".join(f"SELECT {k} AS fact, '{_REPORTED[k]}' AS fact_name, {len(names)} AS n_features, '{', '.join(names)}' AS features, {' + '.join(f'count({n})' for n in names)} AS n_values FROM v" for k, names in _REPORTED_SQL.items()))
+def feature_facts(spark, sf_dir):
+    """Of three facts: which features measure them, and how many values these have on the panel."""
+    picked = [f for k in _REPORTED for f in select_features(fact=k)]
+    wide = compute_features(base_panel(spark, sf_dir), [f.name for f in picked], (20,))
+    counts = wide.agg(*[sum(F.count(column_name(f, 20)) for f in picked if f.fact == k).alias(str(k)) for k in _REPORTED])
+    return feature_summary(spark).join(counts.unpivot([], [str(k) for k in _REPORTED], "k", "n_values"), F.col("fact") == F.col("k").cast("int")).drop("k")
+
+
 @_query("feature_market_return", f"WITH {oracle.returns()}, {oracle.BASE} SELECT DISTINCT date::VARCHAR AS date, {oracle.out('m')} AS market_return, {oracle.out('ml')} AS market_lag FROM base")
 def feature_market_return(spark, sf_dir):
     return day(add_market(base_panel(spark, sf_dir))).select("date", rounded("market_return").alias("market_return"), rounded("market_lag").alias("market_lag")).distinct()
@@ -267,9 +367,10 @@ def feature_hilbert_transform(spark, sf_dir):
     return out.select("symbol", "date", rounded("hilbert_transform.amplitude").alias("amplitude"), rounded("hilbert_transform.phase", 4).alias("phase"))
 
 
-@_query("feature_wavelet_decomposition")
+@_query("feature_wavelet_decomposition", "SELECT symbol, date, wavelet_energy_1_w20 AS level_1, wavelet_energy_2_w20 AS level_2, wavelet_energy_3_w20 AS level_3 FROM " + " JOIN ".join(f"({oracle.feature(f'wavelet_energy_{k}', (20,), True)}) s{k}" + (" USING (symbol, date)" if k > 1 else "") for k in (1, 2, 3)))
 def feature_wavelet_decomposition(spark, sf_dir):
-    return day(wavelet_decomposition(base_panel(spark, sf_dir))).select("symbol", "date", "wavelet_decomposition")
+    out = day(wavelet_decomposition(base_panel(spark, sf_dir)))
+    return out.select("symbol", "date", *[rounded(F.col("wavelet_decomposition")[k], 8).alias(f"level_{k + 1}") for k in range(3)])
 
 
 @_query("feature_variance_ratio_documented", f"WITH {oracle.returns()}, {oracle.BASE}, s AS (SELECT *, r + r_1 AS two FROM base) SELECT symbol, date::VARCHAR AS date, " + ", ".join(f"round(CASE WHEN count(r) OVER {oracle.rows(w)} = {w} THEN var_samp(two) OVER {oracle.rows(w, 1)} / nullif(2 * var_samp(r) OVER {oracle.rows(w)}, 0) END, 5) + 0.0 AS variance_ratio_documented_w{w}" for w in WINDOWS) + " FROM s")
@@ -414,6 +515,24 @@ def expression_compare(spark, sf_dir):
     return expressions.compare(table.join(scored, "candidate_id")).withColumn("loss_diff", relative("loss_diff"))
 
 
+GRAMMAR = {"nd20": ("normalized_deviation", 20), "nd5": ("normalized_deviation", 5), "vol20": ("rolling_volatility", 20), "mom5": ("rolling_return", 5), "mom20": ("rolling_return", 20), "relvol5": ("relative_volume", 5)}
+_TWO = lambda a, b: " UNION ALL ".join(f"SELECT '{op}[' || x.c || '|' || y.c || ']' AS c, x.k + y.k + {cost} AS k FROM {a} x JOIN {b} y ON {rule}" for op, cost, rule in (("+", 1, "x.c < y.c"), ("*", 1, "x.c <= y.c"), ("-", 1, "x.c <> y.c"), ("/", 2, "x.c <> y.c")))
+
+
+@_query("expression_grammar", f"""WITH e0(c, k, l) AS (VALUES {', '.join(f"('{c}', 1, 0)" for c in GRAMMAR)}), b1 AS ({_TWO('e0', 'e0')}),
+e1 AS (SELECT c, k, 1 AS l FROM b1 UNION ALL SELECT op || '(' || c || ')', k + 1, 1 FROM e0, (VALUES ('neg'), ('abs')) u(op)), h AS (SELECT * FROM e0 UNION ALL SELECT * FROM e1),
+b2 AS (SELECT * FROM ({_TWO('h', 'h').replace(' ON ', ' ON greatest(x.l, y.l) = 1 AND ')})),
+u2 AS (SELECT 'neg(' || c || ')' AS c, k + 1 AS k FROM e1 WHERE c NOT LIKE 'neg(%' AND c NOT LIKE '-[%' UNION ALL
+  SELECT DISTINCT CASE WHEN c LIKE '-[%' THEN 'abs(-[' || array_to_string(list_sort(string_split(c[3:-2], '|')), '|') || '])' ELSE 'abs(' || c || ')' END, k + 1 FROM e1 WHERE c NOT LIKE 'neg(%' AND c NOT LIKE 'abs(%'),
+a AS (SELECT k, l FROM h UNION ALL SELECT k, 2 FROM b2 UNION ALL SELECT k, 2 FROM u2) SELECT l AS level, k::INT AS complexity, count(*) AS n_expressions, count(*) AS n_scored FROM a GROUP BY ALL""")
+def expression_grammar(spark, sf_dir):
+    """Two levels of the grammar over six features, each expression once, all of them scored in one scan; how many there are of each level and cost."""
+    wide = compute_features(base_panel(spark, sf_dir), sorted({n for n, _ in GRAMMAR.values()}), (5, 20))
+    named = wide.select("forward_return", *[F.col(f"{n}_w{w}").alias(c) for c, (n, w) in GRAMMAR.items()])
+    scored = metrics.losses_of_grammar(named, expressions.grammar(spark, list(GRAMMAR)), list(GRAMMAR))
+    return scored.groupBy("level", "complexity").agg(F.count(F.lit(1)).alias("n_expressions"), F.count("loss").alias("n_scored"))
+
+
 # ---- metrics ----
 
 for _method, _column in (("spearman", "ic"), ("pearson", "pearson")):
@@ -660,16 +779,35 @@ def recovery(spark, sf_dir):
     return backtest.recovery(both).withColumns({"correlation": rounded("correlation"), "ic": rounded("ic")})
 
 
-@_query("feature_set_sweep")
+def _swept() -> list[tuple[str, str, int]]:
+    """Features of all sets of the sweep: name, column and digits."""
+    names = [f.name for f in REGISTRY.values() if f.name in {n for run in _SETS for n in backtest.feature_set(run)} and f.name in oracle.FEATURES]
+    return [(n, "ewm_volatility_h10" if n == "ewm_volatility" else column_name(REGISTRY[n], 20), oracle.FEATURES[n][1]) for n in names]
+
+
+_SETS = (1, 2, 3, 4)
+_SWEPT = _swept()
+_SWEEP_COLUMNS = ("ic", "ic_stability", *_PERFORMANCE, "turnover")
+
+
+@_query("feature_set_sweep", "WITH wide AS MATERIALIZED (SELECT * FROM " + " JOIN ".join(f"({oracle.feature(n, (20,), REGISTRY[n].windowed)}) s{k}" + (" USING (symbol, date)" if k else "") for k, (n, _, _) in enumerate(_SWEPT)) + f""" JOIN (WITH {oracle.returns()} SELECT symbol, date::VARCHAR AS date, forward_return AS y FROM panel) USING (symbol, date)),
+{_POINTS.replace('FROM panel', 'FROM wide') % ', '.join(f'({k}, {a}::DOUBLE, {b}::DOUBLE)' for k, (a, b, _) in enumerate(split.SWEEP))},
+long AS (""" + " UNION ALL ".join(f"SELECT {k} AS f, date, symbol, {c} AS alpha, y FROM wide" for k, (_, c, _) in enumerate(_SWEPT)) + f"""),
+v AS (SELECT split_id * 1000 + f AS c, date, symbol, alpha, y FROM long JOIN d USING (date) JOIN parts ON k BETWEEN a AND b WHERE split = 'test' AND alpha IS NOT NULL AND y IS NOT NULL), {oracle.METRIC_PARTS},
+names(f, feature) AS (VALUES {', '.join(f"({k}, '{c}')" for k, (_, c, _) in enumerate(_SWEPT))}),
+sets(run_id, f) AS (VALUES {', '.join(f"('run{run}', {k})" for run in _SETS for k, (n, _, _) in enumerate(_SWEPT) if n in backtest.feature_set(run))})
+SELECT run_id, c // 1000 AS split_id, feature, {', '.join(f'round(coalesce({x}, 0), 5) + 0.0 AS {x}' for x in _SWEEP_COLUMNS)}, n AS n_observations
+FROM ic LEFT JOIN stab USING (c) LEFT JOIN perf USING (c) LEFT JOIN turn USING (c) JOIN names ON f = c % 1000 JOIN sets USING (f)""")
 def feature_set_sweep(spark, sf_dir):
-    """One run a feature set: how many features it has, and which of them fits the forward return best by itself."""
-    sets = {run: backtest.feature_set(run) for run in (1, 2, 3, 4)}
-    names = sorted({n for s in sets.values() for n in s if REGISTRY[n].windowed and n != "ewm_volatility"})
-    wide = compute_features(panel.preprocess(bars.weekly_nation(spark, sf_dir)), names, (20,))
-    loss = metrics.losses(wide, {k: f"{n}_w20" for k, n in enumerate(names)})
-    runs_of = spark.createDataFrame([(f"run{run}", f"{n}_w20") for run, s in sets.items() for n in s if n in names], "run_id string, expression string")
-    scored = loss.join(runs_of, "expression").where("loss IS NOT NULL")
-    return scored.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_features"), rounded(F.min("loss")).alias("best_loss"), F.min_by("expression", F.struct("loss", "expression")).alias("best_feature"))
+    """Four feature sets on five splits: each feature, rounded, as a signal of its own on the test dates."""
+    wide = compute_features(base_panel(spark, sf_dir), [n for n, _, _ in _SWEPT], (20,))
+    values_of = wide.select("symbol", "date", "forward_return", *[rounded(F.col(c).cast("double"), digits).alias(c) for _, c, digits in _SWEPT])
+    v = materialize(metrics.candidate_values(values_of, {k: c for k, (_, c, _) in enumerate(_SWEPT)}), "swept")
+    sets = [(f"run{run}", k, c) for run in _SETS for k, (n, c, _) in enumerate(_SWEPT) if n in backtest.feature_set(run)]
+    runs_of = spark.createDataFrame(sets, "run_id string, candidate_id int, feature string")
+    scored = backtest.sweep(v, runs_of.select("run_id", "candidate_id"))
+    names = runs_of.select("candidate_id", "feature").distinct()
+    return scored.join(names, "candidate_id").select("run_id", "split_id", "feature", *[rounded(c, 5).alias(c) for c in _SWEEP_COLUMNS], "n_observations")
 
 
 # ---- whole workloads ----

@@ -41,13 +41,25 @@ def _csv(reader: DataFrameReader, path: str) -> DataFrame:
     return reader.schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
 
 
+#: Columns without which a file is refused.
+REQUIRED = ("date", *MEASURES)
+
+
+def _refuse(df: DataFrame, path: str) -> DataFrame:
+    missing = check_columns(df, REQUIRED)
+    if missing:
+        raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
+    return df
+
+
 def read_csv(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """Bars of a CSV file, or of all files of a folder with the same header, in one read; what is no number or date becomes NULL."""
-    return _standard(_csv(spark.read, path), symbol)
+    """Bars of a CSV file, or of all files of a folder with the same header, in one read; what is no number or date becomes NULL, and a file without a required column is refused."""
+    return _standard(_refuse(_csv(spark.read, path), path), symbol)
 
 
 def read_parquet(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    return _standard(spark.read.parquet(path), symbol)
+    """As ``read_csv``, of Parquet files."""
+    return _standard(_refuse(spark.read.parquet(path), path), symbol)
 
 
 def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv", file_type: str = "csv") -> DataFrame:
@@ -58,7 +70,46 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv", file_
     if file_type not in ("csv", "parquet"):
         raise ValueError(f"unknown file type: {file_type}")
     reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    return _standard(_csv(reader, path) if file_type == "csv" else reader.parquet(path), None)
+    return _standard(_refuse(_csv(reader, path) if file_type == "csv" else reader.parquet(path), path), None)
+
+
+def _listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(file, n_bytes) of a folder's files, empty ones included, which no reader gives; a list as Spark's own, made on the driver."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    return spark.createDataFrame([(f.getPath().getName(), f.getLen()) for f in found if f.isFile()], "file string, n_bytes long")
+
+
+def file_report(spark: SparkSession, path: str, pattern: str = "*.csv", file_type: str = "csv", required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """(file, n_bytes, n_rows, n_bad, missing, status) of every file of a folder that matches.
+
+    Files are listed with their sizes alone, and compared with the files that rows were read from. ``status`` is ``ok``,
+    ``partial`` (some lines could not be read), ``no rows`` (not one could), ``empty``, or ``refused`` (``missing`` names the
+    required columns that it lacks; for CSV files by each file's own first line, for Parquet files by the values that it gave).
+    """
+    listed = _listing(spark, path, pattern)
+    reader = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    if file_type == "csv":
+        # each file's own header, whatever the others' are; a line is good if it has as many fields
+        lines = reader.text(path).where(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), "value")
+        fields = F.size(F.split("value", ","))
+        heads = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "k")).alias("head"), F.count(F.lit(1)).alias("n"))
+        counts = lines.groupBy("file", fields.alias("width")).agg(F.count(F.lit(1)).alias("n_width"))
+        good = heads.join(counts, (heads["file"] == counts["file"]) & (F.size(F.split("head", ",")) == counts["width"]), "left").select(heads["file"], "head", (F.col("n") - 1).alias("n_rows"), (F.col("n") - F.coalesce("n_width", F.lit(0))).alias("n_bad"))
+        have = F.transform(F.split(F.lower("head"), ","), lambda x: F.regexp_replace(F.trim(x), '"', ""))
+        found = good.select("file", "n_rows", "n_bad", F.array_join(F.array_except(F.array(*[F.lit(c) for c in required]), have), ", ").alias("missing"))
+    elif file_type == "parquet":
+        df = reader.option("mergeSchema", True).parquet(path)
+        df = df.select(*[F.col(c).alias(c.lower()) for c in df.columns], F.col("_metadata.file_name").alias("_file"))
+        lacking = [F.when((F.count(c) if c in df.columns else F.lit(0)) == 0, F.lit(c)) for c in required]
+        found = df.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(0).cast("long").alias("n_bad"), F.array_join(F.array_compact(F.array(*lacking)), ", ").alias("missing"))
+    else:
+        raise ValueError(f"unknown file type: {file_type}")
+    n_rows, n_bad = F.coalesce("n_rows", F.lit(0).cast("long")), F.coalesce("n_bad", F.lit(0).cast("long"))
+    status = (
+        F.when(F.col("n_bytes") == 0, "empty").when(F.coalesce(F.length("missing") > 0, F.lit(False)), "refused").when(n_rows == n_bad, "no rows").when(n_bad > 0, "partial").otherwise("ok")
+    )
+    return listed.join(found, "file", "left").select("file", "n_bytes", n_rows.alias("n_rows"), n_bad.alias("n_bad"), F.coalesce("missing", F.lit("")).alias("missing"), status.alias("status"))
 
 
 def bad_lines(bars: DataFrame) -> DataFrame:
