@@ -9,7 +9,7 @@ Scoring: presence matrix of a batch times the landmarks' presence matrix times
 the coefficients.
 
 Learning uses a bounded sample: about ``landmarks`` landmark texts of at most
-``max_landmark_bytes`` bytes (the beginnings of longer ones, if there are none so short) and about ``train_rows`` training rows, drawn by a hash of
+``max_landmark_bytes`` bytes (a language with too few so short has pieces of its longer ones too) and about ``train_rows`` training rows, drawn by a hash of
 the id, evenly over the languages. Every label is learned: with many languages
 both samples grow to LEAST_LANDMARKS landmark texts and LEAST_ROWS training rows
 a language, and the presence matrix with them. The kernel rows of the training texts are
@@ -108,7 +108,13 @@ def learn(docs: DataFrame, landmarks: int = 128, train_rows: int = 2048, ridge:
     each, trained = max(LEAST_LANDMARKS, landmarks // len(counts)), max(LEAST_ROWS, train_rows // len(counts))
     drawn = _draw(train, counts, 4 * each, 1).select("lang", "text", F.octet_length("text").alias("size"), _share(3).alias("draw"))
     rows = drawn.where(F.col("size") <= max_landmark_bytes).select("lang", "text", "draw").collect()
-    rows = rows or drawn.orderBy("draw").limit(landmarks).select("lang", F.substring("text", 1, max_landmark_bytes // 4).alias("text"), "draw").collect()
+    short = [lang for lang in counts if len({r["text"] for r in rows if r["lang"] == lang}) < each]
+    if short:
+        # a piece from anywhere in each longer text
+        most = max_landmark_bytes // 4
+        begin = 1 + F.pmod(F.xxhash64("text"), F.length("text") - most).cast("int")
+        longer = drawn.where((F.col("size") > max_landmark_bytes) & F.col("lang").isin(short) & (F.length("text") > most))
+        rows += longer.select("lang", F.col("text").substr(begin, F.lit(most)).alias("text"), (F.col("draw") + 1).alias("draw")).collect()
     texts: list[str] = []
     for lang in counts:
         # at random, copies once, and longer ones first, as they hold more

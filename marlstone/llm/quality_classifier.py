@@ -9,7 +9,7 @@ each of BINS classes of length has its own, fitted with labels weighted to the
 same share of good ones in every class, so that a length says nothing by itself.
 
 Learning uses bounded samples of labelled rows, drawn by a hash of the id:
-about ``dictionary_rows`` texts of at most ``max_sample_bytes`` bytes a class for the
+about ``dictionary_rows`` texts a class (pieces of longer ones, of ``max_sample_bytes`` bytes at most) for the
 dictionaries, about ``calibration_rows`` rows a class for the curve. Scoring reads
 every whole text.
 
@@ -110,30 +110,33 @@ def learn(docs: DataFrame, labels: DataFrame, dictionary_rows: int = 2000, calib
     each = dictionary_rows + calibration_rows
     share = F.pmod(F.xxhash64(F.lit(10), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000.0
     rate = F.when(F.col("quality") == 1, min(1.0, 1.2 * each / counts[1])).otherwise(min(1.0, 1.2 * each / counts[0]))
+    # of a text over the bound a piece from anywhere in it
+    most = max_sample_bytes // 4
+    begin = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - most)).cast("int")
+    piece = F.when(F.octet_length("text") <= max_sample_bytes, F.col("text")).otherwise(F.col("text").substr(begin, F.lit(most)))
     # a bounded number of labels, so their broadcast is bounded
     drawn = F.broadcast(known.where(share < rate))
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.octet_length("text") <= max_sample_bytes)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), piece.alias("text"))
         .join(drawn, "doc_id")
-        .select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
+        .select("doc_id", "quality", "size", F.col("text").cast("binary").alias("text"))
         .collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
-    sides = {q: [bytes(r["text"]) for r in rows if r["quality"] == q and r["text"]] for q in (0, 1)}
+    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], bytes(r["text"] or b"")))
+    sides = {q: [(bytes(r["text"]), r["size"]) for r in rows if r["quality"] == q and r["text"]] for q in (0, 1)}
     if not (sides[0] and sides[1]):
         return counts[1] / (counts[0] + counts[1])
     cut = {q: max(1, min(dictionary_rows, len(t) // 2)) for q, t in sides.items()}
     raw = []
     for q in (1, 0):
         try:
-            raw.append(z.train_dictionary(DICTIONARY_BYTES, sides[q][: cut[q]], k=200, d=8, level=LEVEL).as_bytes())
+            raw.append(z.train_dictionary(DICTIONARY_BYTES, [t for t, _ in sides[q][: cut[q]]], k=200, d=8, level=LEVEL).as_bytes())
         except z.ZstdError:  # too few samples to train on: their bytes themselves serve
-            raw.append(b"\n".join(sides[q][: cut[q]])[-DICTIONARY_BYTES:])
+            raw.append(b"\n".join(t for t, _ in sides[q][: cut[q]])[-DICTIONARY_BYTES:])
     rest = {q: t[cut[q] :] or t for q, t in sides.items()}
     texts = rest[1] + rest[0]
     y = np.repeat([1.0, 0.0], [len(rest[1]), len(rest[0])])
-    return raw[0], raw[1], Curves(Differences(*raw).of(texts), np.array([len(t) for t in texts]), y, counts[1] / (counts[0] + counts[1]))
+    return raw[0], raw[1], Curves(Differences(*raw).of([t for t, _ in texts]), np.array([size for _, size in texts]), y, counts[1] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

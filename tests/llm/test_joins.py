@@ -231,3 +231,33 @@ def test_cover_tree_skips_nodes():
 
     cover_tree.descend(own, nodes, norm, query, lambda low, high, active: high >= best[0], offer)
     assert best[0] == (points @ query[0]).max() and len(seen) < 600
+
+
+# ---- classes that have long texts only ----
+
+
+def test_language_of_long_texts_only(spark):
+    from marlstone.llm import language_id
+
+    rng = random.Random(12)
+    words = {"en": "the of and to in that is was for".split(), "de": "der die und das ist nicht ein".split(), "xx": "kala mitu vore sanna pilu tero".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(k, text(lang, 3000 if lang == "xx" else 30), lang) for k, lang in enumerate(["en", "de", "xx"] * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, index, _ = model = language_id.learn(docs, landmarks=16, train_rows=64)
+    assert languages == ["de", "en", "xx"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert all(got[k] == lang for k, _, lang in rows)
+
+
+def test_quality_of_long_texts_only(spark):
+    from marlstone.llm import quality_classifier
+
+    rng = random.Random(13)
+    good, bad = "the river ran slowly past an old mill where we used to play as children".split(), "click here buy now cheap free win offer !!! $$$".split()
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(4500 if k % 2 else 60)), k % 2) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    scored = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, quality_classifier.learn(docs, labels)).collect()}
+    ranks = [(scored[a] > scored[b]) for a, _, p in rows for b, _, q in rows if p > q]
+    assert sum(ranks) > 0.95 * len(ranks)
