@@ -34,6 +34,15 @@ def is_long(df: DataFrame, key: str = "symbol", chunk_rows: int = CHUNK_ROWS) ->
     return (most or 0) > chunk_rows
 
 
+def by_key(df: DataFrame, key: str = "symbol") -> DataFrame:
+    """Rows dealt out by key to as many tasks as shuffles have.
+
+    Windows cost far more than their rows' size suggests, by which adaptive execution would put them into few
+    tasks; it leaves an exchange of a given number alone, and what comes after on the same key needs no other.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def pieces(df: DataFrame, key: str = "symbol", order: str = "date", partitions: int | None = None) -> DataFrame:
     """``df`` with ``_piece``, written: rows of a key are in pieces that follow each other in the order."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

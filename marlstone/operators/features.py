@@ -267,7 +267,7 @@ def compute_features(panel: DataFrame, names: list[str] | None = None, windows:
     if chunk_rows is None:
         chunk_rows = scan.CHUNK_ROWS if scan.is_long(panel) else 0
     if not chunk_rows:
-        out = builtin_features(panel, built, windows, min_periods)
+        out = builtin_features(scan.by_key(with_market(panel, built)), built, windows, min_periods)
         return kernel_features(out, kernels, windows, min_periods, 0) if kernels else out
     out = with_market(panel, built)
     keep = out.columns
@@ -275,7 +275,7 @@ def compute_features(panel: DataFrame, names: list[str] | None = None, windows:
         used = [n for n in _RUNNING if any(n == step for f in built for step, _ in f.steps)]
         if used:
             out = scan.running(out, [scan.Running(n, kind, F.col(of) if of else F.lit(1)) for n in used for kind, of in [_RUNNING[n]]])
-        out = scan.in_chunks(out, lambda p: builtin_features(p, built, windows, min_periods), _LOOK_BACK + max(windows), 0, chunk_rows)
+        out = scan.in_chunks(out, lambda p: builtin_features(scan.by_key(p), built, windows, min_periods), _LOOK_BACK + max(windows), 0, chunk_rows)
         out = out.select(*keep, *[c for c in out.columns if c not in keep and c not in used])
     return kernel_features(out, kernels, windows, min_periods, chunk_rows) if kernels else out
 

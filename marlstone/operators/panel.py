@@ -23,7 +23,7 @@ def add_returns(bars: DataFrame, horizon: int = 1, chunk_rows: int | None = None
         chunk_rows = scan.CHUNK_ROWS if scan.is_long(bars) else 0
     if chunk_rows:
         return scan.in_chunks(bars, lambda b: add_returns(b, horizon, 0), 1, horizon, chunk_rows)
-    w = ordered()
+    w, bars = ordered(), scan.by_key(bars)
     ratio = safe_div(F.col("close"), F.lag("close").over(w))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     return (
