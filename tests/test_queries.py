@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test
 NAMES = [
     "bars_weekly_nation", "panel_returns", "panel_fill_ffill", "panel_stats", "feature_rolling_kurtosis", "feature_variance_ratio", "feature_trend_linearity", "feature_hurst_rs", "normalize_combined",
     "split_label", "expression_pareto", "metric_all", "policy_threshold", "tune_quintile", "backtest_summary", "runs_aggregate", "reversal_question",
+    "feature_autocorr_decay", "feature_hurst_dfa", "feature_up_down_run_ratio", "feature_wavelet_noise_to_signal", "feature_asof_weekly", "kernel_of_columns", "source_file_report", "feature_summary", "tune_threshold", "tune_kelly",
 ]
 
 
