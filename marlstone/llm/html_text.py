@@ -192,10 +192,29 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
 
 
 def _table(cells: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Rows of cells as lines whose columns have equal width."""
-    rows = _grid(cells)
-    width = [max((len(r[k]) for r in rows if k < len(r) - 1), default=0) for k in range(max(map(len, rows), default=0))]
-    return [" | ".join([c.ljust(width[k]) if k < len(r) - 1 else c for k, c in enumerate(r)]).rstrip() for r in rows if any(r)]
+    """Rows of cells as lines whose columns have equal width; a row is as high as its highest cell."""
+    rows = [[c.split("\n") for c in r] for r in _grid(cells) if any(r)]
+    width = [max((len(x) for r in rows if k < len(r) - 1 for x in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+    out = []
+    for r in rows:
+        for at in range(max(map(len, r))):
+            parts = [c[at] if at < len(c) else "" for c in r]
+            if at:  # below a row's first line only what there is
+                while parts and not parts[-1]:
+                    parts.pop()
+            out.append(" | ".join([x.ljust(width[k]) if k < len(parts) - 1 else x for k, x in enumerate(parts)]).rstrip())
+    return out
+
+
+def _cell(lines: list[str]) -> str:
+    """A cell's lines, without empty ones at its ends and without an indent that all of them have."""
+    lines = [x.rstrip() for x in lines]
+    while lines and not lines[0]:
+        lines.pop(0)
+    while lines and not lines[-1]:
+        lines.pop()
+    indent = min((len(x) - len(x.lstrip()) for x in lines if x), default=0)
+    return "\n".join(x[indent:] for x in lines)
 
 
 def render(page: str) -> str:
@@ -264,14 +283,17 @@ def render(page: str) -> str:
         elif tag in ("td", "th") and tables:
             flow.flush()
             flows.pop()
-            text = " ".join(x.strip() for x in flow.lines if x.strip())
+            text = _cell(flow.lines)
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append((text, _number(node, "colspan", 1000) if node.attributes.get("colspan") != "0" else 1, _number(node, "rowspan", 65534)))
         elif tag == "table":
             flow.flush()
             for line in _table(tables.pop()):
-                flow.line(line)
+                if line:
+                    flow.line(line)
+                else:
+                    flow.gap = 1
             flow.gap = 1
         elif tag in BLOCK and tag != "tr":
             flow.flush()

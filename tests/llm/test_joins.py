@@ -261,3 +261,39 @@ def test_quality_of_long_texts_only(spark):
     scored = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, quality_classifier.learn(docs, labels)).collect()}
     ranks = [(scored[a] > scored[b]) for a, _, p in rows for b, _, q in rows if p > q]
     assert sum(ranks) > 0.95 * len(ranks)
+
+
+# ---- cells of several lines ----
+
+
+def test_cells_keep_their_lines():
+    from marlstone.llm.html_text import render
+
+    page = "<table><tr><td><h1>Title</h1><p>First para.</p><ul><li>one<li>two</ul></td><td><pre>a\n  b</pre></td></tr></table>"
+    assert render(page) == "Title       | a\n            |   b\nFirst para.\n\n- one\n- two"
+    assert render("<table><tr><td>a<td>bb<tr><td>ccc<br>d<td>e</table>after") == "a   | bb\nccc | e\nd\n\nafter"
+    assert render("<table><tr><td><p>P1</p><p>P2</p><table><tr><td>x<td>y</table></td></tr></table>") == "P1\n\nP2\n\nx | y"
+    assert render("<table><tr><td> <td></table>") == ""
+
+
+def test_layout_tables_against_a_plain_renderer():
+    """A page and the same page inside a table of one cell read alike."""
+    from marlstone.llm.html_text import render
+
+    rng = random.Random(21)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+    for _ in range(50):
+        parts, want = [], []
+        for _ in range(rng.randint(1, 5)):
+            kind, own = rng.choice(["p", "ul", "pre"]), [word() for _ in range(rng.randint(1, 3))]
+            if kind == "p":
+                parts.append(f"<p>{' '.join(own)}</p>")
+                want.append(" ".join(own))
+            elif kind == "ul":
+                parts.append(f"<ul>{''.join(f'<li>{x}</li>' for x in own)}</ul>")
+                want.append("\n".join(f"- {x}" for x in own))
+            else:
+                parts.append("<pre>" + "\n".join(own) + "</pre>")
+                want.append("\n".join(own))
+        body = "".join(parts)
+        assert render(body) == render(f"<table><tr><td>{body}</td></tr></table>") == "\n\n".join(want)
