@@ -297,3 +297,45 @@ def test_layout_tables_against_a_plain_renderer():
                 want.append("\n".join(own))
         body = "".join(parts)
         assert render(body) == render(f"<table><tr><td>{body}</td></tr></table>") == "\n\n".join(want)
+
+
+# ---- fuzzy lines on a common template ----
+
+
+@pytest.mark.parametrize("shared", [10, 13, 15])
+def test_lines_on_a_template(spark, shared):
+    """Lines that share most words, each with a copy in which three differ: of the pairs that are similar nearly all end in one group, of the others none by themselves."""
+    from marlstone.llm import fuzzy_lines
+
+    rng = random.Random(shared)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    frame, lines = [word() for _ in range(20)], []
+    places = rng.sample(range(20), 20 - shared)
+    for _ in range(100):
+        own = list(frame)
+        for k in places:
+            own[k] = word()
+        copy = list(own)
+        for k in rng.sample(range(20), 3):
+            copy[k] = word()
+        lines += [" ".join(own), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    table = fuzzy_lines.line_table(docs)
+    kept = {bytes(r["key"]): (r["kept_doc"], r["kept_line"]) for r in fuzzy_lines.line_groups(docs, table).collect()}
+    group = [kept.get(fuzzy_lines.line_key(x.split(" ")), k) for k, x in enumerate(lines)]
+    i, j = np.triu_indices(len(lines), 1)
+    longest = np.maximum(*([len(lines[k]) for k in side] for side in (i, j)))
+    similar = fuzzy_lines.edit_distances([lines[k] for k in i], [lines[k] for k in j]) <= 0.2 * longest + 1e-9
+    together = np.array([group[a] == group[b] for a, b in zip(i, j)])
+    assert similar.sum() >= 90 and together[similar].mean() >= 0.95
+    # groups are the components of similar pairs, no more
+    parent = list(range(len(lines)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(i[similar], j[similar]):
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in zip(i[together], j[together]))
