@@ -339,3 +339,31 @@ def test_lines_on_a_template(spark, shared):
     for a, b in zip(i[similar], j[similar]):
         parent[root(a)] = root(b)
     assert all(root(a) == root(b) for a, b in zip(i[together], j[together]))
+
+
+def test_each_string_counts_once():
+    from marlstone.llm.minhash import distinct_hashes, gram_hashes
+
+    texts = ["abababab", "a", "xyz xyz xyz", "aaaa"]
+    h, lengths = gram_hashes(texts, 2)
+    _, once = distinct_hashes(h, lengths)
+    assert once.tolist() == [len({(t + "\0")[k : k + 2] for k in range(len(t))}) for t in texts]
+
+
+@pytest.mark.parametrize("least, most", [(5, 15), (16, 40)])
+def test_short_lines_with_one_edit_meet(least, most):
+    from marlstone.llm import fuzzy_lines
+
+    rng = np.random.default_rng(least)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(least, most))) for _ in range(200)]
+    copies = [x[: (at := int(rng.integers(len(x))))] + "0" + x[at + 1 :] for x in lines]
+    met = 0
+    for (kinds, blocks, *words), (kinds2, blocks2, *words2) in zip(fuzzy_lines.line_blocks(lines), fuzzy_lines.line_blocks(copies)):
+        same = [
+            (np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).any()
+            and sum(((x[k] ^ y[k]) & ((1 << 64) - 1)).bit_count() for x, y in zip(words, words2)) <= fuzzy_lines.CLASSES[kind].radius
+            for k, (kind, a, b) in enumerate(zip(kinds, blocks, blocks2))
+        ]
+        assert kinds == kinds2
+        met += any(same)
+    assert met >= 190
