@@ -163,6 +163,25 @@ def test_similar_sets(spark):
     assert simhash.similar_sets(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_similar_sets_link_by_fingerprints(spark):
+    rng = np.random.default_rng(5)
+    far = 0
+    for size, less in [(4, 1), (9, 1), (45, 5), (450, 50), (2700, 300)]:
+        for _ in range(60):
+            own = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+            # a set with one more, or one of equal size with a ninth replaced: a similarity of 0.8
+            other = np.append(own, np.uint64(7)) if size == 4 else np.concatenate([own[less:], rng.integers(1, 1 << 63, less, dtype=np.uint64)])
+            one, two = simhash.set_prints(np.concatenate([own, other]), np.array([len(own), len(other)]))
+            far += np.bitwise_count(one ^ two).sum() > simhash.PRINT_RADIUS
+    assert far <= 1
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words) + "  ")], "doc_id long, text string")
+    roots = lambda **how: {r["doc_id"]: r["component_id"] for r in simhash.similar_sets(docs, **how).collect()}
+    assert roots() == {1: 1, 2: 1, 3: 1}
+    # the sets are as alike as before, but their fingerprints are not equal
+    assert roots(radius=0) == {1: 1, 2: 2, 3: 1}
+
+
 def test_simhash_links_of_random_fingerprints(spark):
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(300)}
