@@ -167,9 +167,15 @@ def piece_table(spark: SparkSession, tokenizer_json: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(pieces(tokenizer_json))), "id int, piece string")
 
 
+def distinct_ids(encoded: DataFrame) -> DataFrame:
+    """(block, ids): the distinct ids of each block, of all its buckets; no more than the words of a block have, or than the vocabulary has."""
+    return encoded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+
 def pieces_of_blocks(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     """(block, bucket, payload): the pieces of each block's distinct ids, by a join with the table of pieces; bucket is -1, so that they come first."""
-    ids = encoded.select("block", F.explode("ids").alias("id")).distinct()
+    # an id may come from many buckets of a block, so these are put together before there is a row an id
+    ids = distinct_ids(encoded).select("block", F.explode("ids").alias("id"))
     found = ids.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer_json)), "id")  # as long as the vocabulary
     # a list is no longer than the vocabulary
     return found.groupBy("block").agg(F.to_json(F.collect_list(F.struct("id", "piece"))).cast("binary").alias("payload")).select("block", F.lit(-1).alias("bucket"), "payload")

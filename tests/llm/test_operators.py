@@ -163,6 +163,14 @@ def test_similar_sets(spark):
     assert simhash.similar_sets(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_distinct_ids_of_blocks(spark):
+    rows = [("a", bucket, [1, 2, 3 + bucket]) for bucket in range(50)] + [("b", 0, [7]), ("b", 1, []), ("c", 0, [])]
+    encoded = spark.createDataFrame(rows, "block string, bucket int, ids array<int>").repartition(3)
+    got = {r["block"]: sorted(r["ids"]) for r in bpe_codec.distinct_ids(encoded).collect()}
+    # a row an id and block: what is exploded does not grow with the buckets
+    assert got == {"a": [1, 2, *range(3, 53)], "b": [7], "c": []}
+
+
 def test_similar_sets_link_by_fingerprints(spark):
     rng = np.random.default_rng(5)
     far = 0
