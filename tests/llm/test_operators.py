@@ -163,6 +163,25 @@ def test_similar_sets(spark):
     assert simhash.similar_sets(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_open_lines_meet_once(spark):
+    blocks = np.array([[1, 2, 3], [1, 5, 3], [4, 5, 3]], np.uint32)
+    at = lambda place, i, j: fuzzy_lines.first_shared(blocks, np.full(3, place), np.array([i]), np.array([j]))[0]
+    assert at(0, 0, 1) and not at(2, 0, 1) and at(1, 1, 2) and not at(2, 1, 2) and at(2, 0, 2)
+    docs = spark.createDataFrame([(1, "one two three four five six\nquite another line of words\none two three four five sex")], "doc_id long, text string")
+    classes = fuzzy_lines.line_classes(fuzzy_lines.line_table(docs))
+    lines = {r["line"]: r["id"] for r in classes.collect()}
+    texts = lambda *groups: spark.createDataFrame([(lines[k], g, f"text {k}") for k, g in enumerate(groups)], "id long, group long, line string")
+    wanted = {(r["key"], r["id"]): tuple(r) for r in fuzzy_lines._members(classes).collect() if r["id"] != lines[1]}
+    of_key = {k: {i for key, i in wanted if key == k} for k, _ in wanted}
+    got = fuzzy_lines.open_members(classes, texts(1, 2, 3)).collect()
+    # texts travel with the blocks that two groups share, and with no other
+    assert {(r["key"], r["id"]) for r in got} == {x for x in wanted if len(of_key[x[0]]) == 2} and 0 < len(got) < len(wanted)
+    for r in got:
+        assert tuple(r[c] for c in ("key", "id", "class", "form", *fuzzy_lines.PRINT)) == wanted[r["key"], r["id"]]
+        assert np.frombuffer(r["blocks"], np.uint32)[r["place"]] == r["key"] & 0xFFFFFFFF and r["line"] == ("text 0" if r["id"] == lines[0] else "text 2")
+    assert fuzzy_lines.open_members(classes, texts(1, 2, 1)).count() == 0
+
+
 def test_distinct_ids_of_blocks(spark):
     rows = [("a", bucket, [1, 2, 3 + bucket]) for bucket in range(50)] + [("b", 0, [7]), ("b", 1, []), ("c", 0, [])]
     encoded = spark.createDataFrame(rows, "block string, bucket int, ids array<int>").repartition(3)
