@@ -367,3 +367,84 @@ def test_short_lines_with_one_edit_meet(least, most):
         assert kinds == kinds2
         met += any(same)
     assert met >= 190
+
+
+# ---- second comparison of lines ----
+
+
+def test_few_pairs_are_compared_one_by_one(monkeypatch):
+    """A handful of pairs does not pay for columns of many; the answers are the same, whichever way they come."""
+    from marlstone.llm import fuzzy_lines
+
+    rng = random.Random(4)
+    left, right = [], []
+    for n in (3, 63, 64, 65, 200, 700, 2500) * 4:
+        line = [rng.choice("abcdefgh ") for _ in range(n)]
+        copy = list(line)
+        for at in rng.sample(range(n), round(n * rng.choice([0, 0.1, 0.19, 0.21, 0.3]))):
+            copy[at] = rng.choice("xyz")
+        left.append("".join(line)), right.append("".join(copy))
+    want = [fuzzy_lines.edit_distance(a, b) <= 0.2 * len(a) + 1e-9 for a, b in zip(left, right)]
+    assert 5 < sum(want) < len(want) - 5
+    for a, b in zip(left, right):
+        exact = fuzzy_lines.edit_distance(a, b)
+        for most in (0, exact - 1, exact, 0.2 * len(a)):
+            bounded = fuzzy_lines.edit_distance(a, b, most)
+            assert bounded == exact if exact <= most else bounded > most
+    many = fuzzy_lines.similar_pairs(left * 8, right * 8, 0.8)
+    assert many.tolist() == want * 8
+    monkeypatch.setattr(fuzzy_lines, "edit_distances", None)
+    assert fuzzy_lines.similar_pairs(left, right, 0.8).tolist() == want
+
+
+def test_open_pairs_are_found_without_texts(spark):
+    from marlstone.llm import fuzzy_lines
+
+    docs = spark.createDataFrame([(1, "one two three four five six\nquite another line of words\none two three four five sex")], "doc_id long, text string")
+    classes = fuzzy_lines.line_classes(fuzzy_lines.line_table(docs))
+    lines = {r["line"]: r["id"] for r in classes.collect()}
+    groups = spark.createDataFrame([(lines[k], k) for k in lines], "id long, group long")
+    got = fuzzy_lines.open_members(classes, groups)
+    assert "line" not in got.columns and {r["id"] for r in got.collect()} == {lines[0], lines[2]}
+
+
+def test_crowded_lines_meet_with_their_texts(spark):
+    """Near lines of one block, more pairs than are told one by one, some similar: the open pairs come to what all pairs would."""
+    from marlstone.llm import fuzzy_lines
+    from marlstone.storage import materialize
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    frame, lines = [word() for _ in range(20)], []
+    for _ in range(60):
+        own = list(frame)
+        for k in rng.sample(range(20), 4):
+            own[k] = word()
+        lines.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    classes = fuzzy_lines.line_classes(fuzzy_lines.line_table(docs))
+    at = {r["doc"]: r["id"] for r in classes.collect()}
+    # all lines are open: each has a link that failed
+    links = materialize(spark.createDataFrame([(at[k], at[k + 1]) for k in range(0, 60, 2)], "a long, b long"), "test-links")
+    verified = materialize(links.limit(0), "test-verified")
+    pairs = {(r["a"], r["b"]) for r in fuzzy_lines.settled_links(docs, classes, links, verified, 0.8).collect()}
+    i, j = np.triu_indices(60, 1)
+    similar = fuzzy_lines.similar_pairs([lines[k] for k in i], [lines[k] for k in j], 0.8)
+    of_id = {v: k for k, v in at.items()}
+    true = {frozenset((int(a), int(b))) for a, b in zip(i[similar], j[similar])}
+    assert 0 < len(true) and pairs and all(frozenset((of_id[a], of_id[b])) in true for a, b in pairs)
+
+    def parts(edges):
+        parent = list(range(60))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        return [root(x) for x in range(60)]
+
+    got, want = parts((of_id[a], of_id[b]) for a, b in pairs), parts(tuple(x) for x in true)
+    assert np.mean([got[a] == got[b] for a, b in true]) >= 0.95 and len(set(want)) < 60
