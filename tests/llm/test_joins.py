@@ -393,7 +393,7 @@ def test_few_pairs_are_compared_one_by_one(monkeypatch):
             assert bounded == exact if exact <= most else bounded > most
     many = fuzzy_lines.similar_pairs(left * 8, right * 8, 0.8)
     assert many.tolist() == want * 8
-    monkeypatch.setattr(fuzzy_lines, "edit_distances", None)
+    monkeypatch.setattr(fuzzy_lines, "within", None)
     assert fuzzy_lines.similar_pairs(left, right, 0.8).tolist() == want
 
 
