@@ -448,3 +448,35 @@ def test_crowded_lines_meet_with_their_texts(spark):
 
     got, want = parts((of_id[a], of_id[b]) for a, b in pairs), parts(tuple(x) for x in true)
     assert np.mean([got[a] == got[b] for a, b in true]) >= 0.95 and len(set(want)) < 60
+
+
+def test_blocks_at_other_places_link_nothing(spark):
+    """Two halves that change places keep their strings, but not their similarity: such lines are no candidates, similar ones still are."""
+    from marlstone.llm import fuzzy_lines
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    halves = [" ".join(word() for _ in range(20)) for _ in range(2)]
+    lines = [" ".join(halves), " ".join(halves[::-1]), " ".join([word(), *" ".join(halves).split(" ")[1:]])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    classes = fuzzy_lines.line_classes(fuzzy_lines.line_table(docs))
+    at = {r["id"]: r["doc"] for r in classes.collect()}
+    assert {frozenset((at[r["a"]], at[r["b"]])) for r in fuzzy_lines.candidate_links(classes).collect()} == {frozenset((0, 2))}
+
+
+def test_places_lose_no_kept_string():
+    from marlstone.llm import fuzzy_lines
+    from marlstone.llm.minhash import placed_grams
+
+    rng = random.Random(6)
+    for n in (30, 90, 300) * 10:
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 20))
+        cut, kept = rng.randrange(n - 20), "0123456789ABCDEFGHIJ"
+        edited = ["".join(x + rng.choice(["", "", "", "", "xy"]) for x in part if rng.random() > 0.05) for part in (line[:cut], line[cut:])]
+        one, two = line[:cut] + kept + line[cut:], kept.join(edited)
+        if fuzzy_lines.similar_pairs([one], [two], 0.8)[0]:
+            h, lengths, start = placed_grams([one, two], 10)
+            a, b = np.flatnonzero(h[: lengths[0]] == h[lengths[0] + two.index(kept)])[0], two.index(kept)
+            assert (start[a], start[lengths[0] + b]) == (one.index(kept), b)
+            form = fuzzy_lines.forms([one, two])
+            assert fuzzy_lines.may_align(form[:1], form[1:], np.array([a]), np.array([b]), 0.8)[0]
