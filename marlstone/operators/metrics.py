@@ -309,7 +309,11 @@ def best(scored: DataFrame, n: int = 100) -> DataFrame:
 
 
 def pareto_front(scored: DataFrame) -> DataFrame:
-    """Candidates that no simpler or equally simple one beats: strict improvements of loss by complexity."""
+    """Candidates that no simpler or equally simple one beats: strict improvements of loss by complexity.
+
+    Losses are computed once and stored: computed a second time they may differ in the last digit (sums add up in another order) and equal no least loss.
+    """
+    scored = materialize(scored, "scored")
     least = scored.groupBy("complexity").agg(F.min("loss").alias("loss"))
     earlier = F.min("loss").over(Window.orderBy("complexity").rowsBetween(Window.unboundedPreceding, -1))  # one row a complexity
     front = least.withColumn("_before", earlier).where(F.col("_before").isNull() | (F.col("loss") < F.col("_before"))).drop("_before")

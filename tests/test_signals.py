@@ -438,3 +438,11 @@ def test_exchanges_of_the_feature_store(spark):
     names = [f.name for f in features.REGISTRY.values() if f.build and not f.needs and f.fact < 10]
     plan = features.compute_features(df, names, (5,))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 1
+
+
+def test_front_of_losses_that_add_up_anew(spark):
+    """Losses whose last digits differ each time that they are computed: the front holds the best candidate of every complexity all the same."""
+    noise = F.udf(lambda k: 1e-12 * random.random(), "double").asNondeterministic()
+    scored = spark.range(40).select(F.col("id").cast("int").alias("candidate_id"), (F.col("id") % 4).cast("int").alias("complexity"), (100 - F.col("id") + noise("id")).alias("loss"))
+    front = metrics.pareto_front(scored).collect()
+    assert sorted((r["candidate_id"], r["complexity"]) for r in front) == [(36, 0), (37, 1), (38, 2), (39, 3)]
