@@ -480,3 +480,20 @@ def test_places_lose_no_kept_string():
             assert (start[a], start[lengths[0] + b]) == (one.index(kept), b)
             form = fuzzy_lines.forms([one, two])
             assert fuzzy_lines.may_align(form[:1], form[1:], np.array([a]), np.array([b]), 0.8)[0]
+
+
+def test_stored_tables_pass_in_small_batches(spark):
+    """Long texts go through Python a few MB at a time, and the session's own setting is as before."""
+    import pyarrow as pa
+
+    from marlstone.storage import materialize
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('long text ', 1000) AS text")
+    held = materialize(texts.mapInArrow(sizes, "n long"), "test-sizes").selectExpr("max(n) AS most", "sum(n) AS all").first()
+    assert held["most"] < 6e6 and held["all"] > 3e7 and spark.conf.get(key) == before
